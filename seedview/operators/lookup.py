@@ -8,26 +8,27 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from seedview.operators.running import hot_groups
-from seedview.session import SkewPolicy
+from seedview.session import SkewPolicy, pin
 
 
 def lookup(left: DataFrame, right: DataFrame, on: Sequence[str], *, skew: SkewPolicy | None = None) -> DataFrame:
     """``left LEFT JOIN right`` where ``on`` is unique in ``right``.
 
-    The planner picks broadcast or sort-merge from sizes. For large inputs, rows of hot left keys
-    go through their own join: at most ``fair`` keys are hot and each has one right row, so that
-    part of the right side is broadcast and the hot rows are never shuffled.
+    The planner picks broadcast or sort-merge from sizes. Large inputs are probed for hot keys; if
+    there are any, their rows go through a join of their own: at most ``fair`` keys are hot and each
+    has one right row, so that part of the right side is broadcast and the hot rows never move.
     """
     on = list(on)
     skew = skew or SkewPolicy.of(left)
     if not skew.active:
         return left.join(right, on, "left")
-    known = left.where(_all_not_null(on))
-    hot = F.broadcast(hot_groups(known, on, skew))
-    few = F.broadcast(right.join(hot, on, "left_semi"))
-    split = left.join(F.broadcast(hot.withColumn("__hot", F.lit(True))), on, "left")
-    cold = split.where(F.col("__hot").isNull()).drop("__hot").join(right, on, "left")
-    warm = split.where(F.col("__hot")).drop("__hot").join(few, on, "left")
+    hot = hot_groups(left.where(_all_not_null(on)), on, skew)
+    if hot is None:
+        return left.join(right, on, "left")
+    few = F.broadcast(right.join(F.broadcast(hot), on, "left_semi"))
+    marked = pin(left.join(F.broadcast(hot.withColumn("__hot", F.lit(True))), on, "left"), "lookup")
+    cold = marked.where(F.col("__hot").isNull()).drop("__hot").join(right, on, "left")
+    warm = marked.where(F.col("__hot")).drop("__hot").join(few, on, "left")
     return cold.unionByName(warm)
 
 

@@ -6,10 +6,11 @@ quantiles and AUROC are all the same shape: rows of a group, sorted by a positio
 over ``UNBOUNDED PRECEDING .. CURRENT ROW``, linear in the number of rows, instead of a join that
 emits every (probe, row) pair.
 
-A window puts a whole group in one task. Groups that hold more than a fair share of all rows are
-therefore cut at approximate quantiles of the position; each slice is its own window partition and
-the totals of the slices before it are added afterwards. The tables of cuts and totals have at most
-``fair`` groups times ``slices`` entries, which is why they may be broadcast.
+A window puts a whole group in one task. Large inputs are therefore probed first: one count per
+group, over the key columns only. If no group is hot, the plain window is used. Hot groups are cut
+at approximate quantiles of the position; each slice is its own window partition and the totals of
+the slices before it are added afterwards. The tables of cuts and totals have at most ``fair``
+groups times ``slices`` entries, which is why they may be broadcast.
 """
 
 from __future__ import annotations
@@ -19,7 +20,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from seedview.session import SkewPolicy
+from seedview.session import SkewPolicy, pin
 
 POS = "pos"
 PROBE = "is_probe"
@@ -38,19 +39,23 @@ def combine(how: str, left: Column, right: Column) -> Column:
     return F.least(left, right) if how == "min" else F.greatest(left, right)
 
 
-def hot_groups(rows: DataFrame, by: Sequence[str], skew: SkewPolicy) -> DataFrame:
-    """Keys of the groups above the policy's limits: at most ``skew.fair`` rows."""
+def hot_groups(rows: DataFrame, by: Sequence[str], skew: SkewPolicy) -> DataFrame | None:
+    """Keys of the groups above the policy's limits, at most ``skew.fair`` rows; None if no group is.
+
+    Runs a job: counts per group, combined map-side, decide the plan of everything after.
+    """
     sizes = rows.groupBy(*by).agg(F.count(F.lit(1)).alias("__rows"))
     fair_share = sizes.agg((F.sum("__rows") / F.lit(skew.fair)).alias("share")).scalar()
     limit = F.greatest(F.lit(float(skew.min_rows)), F.coalesce(fair_share, F.lit(0.0)))
-    return sizes.where(F.col("__rows") > limit).select(*by)
+    hot = pin(sizes.where(F.col("__rows") > limit).select(*by), "hot-groups")
+    return None if hot.isEmpty() else hot
 
 
-def _cut_points(events: DataFrame, by: Sequence[str], skew: SkewPolicy) -> DataFrame:
+def _cut_points(events: DataFrame, by: Sequence[str], hot: DataFrame, skew: SkewPolicy) -> DataFrame:
     fractions = [i / skew.slices for i in range(1, skew.slices)]
-    hot = events.join(F.broadcast(hot_groups(events, by, skew)), list(by), "left_semi")
-    cuts = hot.groupBy(*by).agg(F.percentile_approx(POS, fractions, 20 * skew.slices).alias(CUTS))
-    return cuts.withColumn(COARSE, F.filter(CUTS, lambda _, i: i % STRIDE == STRIDE - 1))
+    rows = events.join(F.broadcast(hot), list(by), "left_semi")
+    cuts = rows.groupBy(*by).agg(F.percentile_approx(POS, fractions, 20 * skew.slices).alias(CUTS))
+    return pin(cuts.withColumn(COARSE, F.filter(CUTS, lambda _, i: i % STRIDE == STRIDE - 1)), "cut-points")
 
 
 def _slice_number() -> Column:
@@ -85,9 +90,11 @@ def running(
     by = list(by)
     merged = [MERGE[how](name).alias(name) for name, how in measures.items()]
     rows, partition = events, by
-    if skew.active:
+    hot_keys = hot_groups(events, by, skew) if skew.active else None
+    if hot_keys is not None:
         partition = by + [SLICE]
-        cuts = _cut_points(events, by, skew)
+        events = pin(events, "events")
+        cuts = _cut_points(events, by, hot_keys, skew)
         sliced = events.join(F.broadcast(cuts), by, "left").withColumn(SLICE, _slice_number())
         is_hot = F.col(CUTS).isNotNull()
         if collapse:
@@ -109,7 +116,7 @@ def running(
         window = Window.partitionBy(*partition).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
         rows = rows.withColumns({f"{direction}__{m}": MERGE[how](m).over(window) for m, how in measures.items()})
 
-    if skew.active:
+    if hot_keys is not None:
         for direction in directions:
             step = F.col(SLICE).asc() if direction == "asc" else F.col(SLICE).desc()
             before = Window.partitionBy(*by).orderBy(step).rowsBetween(Window.unboundedPreceding, -1)

@@ -49,6 +49,17 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{ensure_checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+def pin(df: DataFrame, name: str) -> DataFrame:
+    """Write a frame to the shared folder and go on from the files.
+
+    Cuts the lineage where several branches need the same rows, survives lost executors, and,
+    unlike a row checkpoint, keeps column pruning and known sizes.
+    """
+    path = scratch_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def leaf_bytes(*frames: DataFrame) -> int:
     """Bytes of all base relations below the frames, from the planner's statistics.
 
@@ -94,7 +105,7 @@ class SkewPolicy:
             active = leaf_bytes(*frames) > _bytes_conf(spark, "spark.sql.files.maxPartitionBytes")
         else:
             active = mode == "always"
-        fair = int(spark.conf.get("spark.sql.shuffle.partitions"))
+        fair = int(spark.conf.get("seedview.skew.fair", spark.conf.get("spark.sql.shuffle.partitions")))
         return SkewPolicy(
             active=active,
             min_rows=int(spark.conf.get("seedview.skew.minRows", "1000000")),
