@@ -6,8 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from seedview.functions.expressions import micros
-from seedview.operators.running import POS, PROBE, running
-from seedview.session import SkewPolicy
+from seedview.operators.running import POS, PROBE, precombine, running, small_grid
+from seedview.session import SkewPolicy, pin
 
 
 def asof_join(
@@ -37,7 +37,7 @@ def asof_join(
     order = [F.col(right_time).alias("__time")] + ([F.col(tie).alias("__tie")] if tie else [])
     row = F.struct(*order, *[F.col(c).alias(f"{prefix}{c}") for c in columns])
     events = right.where(F.col(right_key).isNotNull() & F.col(right_time).isNotNull()).select(
-        F.col(right_key).alias(left_key), micros(right_time).alias(POS), F.lit(False).alias(PROBE), row.alias("row")
+        F.col(right_key).alias(left_key), micros(right_time).alias(POS), row.alias("row")
     )
     probes = (
         left.where(F.col(left_key).isNotNull() & F.col(left_time).isNotNull())
@@ -47,8 +47,10 @@ def asof_join(
         .withColumn(PROBE, F.lit(True))
     )
     skew = skew or SkewPolicy.of(left, right)
-    found = running(
-        events.unionByName(probes, allowMissingColumns=True), [left_key], {"row": "max"}, skew=skew
-    ).where(F.col(PROBE))
+    grid = small_grid(probes, skew.grid) if skew.active else None
+    if grid:
+        events = pin(precombine(events, [left_key], {"row": "max"}, [seed + 1 for seed in grid]), "asof")
+    events = events.withColumn(PROBE, F.lit(False)).unionByName(probes, allowMissingColumns=True)
+    found = running(events, [left_key], {"row": "max"}, skew=skew).where(F.col(PROBE))
     found = found.select(left_key, left_time, *[F.col("asc__row")[f"{prefix}{c}"].alias(f"{prefix}{c}") for c in columns])
     return left.join(found, [left_key, left_time], "left")

@@ -6,6 +6,9 @@ quantiles and AUROC are all the same shape: rows of a group, sorted by a positio
 over ``UNBOUNDED PRECEDING .. CURRENT ROW``, linear in the number of rows, instead of a join that
 emits every (probe, row) pair.
 
+Many tasks share a small grid of seed times. Rows that no seed of the grid can tell apart are then
+merged before they are shuffled (:func:`precombine`).
+
 A window puts a whole group in one task. Large inputs are therefore probed first: one count per
 group, over the key columns only. If no group is hot, the plain window is used. Hot groups are cut
 at approximate quantiles of the position; each slice is its own window partition and the totals of
@@ -28,6 +31,7 @@ SLICE = "__slice"
 CUTS = "__cuts"
 COARSE = "__coarse"
 STRIDE = 32
+MAX_BRANCHES = 64
 
 MERGE = {"sum": F.sum, "min": F.min, "max": F.max}
 
@@ -39,6 +43,49 @@ def combine(how: str, left: Column, right: Column) -> Column:
     return F.least(left, right) if how == "min" else F.greatest(left, right)
 
 
+def small_grid(probes: DataFrame, limit: int) -> list[int] | None:
+    """The distinct probe positions in order if there are at most ``limit``, else None. Runs a job."""
+    if limit <= 0:
+        return None
+    found = probes.select(POS).distinct().limit(limit + 1).collect()
+    return sorted(row[0] for row in found) if len(found) <= limit else None
+
+
+def interval_number(pos: Column, boundaries: Sequence[int]) -> Column:
+    """How many of the sorted boundaries are at or below the position."""
+    if len(boundaries) <= MAX_BRANCHES:
+        return _search(pos, list(boundaries), 0)
+    array = F.lit(list(boundaries)).cast("array<bigint>")
+    coarse = F.size(F.filter(F.lit(list(boundaries[STRIDE - 1 :: STRIDE])).cast("array<bigint>"), lambda b: b <= pos))
+    near = F.slice(array, coarse * STRIDE + 1, F.lit(STRIDE))
+    return coarse * STRIDE + F.size(F.filter(near, lambda b: b <= pos))
+
+
+def _search(pos: Column, boundaries: list[int], below: int) -> Column:
+    """A balanced tree of comparisons, which compiles to a few branches per row."""
+    if not boundaries:
+        return F.lit(below)
+    middle = len(boundaries) // 2
+    return F.when(pos < boundaries[middle], _search(pos, boundaries[:middle], below)).otherwise(
+        _search(pos, boundaries[middle + 1 :], below + middle + 1)
+    )
+
+
+def precombine(
+    rows: DataFrame, by: Sequence[str], measures: dict[str, str], boundaries: Sequence[int]
+) -> DataFrame:
+    """Merge the rows of a group that lie between the same two boundaries, map-side first.
+
+    If no probe starts or ends between two boundaries, any position inside can stand for all, so
+    the merged row keeps the largest. A hot group shrinks to one row per interval and task.
+    """
+    return (
+        rows.groupBy(*by, interval_number(F.col(POS), sorted(set(boundaries))).alias("__interval"))
+        .agg(F.max(POS).alias(POS), *[MERGE[how](name).alias(name) for name, how in measures.items()])
+        .drop("__interval")
+    )
+
+
 def hot_groups(rows: DataFrame, by: Sequence[str], skew: SkewPolicy) -> DataFrame | None:
     """Keys of the groups above the policy's limits, at most ``skew.fair`` rows; None if no group is.
 

@@ -15,6 +15,7 @@ First and last occurrence per (key, block, value) come from one map-side-combine
 from __future__ import annotations
 
 from collections.abc import Sequence
+from datetime import datetime, timedelta
 from typing import Optional
 
 from pyspark.sql import Column, DataFrame
@@ -23,8 +24,8 @@ from pyspark.sql import functions as F
 from seedview.functions.expressions import MICROS_PER_DAY, category, micros
 from seedview.model import AGGREGATIONS, TableSpec, split_roles
 from seedview.operators.lookup import lookup
-from seedview.operators.running import MERGE, POS, PROBE, combine, running
-from seedview.session import SkewPolicy
+from seedview.operators.running import MERGE, POS, PROBE, combine, precombine, running, small_grid
+from seedview.session import SkewPolicy, pin
 
 Lookbacks = Sequence[Optional[int]]
 MAX_BLOCKS_TO_BROADCAST = 100_000
@@ -73,6 +74,11 @@ def temporal_aggregates(
     )
     keyed = table.df.where(F.col(foreign_key).isNotNull())
     dated = undated = None
+    grid = None
+    if table.time_col and skew.active:
+        grid = small_grid(seeds.select(micros(seed_time_col).alias(POS)), skew.grid)
+        if grid:
+            seed_range = tuple(datetime(1970, 1, 1) + timedelta(microseconds=m) for m in (grid[0], grid[-1]))
     if table.time_col:
         dated = _bounded(keyed.where(F.col(table.time_col).isNotNull()), table.time_col, lookbacks, seed_range)
         if null_time == "keep" and not table.time_required:
@@ -80,10 +86,11 @@ def temporal_aggregates(
     else:
         undated = keyed
 
-    result = seeds.withColumn("window_id", F.explode(F.array(*[F.lit(i) for i in range(len(lookbacks))])))
     if dated is not None:
-        found = _dated_part(seeds, dated, undated, plan, seed_time_col, lookbacks, seed_range, skew)
-        result = result.join(found, [entity_key, seed_time_col, "window_id"], "left")
+        result = _dated_part(seeds, dated, undated, plan, seed_time_col, lookbacks, seed_range, grid, skew)
+    else:
+        windows = F.array(*[F.lit(i) for i in range(len(lookbacks))])
+        result = seeds.withColumn("window_id", F.explode(windows))
     if undated is not None:
         result = lookup(result, _undated_part(undated, plan), [entity_key], skew=skew)
     return result.select(
@@ -204,7 +211,8 @@ def _width_of(lookbacks: Lookbacks) -> Column:
     return width
 
 
-def _dated_part(seeds, dated, undated, plan, seed_time_col, lookbacks, seed_range, skew) -> DataFrame:
+def _dated_part(seeds, dated, undated, plan, seed_time_col, lookbacks, seed_range, grid, skew) -> DataFrame:
+    """Partial aggregates ``d_*`` of every (seed, window); each is there, since each is probed."""
     group = [plan.entity_key, "window_id", "block"]
     pos = micros(plan.table.time_col)
     seed_pos = micros(seed_time_col)
@@ -228,7 +236,16 @@ def _dated_part(seeds, dated, undated, plan, seed_time_col, lookbacks, seed_rang
         F.col(plan.foreign_key).alias(plan.entity_key), pos.alias(POS), *plan.row_values(pos), *_category_column(plan)
     )
     needed = _needed_blocks(seeds, seed_time_col, lookbacks, seed_range)
-    contributions = rows.drop("categories").withColumn("w", F.explode(_blocks(F.col(POS), lookbacks)))
+    values = None
+    if plan.categorical:
+        values = rows.select(plan.entity_key, POS, F.explode("categories").alias("c"))
+        values = values.select(plan.entity_key, POS, "c.u", "c.value").where(F.col("value").isNotNull())
+    rows = rows.drop("categories")
+    if grid:
+        cuts = [s + 1 for s in grid] + [s - w * MICROS_PER_DAY for s in grid for w in lookbacks if w is not None]
+        rows = pin(precombine(rows, [plan.entity_key], plan.measures, cuts), "child")
+        values = values and pin(precombine(values, [plan.entity_key, "u", "value"], {}, cuts), "values")
+    contributions = rows.withColumn("w", F.explode(_blocks(F.col(POS), lookbacks)))
     contributions = contributions.select(plan.entity_key, POS, "w.window_id", "w.block", *plan.measures)
     if needed is not None:
         contributions = contributions.join(F.broadcast(needed), ["window_id", "block"], "left_semi")
@@ -239,7 +256,7 @@ def _dated_part(seeds, dated, undated, plan, seed_time_col, lookbacks, seed_rang
     measures = dict(plan.measures)
     if plan.categorical:
         own_needed = needed.where("own_block") if needed is not None else None
-        changes = _distinct_changes(rows, undated, plan, lookbacks, own_needed)
+        changes = _distinct_changes(values, undated, plan, lookbacks, own_needed)
         events = events.unionByName(changes.withColumn(PROBE, F.lit(False)), allowMissingColumns=True)
         measures |= {u: "sum" for u in plan.distincts}
 
@@ -282,11 +299,9 @@ def _needed_blocks(seeds, seed_time_col, lookbacks: Lookbacks, seed_range) -> Op
     return own.unionByName(previous).groupBy("window_id", "block").agg(F.max("own_block").alias("own_block"))
 
 
-def _distinct_changes(rows, undated, plan, lookbacks, needed) -> DataFrame:
+def _distinct_changes(values, undated, plan, lookbacks, needed) -> DataFrame:
     """Where the number of live values of each categorical column changes, per group and position."""
     key = plan.entity_key
-    values = rows.select(key, POS, F.explode("categories").alias("c")).select(key, POS, "c.u", "c.value")
-    values = values.where(F.col("value").isNotNull())
     if undated is not None:
         always = undated.select(
             F.col(plan.foreign_key).alias(key), F.explode(plan.categories()).alias("c")

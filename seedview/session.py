@@ -19,6 +19,7 @@ def build_session(app: str = "seedview", master: str | None = None, **conf: str)
         "spark.sql.session.timeZone": "UTC",
         "spark.sql.adaptive.enabled": "true",
         "spark.sql.adaptive.skewJoin.enabled": "true",
+        "spark.python.sql.dataFrameDebugging.enabled": "false",
     }
     settings.update({key.replace("_", "."): value for key, value in conf.items()})
     for key, value in settings.items():
@@ -89,12 +90,15 @@ class SkewPolicy:
     ``fair``      a group is hot if it also holds more than ``1/fair`` of all rows, so there
                   are at most ``fair`` hot groups and the tables that describe them are small.
     ``slices``    pieces per hot group.
+    ``grid``      seeds that share at most this many instants are treated as a grid, see
+                  :func:`seedview.operators.running.precombine`.
     """
 
     active: bool
     min_rows: int
     fair: int
     slices: int
+    grid: int = 256
 
     @staticmethod
     def of(*frames: DataFrame) -> "SkewPolicy":
@@ -111,4 +115,5 @@ class SkewPolicy:
             min_rows=int(spark.conf.get("seedview.skew.minRows", "1000000")),
             fair=fair,
             slices=int(spark.conf.get("seedview.skew.slices", str(min(max(fair, 64), 1000)))),
+            grid=int(spark.conf.get("seedview.skew.grid", "256")),
         )

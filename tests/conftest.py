@@ -7,7 +7,12 @@ sys.path.insert(0, str(Path(__file__).resolve().parent.parent))
 
 from seedview.session import build_session  # noqa: E402
 
-SKEW_KEYS = ("", ".minRows", ".fair", ".slices")
+SKEW_KEYS = ("", ".minRows", ".fair", ".slices", ".grid")
+SKEW_MODES = {
+    "plain": ("never",),
+    "sliced": ("always", "2", "1000000", "4", "0"),
+    "grid": ("always", "2", "1000000", "4", "1000"),
+}
 
 
 @pytest.fixture(scope="session")
@@ -25,11 +30,11 @@ def spark(tmp_path_factory):
     session.stop()
 
 
-@pytest.fixture(params=["plain", "sliced"])
+@pytest.fixture(params=list(SKEW_MODES))
 def skew_mode(request, spark):
-    """Every test that uses this runs with plain windows and with every group cut into slices."""
-    values = ("never",) if request.param == "plain" else ("always", "2", "1000000", "4")
-    for key, value in zip(SKEW_KEYS, values):
+    """Runs a test with plain windows, with every group cut into slices, and with rows merged
+    between seeds before that."""
+    for key, value in zip(SKEW_KEYS, SKEW_MODES[request.param]):
         spark.conf.set(f"seedview.skew{key}", value)
     yield request.param
     for key in SKEW_KEYS:
@@ -39,7 +44,7 @@ def skew_mode(request, spark):
 @pytest.fixture(autouse=True)
 def small_inputs(request, spark):
     """In-memory frames have unknown size, which counts as large; most tests want plain plans."""
-    if "skew_mode" in request.fixturenames or "no_mode" in request.keywords:
+    if "skew_mode" in request.fixturenames:
         yield
         return
     spark.conf.set("seedview.skew", "never")
