@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from seedview.functions.expressions import micros
+from seedview.operators.lookup import lookup
 from seedview.operators.running import POS, PROBE, precombine, running, small_grid
 from seedview.session import SkewPolicy, pin
 
@@ -53,4 +54,4 @@ def asof_join(
     events = events.withColumn(PROBE, F.lit(False)).unionByName(probes, allowMissingColumns=True)
     found = running(events, [left_key], {"row": "max"}, skew=skew).where(F.col(PROBE))
     found = found.select(left_key, left_time, *[F.col("asc__row")[f"{prefix}{c}"].alias(f"{prefix}{c}") for c in columns])
-    return left.join(found, [left_key, left_time], "left")
+    return lookup(left, found, [left_key, left_time], skew=skew)

@@ -12,7 +12,7 @@ from seedview.functions.expressions import micros
 from seedview.model import DatabaseSpec, TableSpec, is_numeric
 from seedview.operators.lookup import remap_foreign_key
 from seedview.operators.running import POS, PROBE, running
-from seedview.session import ensure_checkpoint_dir
+from seedview.session import pin
 
 PART_BITS = 33
 """``monotonically_increasing_id`` keeps the partition number above this bit."""
@@ -39,11 +39,10 @@ def number_by_range(df: DataFrame, order: Sequence[str], index: str) -> DataFram
     """Number the rows in the given total order, starting at 0.
 
     Rows are range-partitioned, numbered inside each partition and shifted by the row counts of
-    the partitions before. The sampled ranges are pinned by a checkpoint in the shared folder, so
-    a lost executor cannot move the borders between the two uses.
+    the partitions before. The sampled ranges are pinned in the shared folder, so a lost executor
+    cannot move the borders between the two uses.
     """
-    ensure_checkpoint_dir(df.sparkSession)
-    pinned = df.repartitionByRange(*order).withColumn("__part", F.spark_partition_id()).checkpoint()
+    pinned = pin(df.repartitionByRange(*order).withColumn("__part", F.spark_partition_id()), "ranges")
     inside = Window.partitionBy("__part").orderBy(*order)
     numbered = pinned.withColumn("__at", F.row_number().over(inside) - 1)
     return _shift_by_part(numbered, pinned, index)
@@ -68,24 +67,23 @@ def file_row_ids(parquet: DataFrame, name: str) -> DataFrame:
     """Number the rows of a parquet scan in file order, without sorting or moving them.
 
     Each row knows its position in its file; the rows of the files before it are added from a
-    table with one entry per file.
+    table with one entry per file, smaller than the file listing the driver holds for the scan.
     """
     columns = parquet.columns
     located = parquet.select(*columns, F.col("_metadata.file_path").alias("__file"), F.col("_metadata.row_index").alias("__at"))
     counts = located.groupBy("__file").agg(F.count(F.lit(1)).alias("__n"))
     before = Window.orderBy("__file").rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.select("__file", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__offset"))
-    joined = located.join(offsets, "__file")
+    joined = located.join(F.broadcast(offsets), "__file")
     return joined.select(*columns, (F.col("__at") + F.col("__offset")).alias(name))
 
 
 def scan_row_ids(df: DataFrame, name: str) -> DataFrame:
     """Number the rows of any scan (CSV, JSON) partition by partition, without sorting.
 
-    The numbered rows are pinned by a checkpoint, so ids stay fixed if a task is run again.
+    The numbered rows are pinned in the shared folder, so ids stay fixed if a task is run again.
     """
-    ensure_checkpoint_dir(df.sparkSession)
-    pinned = df.withColumn("__id", F.monotonically_increasing_id()).checkpoint()
+    pinned = pin(df.withColumn("__id", F.monotonically_increasing_id()), "rows")
     pinned = pinned.withColumn("__part", F.shiftright("__id", PART_BITS)).withColumn(
         "__at", F.col("__id").bitwiseAND(F.lit((1 << PART_BITS) - 1))
     )
@@ -95,9 +93,10 @@ def scan_row_ids(df: DataFrame, name: str) -> DataFrame:
 def rekey_database(db: DatabaseSpec) -> tuple[DatabaseSpec, dict[str, DataFrame]]:
     """Replace every primary key by its dense rank and every foreign key by the parent's new id.
 
-    Foreign keys without parent become NULL. Also returns the id map of each table.
+    Foreign keys without parent become NULL. Also returns the id map of each table; maps are
+    written once, since the table and all its children read them.
     """
-    maps = {name: dense_id_map(table.df, table.primary_key) for name, table in db.tables.items()}
+    maps = {name: pin(dense_id_map(table.df, table.primary_key), "ids") for name, table in db.tables.items()}
     tables = {}
     for name, table in db.tables.items():
         df = remap_foreign_key(table.df, table.primary_key, maps[name])

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -17,26 +18,20 @@ def lookup(left: DataFrame, right: DataFrame, on: Sequence[str], *, skew: SkewPo
     The planner picks broadcast or sort-merge from sizes. Large inputs are probed for hot keys; if
     there are any, their rows go through a join of their own: at most ``fair`` keys are hot and each
     has one right row, so that part of the right side is broadcast and the hot rows never move.
+    Rows without key, which would all meet in one task, skip the join.
     """
     on = list(on)
     skew = skew or SkewPolicy.of(left)
-    if not skew.active:
-        return left.join(right, on, "left")
-    hot = hot_groups(left.where(_all_not_null(on)), on, skew)
+    hot = hot_groups(left, on, skew) if skew.active else None
     if hot is None:
         return left.join(right, on, "left")
+    keyed = reduce(lambda a, b: a & b, [F.col(c).isNotNull() for c in on])
     few = F.broadcast(right.join(F.broadcast(hot), on, "left_semi"))
     marked = pin(left.join(F.broadcast(hot.withColumn("__hot", F.lit(True))), on, "left"), "lookup")
-    cold = marked.where(F.col("__hot").isNull()).drop("__hot").join(right, on, "left")
+    cold = marked.where(F.col("__hot").isNull() & keyed).drop("__hot").join(right, on, "left")
     warm = marked.where(F.col("__hot")).drop("__hot").join(few, on, "left")
-    return cold.unionByName(warm)
-
-
-def _all_not_null(columns: Sequence[str]):
-    condition = F.lit(True)
-    for column in columns:
-        condition = condition & F.col(column).isNotNull()
-    return condition
+    keyless = marked.where(~keyed).drop("__hot")
+    return cold.unionByName(warm).unionByName(keyless, allowMissingColumns=True)
 
 
 def static_lookup(

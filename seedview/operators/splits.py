@@ -42,9 +42,8 @@ def fractional_split(
 ) -> DataFrame:
     """Cut at the seed times found ``train`` and ``train + val`` of the way through the sorted rows."""
     cutoffs = element_at_fraction(df, time_col, {"val_cutoff": train, "test_cutoff": train + val})
-    return assign_split(
-        df, time_col, cutoffs.select("val_cutoff").scalar(), cutoffs.select("test_cutoff").scalar()
-    )
+    both = cutoffs.select(F.struct("val_cutoff", "test_cutoff").alias("cut")).scalar()
+    return assign_split(df, time_col, both["val_cutoff"], both["test_cutoff"])
 
 
 def indexed_split(rows: DataFrame, index: DataFrame, row_id: str = "row_id") -> DataFrame:

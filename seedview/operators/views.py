@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from seedview.model import DatabaseSpec, TableSpec, TaskSpec, ViewConfig
 from seedview.operators.asof import asof_join
 from seedview.operators.degrees import incident_counts, incident_table_cap, incident_tables
-from seedview.operators.lookup import static_lookup
+from seedview.operators.lookup import lookup, static_lookup
 from seedview.operators.reach import reachable_tables
 from seedview.operators.temporal_agg import temporal_aggregates
 
@@ -84,7 +84,7 @@ def temporal_view(db: DatabaseSpec, task: TaskSpec, config: ViewConfig) -> DataF
             recency=config.recency_features,
             seed_range=task.seed_range,
         ).drop("lookback_days")
-        out = out.join(features, task.key_columns, "left")
+        out = lookup(out, features, task.key_columns)
     counts = [c for c in out.columns if c.endswith(("__row_count", "__nunique")) and c not in task.task_table.columns]
     return out.fillna(0, subset=counts) if counts else out
 

@@ -20,6 +20,7 @@ from seedview.operators.dates import DAYS_PER_MONTH, SPREAD_END, SPREAD_START, r
 from seedview.operators.keys import scan_row_ids
 from seedview.operators.lookup import lookup
 from seedview.operators.splits import fractional_split
+from seedview.session import pin
 
 
 @dataclass(frozen=True)
@@ -69,7 +70,7 @@ def load_csv_problem(spark: SparkSession, root: str, problem: CsvProblem) -> tup
         raise FileNotFoundError(f"missing in {root}: {', '.join(absent)}")
     key, entity_name = problem.entity_key, problem.entity_table
     raw = _read(spark, root, problem.tables[entity_name]).where(F.col(problem.target_col).isNotNull())
-    dates = spread_dates(raw, key, problem.date_col, problem.start, problem.end)
+    dates = pin(spread_dates(raw, key, problem.date_col, problem.start, problem.end), "dates")
     entity = lookup(raw, dates, [key])
     labels = entity.select(key, problem.date_col, F.col(problem.target_col).cast("int").alias(problem.target_col))
     tables = {
