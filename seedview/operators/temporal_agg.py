@@ -191,16 +191,48 @@ def _width(lookback: int) -> int:
     return max(lookback * MICROS_PER_DAY, 1)
 
 
+def _block(pos: Column, lookback: Optional[int]) -> Column:
+    """Number of the block a position falls in; a window without limit is one block."""
+    if lookback is None:
+        return F.lit(0).cast("bigint")
+    width = F.lit(_width(lookback))
+    return F.call_function("div", pos - F.pmod(pos, width), width)
+
+
 def _blocks(pos: Column, lookbacks: Lookbacks) -> Column:
-    """(window, block) pairs of a position; a window without limit is one block."""
-    pairs = []
+    """One (window, block) pair per window."""
+    return F.array(
+        *[F.struct(F.lit(i).alias("window_id"), _block(pos, w).alias("block")) for i, w in enumerate(lookbacks)]
+    )
+
+
+def _probe_points(pos: Column, lookbacks: Lookbacks) -> Column:
+    """Where a seed asks: at its own position and, for limited windows, one width earlier."""
+    points = []
     for i, lookback in enumerate(lookbacks):
-        block = F.lit(0).cast("bigint")
-        if lookback is not None:
-            width = F.lit(_width(lookback))
-            block = F.call_function("div", pos - F.pmod(pos, width), width)
-        pairs.append(F.struct(F.lit(i).alias("window_id"), block.alias("block")))
-    return F.array(*pairs)
+        block = _block(pos, lookback)
+        point = lambda block, at, own: F.struct(
+            F.lit(i).alias("window_id"), block.alias("block"), at.alias(POS), F.lit(own).alias("own_block")
+        )
+        points.append(point(block, pos, True))
+        if lookback:
+            points.append(point(block - 1, pos - F.lit(_width(lookback)), False))
+    return F.array(*points)
+
+
+def _value_spans(pos: Column, lookbacks: Lookbacks) -> Column:
+    """Where an occurrence of a value matters: in its own block and, for limited windows, the next."""
+    none = F.lit(None).cast("bigint")
+    spans = []
+    for i, lookback in enumerate(lookbacks):
+        block = _block(pos, lookback)
+        span = lambda block, first, prev: F.struct(
+            F.lit(i).alias("window_id"), block.alias("block"), first.alias("first"), prev.alias("prev")
+        )
+        spans.append(span(block, pos, none))
+        if lookback:
+            spans.append(span(block + 1, none, pos))
+    return F.array(*spans)
 
 
 def _width_of(lookbacks: Lookbacks) -> Column:
@@ -216,21 +248,9 @@ def _dated_part(seeds, dated, undated, plan, seed_time_col, lookbacks, seed_rang
     group = [plan.entity_key, "window_id", "block"]
     pos = micros(plan.table.time_col)
     seed_pos = micros(seed_time_col)
-    own = seeds.select(
-        plan.entity_key, seed_time_col, seed_pos.alias(POS), F.explode(_blocks(seed_pos, lookbacks)).alias("w")
-    ).select(plan.entity_key, seed_time_col, POS, "w.window_id", "w.block", F.lit(True).alias("own_block"))
-    limited = [i for i, lookback in enumerate(lookbacks) if lookback]
-    probes = own
-    if limited:
-        previous = own.where(F.col("window_id").isin(limited)).select(
-            plan.entity_key,
-            seed_time_col,
-            (F.col(POS) - _width_of(lookbacks)).alias(POS),
-            "window_id",
-            (F.col("block") - 1).alias("block"),
-            F.lit(False).alias("own_block"),
-        )
-        probes = own.unionByName(previous)
+    limited = any(lookbacks)
+    probes = seeds.select(plan.entity_key, seed_time_col, F.explode(_probe_points(seed_pos, lookbacks)).alias("w"))
+    probes = probes.select(plan.entity_key, seed_time_col, "w.*")
 
     rows = dated.select(
         F.col(plan.foreign_key).alias(plan.entity_key), pos.alias(POS), *plan.row_values(pos), *_category_column(plan)
@@ -291,12 +311,8 @@ def _needed_blocks(seeds, seed_time_col, lookbacks: Lookbacks, seed_range) -> Op
     if bound > MAX_BLOCKS_TO_BROADCAST:
         return None
     times = seeds.select(micros(seed_time_col).alias(POS)).distinct()
-    own = times.select(F.explode(_blocks(F.col(POS), lookbacks)).alias("w")).select("w.*", F.lit(True).alias("own_block"))
-    limited = [i for i, lookback in enumerate(lookbacks) if lookback]
-    previous = own.where(F.col("window_id").isin(limited)).select(
-        "window_id", (F.col("block") - 1).alias("block"), F.lit(False).alias("own_block")
-    )
-    return own.unionByName(previous).groupBy("window_id", "block").agg(F.max("own_block").alias("own_block"))
+    points = times.select(F.explode(_probe_points(F.col(POS), lookbacks)).alias("w")).select("w.*")
+    return points.groupBy("window_id", "block").agg(F.max("own_block").alias("own_block"))
 
 
 def _distinct_changes(values, undated, plan, lookbacks, needed) -> DataFrame:
@@ -308,21 +324,8 @@ def _distinct_changes(values, undated, plan, lookbacks, needed) -> DataFrame:
         ).select(key, "c.u", "c.value")
         values = values.join(always.distinct(), [key, "u", "value"], "left_anti")
 
-    seen = values.withColumn("w", F.explode(_blocks(F.col(POS), lookbacks))).select(
-        key, "u", "value", "w.window_id", "w.block", F.col(POS).alias("first"), F.lit(None).cast("bigint").alias("prev")
-    )
-    limited = [i for i, lookback in enumerate(lookbacks) if lookback]
-    if limited:
-        carried = seen.where(F.col("window_id").isin(limited)).select(
-            key,
-            "u",
-            "value",
-            "window_id",
-            (F.col("block") + 1).alias("block"),
-            F.lit(None).cast("bigint").alias("first"),
-            F.col("first").alias("prev"),
-        )
-        seen = seen.unionByName(carried)
+    seen = values.select(key, "u", "value", F.explode(_value_spans(F.col(POS), lookbacks)).alias("w"))
+    seen = seen.select(key, "u", "value", "w.*")
     if needed is not None:
         seen = seen.join(F.broadcast(needed), ["window_id", "block"], "left_semi")
     spans = seen.groupBy(key, "window_id", "block", "u", "value").agg(
