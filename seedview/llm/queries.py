@@ -8,8 +8,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from seedview.llm.chat import digests, format_conversations
-from seedview.llm.common import read_table
+from seedview.llm.common import read_table, remainder, train_labels
 from seedview.llm.host_rules import judge_documents
+from seedview.llm.toxicity import fit_toxicity, score_toxicity
 from seedview.llm.url_filter import Rule, judge_urls
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -22,6 +23,17 @@ URL_RULES = [
 ]
 
 
+def toxicity(spark: SparkSession, root: str) -> DataFrame:
+    docs = read_table(spark, root, "documents")
+    model = fit_toxicity(docs, train_labels(read_table(spark, root, "labels"), "toxic", 5, 0))
+    return score_toxicity(docs, model).select(
+        "doc_id",
+        (remainder(F.col("doc_id"), 5) == 0).alias("held_out"),
+        "score",
+        (F.col("score") >= 0.5).cast("int").alias("predicted"),
+    )
+
+
 def host_rules(spark: SparkSession, root: str) -> DataFrame:
     judged = judge_documents(read_table(spark, root, "documents"), "source")
     return judged.select(
@@ -47,6 +59,7 @@ def url_filter(spark: SparkSession, root: str) -> DataFrame:
 
 
 QUERIES: dict[str, Query] = {
+    "op2_toxicity": toxicity,
     "op4_host_rules": host_rules,
     "op8_chat_format": chat_format,
     "op9_url_filter": url_filter,
