@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from seedview.llm.chat import digests, format_conversations
 from seedview.llm.common import read_table, remainder, train_labels
 from seedview.llm.host_rules import judge_documents
+from seedview.llm.quality import score_quality
 from seedview.llm.toxicity import fit_toxicity, score_toxicity
 from seedview.llm.url_filter import Rule, judge_urls
 
@@ -23,6 +24,16 @@ URL_RULES = [
 ]
 
 
+def quality(spark: SparkSession, root: str) -> DataFrame:
+    good = train_labels(read_table(spark, root, "labels"), "quality", 4, 2).where("y = 1")
+    return score_quality(read_table(spark, root, "documents"), good).select(
+        "doc_id",
+        (remainder(F.col("doc_id"), 4) == 2).alias("held_out"),
+        "score",
+        (F.col("score") >= 0.7).cast("int").alias("predicted"),
+    )
+
+
 def toxicity(spark: SparkSession, root: str) -> DataFrame:
     docs = read_table(spark, root, "documents")
     model = fit_toxicity(docs, train_labels(read_table(spark, root, "labels"), "toxic", 5, 0))
@@ -59,6 +70,7 @@ def url_filter(spark: SparkSession, root: str) -> DataFrame:
 
 
 QUERIES: dict[str, Query] = {
+    "op1_quality": quality,
     "op2_toxicity": toxicity,
     "op4_host_rules": host_rules,
     "op8_chat_format": chat_format,
