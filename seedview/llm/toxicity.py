@@ -14,9 +14,10 @@ at most ``max_terms`` terms.
 
 from __future__ import annotations
 
+import math
 import re
 from collections.abc import Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 
 import numpy as np
 import pandas as pd
@@ -37,7 +38,7 @@ _NEVER = -1
 class ToxicitySettings:
     """``max_toxic``, ``max_clean``  labelled documents that lexicon and weights are learnt from, at most.
     ``max_terms``      terms in the lexicon, the most telling first.
-    ``min_gain``       log-likelihood ratio that a term needs.
+    ``half_trust``     documents with a term at which it counts half.
     ``min_share``      share of toxic documents among those with the term, at least.
     ``stems``          lengths of stems; a stem needs ``min_endings`` different words.
     ``one_edit_from``, ``two_edits_from``  term lengths from which that many edits are allowed.
@@ -47,32 +48,36 @@ class ToxicitySettings:
     max_toxic: int = 10_000
     max_clean: int = 20_000
     max_terms: int = 2_000
-    min_gain: float = 20.0
+    half_trust: float = 10.0
     min_share: float = 0.9
     stems: tuple[int, ...] = (4, 5, 6, 7)
     min_endings: int = 4
     one_edit_from: int = 5
     two_edits_from: int = 9
     window: int = 8
-    ridge: float = 0.05
+    ridge: float = 0.01
 
 
 @dataclass
 class TermAutomaton:
-    """All terms within their edit limits, and all words that begin with a stem."""
+    """All terms within their edit limits, and all words that begin with a stem.
 
-    terms: dict[str, int]
-    stems: list[str]
+    ``terms`` has (edit limit, weight) of every term, ``stems`` the weight of every stem.
+    """
+
+    terms: dict[str, tuple[int, float]]
+    stems: dict[str, float]
     _next: list[dict[str, int]] = field(default_factory=list)
-    _score: list[tuple[int, int] | None] = field(default_factory=list)
+    _score: list[tuple[float, float]] = field(default_factory=list)
 
     def __post_init__(self) -> None:
         self._children: list[dict[str, int]] = [{}]
-        self._limit, self._ends, self._stem = [0], [_NEVER], [False]
-        for term, edits in self.terms.items():
-            self._ends[self._add(term, edits)] = edits
-        for stem in self.stems:
-            self._stem[self._add(stem, 0)] = True
+        self._limit, self._ends, self._weight, self._stem = [0], [_NEVER], [0.0], [0.0]
+        for term, (edits, weight) in self.terms.items():
+            node = self._add(term, edits)
+            self._ends[node], self._weight[node] = edits, weight
+        for stem, weight in self.stems.items():
+            self._stem[self._add(stem, 0)] = weight
         self._ids: dict[frozenset, int] = {}
         self._sets: list[frozenset] = []
         self._start = self._state({0: 0})
@@ -89,7 +94,8 @@ class TermAutomaton:
                 self._children.append({})
                 self._limit.append(0)
                 self._ends.append(_NEVER)
-                self._stem.append(False)
+                self._weight.append(0.0)
+                self._stem.append(0.0)
             node = self._children[node][char]
             self._limit[node] = max(self._limit[node], edits)
         return node
@@ -110,9 +116,9 @@ class TermAutomaton:
             self._ids[key] = len(self._sets)
             self._sets.append(key)
             self._next.append({})
-            hits = [edits for node, edits in key if edits <= self._ends[node]]
-            prefix = any(self._stem[node] and edits == 0 for node, edits in key)
-            self._score.append((min(hits, default=9), int(prefix)))
+            hits = [self._weight[node] * 0.8**edits for node, edits in key if edits <= self._ends[node]]
+            prefix = [self._stem[node] for node, edits in key if edits == 0]
+            self._score.append((max(hits, default=0.0), max(prefix, default=0.0)))
         return self._ids[key]
 
     def _step(self, state: int, char: str) -> int:
@@ -128,20 +134,18 @@ class TermAutomaton:
         found = self._next[state][char] = self._state(reached)
         return found
 
-    def edits(self, token: str) -> int:
-        """Fewest edits to a term within its limit, 0 for words with a stem, -1 for no match."""
-        state = self._start
+    def weight(self, token: str) -> float:
+        """Weight of the best term within its edit limit, less 20 % an edit, or of a stem; 0 for no match."""
+        state, stem = self._start, 0.0
         for char in token:
             following = self._next[state].get(char)
             if following is None:
                 following = self._step(state, char)
             if following < 0:
-                return _NEVER
-            if self._score[following][1]:
-                return 0
+                return stem
+            stem = max(stem, self._score[following][1])
             state = following
-        best = self._score[state][0]
-        return best if best < 9 else _NEVER
+        return max(stem, self._score[state][0])
 
 
 class Matcher:
@@ -155,8 +159,7 @@ class Matcher:
         if known is None:
             if len(self.seen) >= self.keep:
                 self.seen.clear()
-            edits = self.automaton.edits(_EDGE.sub("", token))
-            known = self.seen[token] = 0.0 if edits < 0 else 0.8**edits
+            known = self.seen[token] = self.automaton.weight(_EDGE.sub("", token))
         return known
 
 
@@ -231,12 +234,15 @@ def _term_rows(sample: DataFrame, s: ToxicitySettings) -> DataFrame:
     return sample.select("text", "y").mapInPandas(terms, "term string, ending string, y int")
 
 
-def learn_lexicon(sample: DataFrame, s: ToxicitySettings) -> tuple[list[str], list[str]]:
-    """Words and stems that mark toxic documents of a labelled sample (text, y)."""
+def learn_lexicon(sample: DataFrame, s: ToxicitySettings) -> tuple[dict[str, int], dict[str, int]]:
+    """Words and stems that mark toxic documents of a labelled sample (text, y), with their toxic documents.
+
+    A term's log-likelihood ratio must exceed what chance gives the best of all terms tried.
+    """
     size = {row["y"]: row["count"] for row in sample.groupBy("y").count().collect()}
     toxic, clean = size.get(1, 0), size.get(0, 0)
     if not toxic:
-        return [], []
+        return {}, {}
     t, c = F.col("t"), F.col("c")
     part = lambda k, rate: F.when(k > 0, k * F.log(k / ((t + c) * rate))).otherwise(0.0)
     gain = 2 * (part(t, toxic / (toxic + clean)) + part(c, max(clean, 1) / (toxic + clean)))
@@ -248,53 +254,64 @@ def learn_lexicon(sample: DataFrame, s: ToxicitySettings) -> tuple[list[str], li
             F.sum(1 - F.col("y")).alias("c"),
             F.approx_count_distinct(F.when(F.col("y") == 1, F.col("ending"))).alias("endings"),
         )
-        .where((t >= 3) & (t >= s.min_share * (t + c)))
-        .withColumn("gain", gain)
-        .where(F.col("gain") >= s.min_gain)
+        .where(t >= 3)
+    )
+    counted = pin(counted.withColumn("gain", gain), "toxic-terms")
+    chance = 2 * math.log(max(counted.count(), 1000))
+    rows = (
+        counted.where((F.col("gain") > chance) & (t >= s.min_share * (t + c)))
         .where(~F.col("term").endswith("*") | (F.col("endings") >= s.min_endings))
         .orderBy(F.desc("gain"), "term")
         .limit(s.max_terms)
         .collect()
     )
-    found = {row["term"]: row["t"] for row in counted}
-    words = [term for term in found if not term.endswith("*")]
+    found = {row["term"]: row["t"] for row in rows}
     stems = {term[:-1]: n for term, n in found.items() if term.endswith("*")}
-    best = [
-        stem
+    best = {
+        stem: n
         for stem, n in stems.items()
         if not any(stem[:k] in stems and stems[stem[:k]] > n for k in range(1, len(stem)))
         and not any(other != stem and other.startswith(stem) and m == n for other, m in stems.items())
-    ]
-    return sorted(w for w in words if not any(w.startswith(stem) for stem in best)), sorted(best)
+    }
+    words = {w: n for w, n in found.items() if not w.endswith("*") and not any(w.startswith(stem) for stem in best)}
+    return words, best
 
 
 def _fit(x: np.ndarray, y: np.ndarray, ridge: float) -> tuple[float, float, float]:
-    """Logistic weights (bias, abuse, quotation) by Newton steps, ridge on all but the bias."""
+    """Logistic weights (bias, abuse, quotation) by Newton steps, ridge on all but the bias.
+
+    Both classes weigh the same, so 0.5 lies between them however rare toxic documents are.
+    """
+    share = np.where(y == 1, 1.0, min(1.0, y.sum() / max((1 - y).sum(), 1)))
     x = np.column_stack([np.ones(len(x)), x])
     w = np.zeros(3)
     penalty = np.diag([1e-6, ridge, ridge])
     for _ in range(50):
         p = 1 / (1 + np.exp(-(x @ w)))
-        step = np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x + penalty, x.T @ (y - p) - penalty @ w)
+        curve = (x * (share * p * (1 - p))[:, None]).T @ x
+        step = np.linalg.solve(curve + penalty, x.T @ (share * (y - p)) - penalty @ w)
         w += np.clip(step, -2, 2)
         if np.abs(step).max() < 1e-6:
             break
     return tuple(float(v) for v in w)
 
 
-def _first_copy_key(text: Column) -> Column:
-    """Smallest hash of the five-word shingles: equal for copies, mostly equal for near copies."""
+_COPY_KEYS = 4
 
-    @F.pandas_udf("long")
-    def key(texts: pd.Series) -> pd.Series:
-        def least(text: str | None) -> int:
+
+def _copy_keys(text: Column) -> Column:
+    """Smallest hashes of the five-word shingles, one for each of some seeds: near copies share most."""
+
+    @F.pandas_udf("array<long>")
+    def keys(texts: pd.Series) -> pd.Series:
+        def least(text: str | None) -> list[int]:
             words = words_of(text)
-            grams = (b" ".join(words[i : i + 5]) for i in range(max(1, len(words) - 4)))
-            return min(xxhash.xxh64_intdigest(g) for g in grams) >> 1
+            grams = [b" ".join(words[i : i + 5]) for i in range(max(1, len(words) - 4))]
+            return [min(xxhash.xxh64_intdigest(g, seed) for g in grams) >> 1 for seed in range(_COPY_KEYS)]
 
-        return pd.Series([least(text) for text in texts], dtype="int64")
+        return pd.Series([least(text) for text in texts])
 
-    return key(text)
+    return keys(text)
 
 
 def fit_toxicity(docs: DataFrame, labels: DataFrame, s: ToxicitySettings = ToxicitySettings()) -> ToxicityModel:
@@ -303,43 +320,42 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, s: ToxicitySettings = Toxic
     At most ``max_toxic`` and ``max_clean`` labelled documents are used, those with the smallest hash
     of their id; of near copies among them one is used. Without toxic labels no text is toxic.
     """
+
     def most(y: int, n: int) -> DataFrame:
         return labels.where(F.col("y") == y).orderBy(F.xxhash64("doc_id"), "doc_id").limit(n)
 
     chosen = most(1, s.max_toxic).unionByName(most(0, s.max_clean))
     rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").where("text is not null")
-    rows = pin(rows.select("text", F.col("y").cast("int").alias("y"), _first_copy_key(F.col("text")).alias("key")), "toxic-rows")
-    sample = rows.dropDuplicates(["key", "y"]).select("text", "y")
+    sample = rows.select("text", F.col("y").cast("int").alias("y"), _copy_keys(F.col("text")).alias("keys"))
+    for k in range(_COPY_KEYS):
+        sample = sample.withColumn("key", F.col("keys")[k]).dropDuplicates(["key", "y"])
+    sample = pin(sample.select("text", "y"), "toxic-rows")
     words, stems = learn_lexicon(sample, s)
-
-    def limit(word: str) -> int:
-        return (len(word) >= s.one_edit_from) + (len(word) >= s.two_edits_from)
-
-    exact = TermAutomaton(dict.fromkeys(words, 0), stems)
-    near = TermAutomaton({w: limit(w) for w in words}, stems)
-    automaton = TermAutomaton(_safe_limits(sample, words, near, exact, limit), stems)
-    model = ToxicityModel(automaton, (0.0, 0.0, 0.0), s.window)
-    known = sample.select(model.sums(F.col("text")).alias("s"), "y").select("s.abuse", "s.quotation", "y").toPandas()
+    trust = lambda n: n / (n + s.half_trust)
+    by_stem = {stem: trust(n) for stem, n in stems.items()}
+    limits = {w: (len(w) >= s.one_edit_from) + (len(w) >= s.two_edits_from) for w in words}
+    limits |= dict.fromkeys(_used_by_clean(sample, limits), 0)
+    automaton = TermAutomaton({w: (limits[w], trust(n)) for w, n in words.items()}, by_stem)
+    model = ToxicityModel(automaton, (-4.0, 0.0, 0.0), s.window)
     if not words and not stems:
-        return ToxicityModel(automaton, (-4.0, 0.0, 0.0), s.window)
-    return ToxicityModel(automaton, _fit(known[["abuse", "quotation"]].to_numpy(), known["y"].to_numpy(), s.ridge), s.window)
+        return model
+    known = sample.select(model.sums(F.col("text")).alias("s"), "y").select("s.abuse", "s.quotation", "y").toPandas()
+    return replace(model, weights=_fit(known[["abuse", "quotation"]].to_numpy(), known["y"].to_numpy(), s.ridge))
 
 
-def _safe_limits(sample: DataFrame, words: list[str], near: TermAutomaton, exact: TermAutomaton, limit) -> dict[str, int]:
-    """Edit limits of the terms, lowered to zero for terms whose variants clean documents use."""
+def _used_by_clean(sample: DataFrame, limits: dict[str, int]) -> set[str]:
+    """Terms of which clean documents use variants within the edit limit, but not the term itself."""
 
     def variants(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        every = TermAutomaton({w: (n, 1.0) for w, n in limits.items()}, {})
+        single = {w: TermAutomaton({w: (n, 1.0)}, {}) for w, n in limits.items() if n}
         for frame in frames:
             tokens = {_EDGE.sub("", t) for text in frame["text"] for t in set(text.lower().split())}
-            yield pd.DataFrame({"token": [t for t in tokens if t and near.edits(t) > 0 and exact.edits(t) < 0]})
-
-    rows = sample.where("y = 0").select("text").mapInPandas(variants, "token string").distinct()
-    limits = {w: limit(w) for w in words}
-    for row in rows.limit(10 * len(words) + 1000).collect():
-        for word in words:
-            if limits[word] and TermAutomaton({word: limits[word]}, []).edits(row["token"]) >= 0:
-                limits[word] = 0
-    return limits
+            near = [t for t in tokens if t and 0 < every.weight(t) < 1]
+            yield pd.DataFrame({"term": [w for w, one in single.items() if any(one.weight(t) for t in near)]})
+
+    rows = sample.where("y = 0").select("text").mapInPandas(variants, "term string").distinct()
+    return {row["term"] for row in rows.collect()}
 
 
 def score_toxicity(docs: DataFrame, model: ToxicityModel) -> DataFrame:
