@@ -55,7 +55,7 @@ class ToxicitySettings:
     one_edit_from: int = 5
     two_edits_from: int = 9
     window: int = 8
-    ridge: float = 0.01
+    ridge: float = 0.0005
 
 
 @dataclass
