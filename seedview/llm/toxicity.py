@@ -55,7 +55,7 @@ class ToxicitySettings:
     one_edit_from: int = 5
     two_edits_from: int = 9
     window: int = 8
-    ridge: float = 0.0005
+    ridge: float = 0.05
 
 
 @dataclass
@@ -284,13 +284,20 @@ def _fit(x: np.ndarray, y: np.ndarray, ridge: float) -> tuple[float, float, floa
     """
     share = np.where(y == 1, 1.0, min(1.0, y.sum() / max((1 - y).sum(), 1)))
     x = np.column_stack([np.ones(len(x)), x])
-    w = np.zeros(3)
     penalty = np.diag([1e-6, ridge, ridge])
-    for _ in range(50):
+
+    def loss(w: np.ndarray) -> float:
+        z = x @ w
+        return float(share @ np.logaddexp(0, np.where(y == 1, -z, z)) + w @ penalty @ w / 2)
+
+    w = np.zeros(3)
+    for _ in range(100):
         p = 1 / (1 + np.exp(-(x @ w)))
         curve = (x * (share * p * (1 - p))[:, None]).T @ x
         step = np.linalg.solve(curve + penalty, x.T @ (share * (y - p)) - penalty @ w)
-        w += np.clip(step, -2, 2)
+        while loss(w + step) > loss(w) and np.abs(step).max() > 1e-9:
+            step = step / 2
+        w = w + step
         if np.abs(step).max() < 1e-6:
             break
     return tuple(float(v) for v in w)
@@ -340,7 +347,8 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, s: ToxicitySettings = Toxic
     if not words and not stems:
         return model
     known = sample.select(model.sums(F.col("text")).alias("s"), "y").select("s.abuse", "s.quotation", "y").toPandas()
-    return replace(model, weights=_fit(known[["abuse", "quotation"]].to_numpy(), known["y"].to_numpy(), s.ridge))
+    x = np.log1p(known[["abuse", "quotation"]].to_numpy())
+    return replace(model, weights=_fit(x, known["y"].to_numpy(), s.ridge))
 
 
 def _used_by_clean(sample: DataFrame, limits: dict[str, int]) -> set[str]:
