@@ -11,6 +11,7 @@ from seedview.llm.chat import digests, format_conversations
 from seedview.llm.common import read_table, remainder, train_labels
 from seedview.llm.host_rules import judge_documents
 from seedview.llm.quality import score_quality
+from seedview.llm.simhash import hex_digits, near_duplicate_classes
 from seedview.llm.toxicity import fit_toxicity, score_toxicity
 from seedview.llm.url_filter import Rule, judge_urls
 
@@ -52,6 +53,11 @@ def host_rules(spark: SparkSession, root: str) -> DataFrame:
     )
 
 
+def simhash(spark: SparkSession, root: str) -> DataFrame:
+    classes = near_duplicate_classes(read_table(spark, root, "documents"))
+    return classes.select("doc_id", hex_digits(F.col("fp")).alias("fingerprint"), "component_id")
+
+
 def chat_format(spark: SparkSession, root: str) -> DataFrame:
     rows = read_table(spark, root, "conversations").select("conv_id", "turn", "role", "text")
     said = "\\### Assistant: </turn> ok"
@@ -73,6 +79,7 @@ QUERIES: dict[str, Query] = {
     "op1_quality": quality,
     "op2_toxicity": toxicity,
     "op4_host_rules": host_rules,
+    "op6_simhash": simhash,
     "op8_chat_format": chat_format,
     "op9_url_filter": url_filter,
 }
