@@ -32,6 +32,7 @@ _EDGE = re.compile(r"^[\W_]+|[\W_]+$")
 _OPEN, _CLOSE = "\"'“„«»‘‚", "\"'”“»«’‘"
 _TRAIL = ".,;:!?…)"
 _NEVER = -1
+_TEXTS_AT_ONCE = 64
 
 
 @dataclass(frozen=True)
@@ -223,13 +224,14 @@ def _term_rows(sample: DataFrame, s: ToxicitySettings) -> DataFrame:
 
     def terms(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
-            rows = []
-            for text, y in zip(frame["text"], frame["y"], strict=True):
-                words = {_EDGE.sub("", token) for token in set((text or "").lower().split())}
-                words = {w for w in words if 3 <= len(w) <= 40}
-                stems = {w[:n] + "*": w for n in s.stems for w in words if len(w) > n}
-                rows += [(w, w, y) for w in words] + [(stem, w, y) for stem, w in stems.items()]
-            yield pd.DataFrame(rows, columns=["term", "ending", "y"])
+            for start in range(0, len(frame), _TEXTS_AT_ONCE):
+                part, rows = frame.iloc[start : start + _TEXTS_AT_ONCE], []
+                for text, y in zip(part["text"], part["y"], strict=True):
+                    words = {_EDGE.sub("", token) for token in set((text or "").lower().split())}
+                    words = {w for w in words if 3 <= len(w) <= 40}
+                    stems = {w[:n] + "*": w for n in s.stems for w in words if len(w) > n}
+                    rows += [(w, w, y) for w in words] + [(stem, w, y) for stem, w in stems.items()]
+                yield pd.DataFrame(rows, columns=["term", "ending", "y"])
 
     return sample.select("text", "y").mapInPandas(terms, "term string, ending string, y int")
 
@@ -333,10 +335,12 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, s: ToxicitySettings = Toxic
 
     chosen = most(1, s.max_toxic).unionByName(most(0, s.max_clean))
     rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").where("text is not null")
-    sample = rows.select("text", F.col("y").cast("int").alias("y"), _copy_keys(F.col("text")).alias("keys"))
+    rows = rows.select("doc_id", "text", F.col("y").cast("int").alias("y"), _copy_keys(F.col("text")).alias("keys"))
+    rows = pin(rows, "toxic-rows")
+    firsts = rows.select("doc_id", "y", "keys")
     for k in range(_COPY_KEYS):
-        sample = sample.withColumn("key", F.col("keys")[k]).dropDuplicates(["key", "y"])
-    sample = pin(sample.select("text", "y"), "toxic-rows")
+        firsts = firsts.withColumn("key", F.col("keys")[k]).dropDuplicates(["key", "y"])
+    sample = pin(rows.join(F.broadcast(firsts.select("doc_id")), "doc_id").select("text", "y"), "toxic-sample")
     words, stems = learn_lexicon(sample, s)
     trust = lambda n: n / (n + s.half_trust)
     by_stem = {stem: trust(n) for stem, n in stems.items()}
