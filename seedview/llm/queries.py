@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from seedview.llm.chat import digests, format_conversations
 from seedview.llm.common import read_table, remainder, train_labels
+from seedview.llm.decontam import find_leaks
 from seedview.llm.host_rules import judge_documents
 from seedview.llm.quality import score_quality
 from seedview.llm.simhash import hex_digits, near_duplicate_classes
@@ -75,6 +76,11 @@ def url_filter(spark: SparkSession, root: str) -> DataFrame:
     return judged.select("page_id", "host", "path", "rule", "verdict")
 
 
+def decontamination(spark: SparkSession, root: str) -> DataFrame:
+    leaks = find_leaks(read_table(spark, root, "documents"), read_table(spark, root, "benchmark"))
+    return leaks.select("doc_id", "item_id", "score", "question_overlap", "answer_overlap")
+
+
 QUERIES: dict[str, Query] = {
     "op1_quality": quality,
     "op2_toxicity": toxicity,
@@ -82,4 +88,5 @@ QUERIES: dict[str, Query] = {
     "op6_simhash": simhash,
     "op8_chat_format": chat_format,
     "op9_url_filter": url_filter,
+    "op10_decontamination": decontamination,
 }
