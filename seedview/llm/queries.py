@@ -11,6 +11,7 @@ from seedview.llm.chat import digests, format_conversations
 from seedview.llm.common import read_table, remainder, train_labels
 from seedview.llm.decontam import find_leaks
 from seedview.llm.host_rules import judge_documents
+from seedview.llm.pii import BASE, find_personal_data, listed
 from seedview.llm.quality import score_quality
 from seedview.llm.simhash import hex_digits, near_duplicate_classes
 from seedview.llm.toxicity import fit_toxicity, score_toxicity
@@ -59,6 +60,15 @@ def simhash(spark: SparkSession, root: str) -> DataFrame:
     return classes.select("doc_id", hex_digits(F.col("fp")).alias("fingerprint"), "component_id")
 
 
+def personal_data(spark: SparkSession, root: str) -> DataFrame:
+    found = find_personal_data(read_table(spark, root, "documents").select("doc_id", "text"))
+    base = F.filter("spans", lambda x: x["kind"].isin(BASE))
+    count = lambda kind: F.size(F.filter("spans", lambda x: x["kind"] == kind)).cast("long").alias(f"n_{kind}")
+    return found.select(
+        "doc_id", *map(count, BASE), F.sha2(listed(base), 256).alias("base_sha256"), listed(F.col("spans")).alias("spans")
+    )
+
+
 def chat_format(spark: SparkSession, root: str) -> DataFrame:
     rows = read_table(spark, root, "conversations").select("conv_id", "turn", "role", "text")
     said = "\\### Assistant: </turn> ok"
@@ -86,6 +96,7 @@ QUERIES: dict[str, Query] = {
     "op2_toxicity": toxicity,
     "op4_host_rules": host_rules,
     "op6_simhash": simhash,
+    "op7_personal_data": personal_data,
     "op8_chat_format": chat_format,
     "op9_url_filter": url_filter,
     "op10_decontamination": decontamination,
