@@ -152,7 +152,9 @@ def aggregate_votes(votes: np.ndarray, counts: np.ndarray, rounds: int = 100) ->
     """Probability of each vote pattern, and the labelers' chances to vote 1 on true and on false spans.
 
     ``votes`` has a row per pattern (1, 0, or -1 for none), ``counts`` how often it occurs. Starts from
-    the majority; every labeler keeps one imagined right and one wrong vote of each sort.
+    the majority. Labelers are held to be right more often than not: chances stay within 0.7 to 0.95 on
+    true spans and 0.05 to 0.3 on false ones, so that two groups of true spans with different votes are
+    not taken for a true and a false one.
     """
     cast, yes = votes >= 0, votes == 1
     lead = yes.sum(1) - (cast & ~yes).sum(1)
@@ -161,7 +163,7 @@ def aggregate_votes(votes: np.ndarray, counts: np.ndarray, rounds: int = 100) ->
         rate = []
         for weight in (p * counts, (1 - p) * counts):
             rate.append(((weight[:, None] * yes).sum(0) + 1) / ((weight[:, None] * cast).sum(0) + 2))
-        true, false = rate
+        true, false = np.clip(rate[0], 0.7, 0.95), np.clip(rate[1], 0.05, 0.3)
         prior = np.clip((p * counts).sum() / counts.sum(), 0.01, 0.99)
         log = np.log(prior / (1 - prior)) + (cast * np.where(yes, np.log(true / false), np.log((1 - true) / (1 - false)))).sum(1)
         p = 1 / (1 + np.exp(-np.clip(log, -30, 30)))
