@@ -14,6 +14,7 @@ from seedview.llm.host_rules import judge_documents
 from seedview.llm.pii import BASE, find_personal_data, listed
 from seedview.llm.quality import score_quality
 from seedview.llm.simhash import hex_digits, near_duplicate_classes
+from seedview.llm.suffix_dedup import remove_repeats
 from seedview.llm.toxicity import fit_toxicity, score_toxicity
 from seedview.llm.url_filter import Rule, judge_urls
 
@@ -69,6 +70,10 @@ def personal_data(spark: SparkSession, root: str) -> DataFrame:
     )
 
 
+def suffix_dedup(spark: SparkSession, root: str) -> DataFrame:
+    return remove_repeats(read_table(spark, root, "documents"), texts=False)
+
+
 def chat_format(spark: SparkSession, root: str) -> DataFrame:
     rows = read_table(spark, root, "conversations").select("conv_id", "turn", "role", "text")
     said = "\\### Assistant: </turn> ok"
@@ -94,6 +99,7 @@ def decontamination(spark: SparkSession, root: str) -> DataFrame:
 QUERIES: dict[str, Query] = {
     "op1_quality": quality,
     "op2_toxicity": toxicity,
+    "op3_suffix_dedup": suffix_dedup,
     "op4_host_rules": host_rules,
     "op6_simhash": simhash,
     "op7_personal_data": personal_data,
