@@ -11,6 +11,7 @@ from seedview.llm.chat import digests, format_conversations
 from seedview.llm.common import read_table, remainder, train_labels
 from seedview.llm.decontam import find_leaks
 from seedview.llm.host_rules import judge_documents
+from seedview.llm.mixing import MixSettings, mix_sources
 from seedview.llm.pii import BASE, find_personal_data, listed
 from seedview.llm.quality import score_quality
 from seedview.llm.simhash import hex_digits, near_duplicate_classes
@@ -74,6 +75,10 @@ def suffix_dedup(spark: SparkSession, root: str) -> DataFrame:
     return remove_repeats(read_table(spark, root, "documents"), texts=False)
 
 
+def mixing(spark: SparkSession, root: str) -> DataFrame:
+    return mix_sources(read_table(spark, root, "documents"), MixSettings(entropy=0.97))
+
+
 def chat_format(spark: SparkSession, root: str) -> DataFrame:
     rows = read_table(spark, root, "conversations").select("conv_id", "turn", "role", "text")
     said = "\\### Assistant: </turn> ok"
@@ -101,6 +106,7 @@ QUERIES: dict[str, Query] = {
     "op2_toxicity": toxicity,
     "op3_suffix_dedup": suffix_dedup,
     "op4_host_rules": host_rules,
+    "op5_mixing": mixing,
     "op6_simhash": simhash,
     "op7_personal_data": personal_data,
     "op8_chat_format": chat_format,
