@@ -15,7 +15,9 @@ others there. That is exact, and its rows grow with the fingerprints, not with t
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
+from dataclasses import dataclass
 from functools import reduce
 
 import numpy as np
@@ -128,3 +130,98 @@ def near_duplicate_classes(docs: DataFrame, size: int = 3) -> DataFrame:
 
 def hex_digits(fp: Column) -> Column:
     return F.lpad(F.lower(F.hex(fp)), 16, "0")
+
+
+@dataclass(frozen=True)
+class NearCopySettings:
+    """For texts that share most of their words but whose fingerprints differ in more than two bits.
+
+    ``segment``     words per segment, on average; segments end where a word's checksum says so.
+    ``least``       segments shorter than this many words propose no pairs.
+    ``share``       of the segments that a pair must have in common to be compared.
+    ``shingle``, ``similarity``  Jaccard similarity of word shingles from which texts are near copies.
+    """
+
+    segment: int = 12
+    least: int = 5
+    share: float = 0.3
+    shingle: int = 5
+    similarity: float = 0.8
+
+
+def segment_fingerprints(words: list[bytes], s: NearCopySettings) -> np.ndarray:
+    """Distinct fingerprints of a text's segments, each over the three-word shingles that start in it."""
+    hashes = shingle_hashes(words, 3)
+    if not len(hashes):
+        return np.zeros(0, np.int64)
+    sums = np.fromiter(map(zlib.crc32, words[: len(hashes)]), np.int64, len(hashes))
+    starts = np.unique(np.append(0, np.nonzero(sums % s.segment == 0)[0]))
+    sizes = np.diff(np.append(starts, len(hashes)))
+    counts = np.zeros((len(starts), 64), np.int64)
+    for begin in range(0, len(hashes), _CHUNK):
+        part = hashes[begin : begin + _CHUNK].astype(">u8")
+        bits = np.unpackbits(part.view(np.uint8).reshape(-1, 8), axis=1)
+        first = np.searchsorted(starts, begin, side="right") - 1
+        inside = np.maximum(starts[first : np.searchsorted(starts, begin + len(part))] - begin, 0)
+        counts[first : first + len(inside)] += np.add.reduceat(bits, inside, axis=0, dtype=np.int64)
+    packed = np.packbits(2 * counts > sizes[:, None], axis=1).view(">i8").ravel().astype(np.int64)
+    long_enough = (sizes >= s.least) | (len(starts) == 1)
+    return np.unique(packed[long_enough])
+
+
+def jaccard(a: list[bytes], b: list[bytes], size: int) -> float:
+    """Similarity of the sets of word shingles; texts with fewer words have one, of all their words."""
+
+    def shingles(words: list[bytes]) -> set:
+        return set(zip(*(words[k:] for k in range(size)))) if len(words) >= size else {tuple(words)}
+
+    x, y = shingles(a), shingles(b)
+    return len(x & y) / len(x | y)
+
+
+def near_copy_pairs(docs: DataFrame, s: NearCopySettings = NearCopySettings()) -> DataFrame:
+    """(a, b) of ids whose texts are near copies, enough of them to connect each group of near copies.
+
+    Segments' fingerprints propose pairs: each document with the smallest id that has the segment too,
+    so a segment with many documents gives one pair each. Pairs with enough segments in common are
+    compared on all their words. Rows without id or words are left out.
+    """
+
+    @F.pandas_udf("array<long>")
+    def segments(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for batch in texts:
+            yield pd.Series([segment_fingerprints(words_of(text), s) for text in batch])
+
+    named = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    cut = named.select("doc_id", segments("text").alias("keys"))
+    keys = pin(cut.select("doc_id", F.size("keys").alias("n"), F.explode("keys").alias("key")), "copy-segments")
+    first = keys.groupBy("key").agg(F.min(F.struct("doc_id", "n")).alias("first"), F.count(F.lit(1)).alias("rows"))
+    shared = keys.join(first.where("rows > 1"), "key").where(F.col("doc_id") != F.col("first.doc_id"))
+    both = shared.groupBy(F.col("doc_id").alias("a"), F.col("first.doc_id").alias("b")).agg(
+        F.count(F.lit(1)).alias("common"), F.greatest(F.max("n"), F.max("first.n")).alias("most")
+    )
+    pairs = pin(both.where(F.col("common") >= s.share * F.col("most")).select("a", "b"), "copy-pairs")
+
+    ids = pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct()
+    texts = pin(named.join(ids, "doc_id"), "copy-texts")
+
+    @F.pandas_udf("double")
+    def similarity(one: pd.Series, two: pd.Series) -> pd.Series:
+        return pd.Series([jaccard(words_of(x), words_of(y), s.shingle) for x, y in zip(one, two, strict=True)], dtype="float64")
+
+    of = lambda side: texts.select(F.col("doc_id").alias(side), F.col("text").alias(f"text_{side}"))
+    compared = pairs.join(of("a"), "a").join(of("b"), "b").withColumn("similarity", similarity("text_a", "text_b"))
+    return compared.where(F.col("similarity") >= s.similarity).select("a", "b")
+
+
+def without_near_duplicates(docs: DataFrame, s: NearCopySettings = NearCopySettings()) -> DataFrame:
+    """The rows of ``docs``, with all their columns, of the smallest id of each group.
+
+    Groups are connected by fingerprints within two bits and by near copies. Rows with one id stay or
+    go together; rows without id stay. Texts without words are near duplicates of each other.
+    """
+    classes = near_duplicate_classes(docs).where("doc_id is not null and doc_id <> component_id")
+    links = classes.select(F.col("doc_id").cast("long").alias("a"), F.col("component_id").cast("long").alias("b"))
+    roots = connected_components(links.union(near_copy_pairs(docs, s)))
+    gone = roots.select(F.col("node").alias("__gone"))
+    return docs.join(gone, docs["doc_id"] == gone["__gone"], "left_anti")
