@@ -17,6 +17,17 @@ def read_table(spark: SparkSession, root: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{root}/{name}.parquet")
 
 
+def bounded_batches(spark: SparkSession, rows: int = 1000) -> None:
+    """Hand Python at most ``rows`` texts at a time, unless the session asks for fewer.
+
+    The default of 10,000 rows is made for numbers; that many long texts, held by two workers, would
+    fill an executor.
+    """
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key)) <= rows:
+        spark.conf.set(key, str(rows))
+
+
 def utf8(text: str | None) -> bytes:
     """UTF-8 bytes of a text; a missing text is empty."""
     return (text or "").encode("utf-8", "surrogatepass")

@@ -1,3 +1,83 @@
-"""DuckDB SQL for the text queries that SQL can express."""
+"""DuckDB SQL for the text queries that SQL can express: chat formatting and host rules.
 
-ORACLES: dict[str, str] = {}
+The others learn models, hash with functions that SQL lacks, or build indexes; they are tested against
+brute force.
+"""
+
+from __future__ import annotations
+
+_WORD = r"[^\x20\x09-\x0D]+"
+
+_CHAT = r"""
+WITH rows AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -7, 0, 'user', '\### Assistant: </turn> ok'
+  UNION ALL SELECT -7, 1, 'assistant', '\### Assistant: </turn> ok'
+), sized AS (
+  SELECT *,
+    length(text) + length(regexp_replace(text, '[^\\]', '', 'g')) + length(text)
+      - length(regexp_replace(text, '#{3,}', '', 'g')) + (length(text) - length(replace(text, '</turn>', ''))) // 7 AS chars
+  FROM rows
+)
+SELECT conv_id,
+  count(*) AS n_turns,
+  sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+  CAST(coalesce(sum(length(text)) FILTER (role = 'assistant'), 0) AS BIGINT) AS loss_chars,
+  sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
+  CAST(sum(chars + length(role) + 14) AS BIGINT) AS formatted_chars
+FROM sized GROUP BY conv_id
+"""
+
+_FAILS = {
+    "short": "n_words < 20",
+    "repeats": "100 * n_repeat_words > 30 * n_words",
+    "symbols": "100 * n_symbols > 10 * word_chars",
+    "lines": "100 * n_dup_lines > 30 * n_lines",
+    "upper": "100 * n_upper > 50 * word_chars",
+    "long_words": "word_chars > 25 * n_words",
+}
+
+
+def _host_rules() -> str:
+    each = lambda form: ",\n  ".join(form.format(n=name, fail=fail) for name, fail in _FAILS.items())
+    return rf"""
+WITH texts AS (
+  SELECT doc_id, source, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '{_WORD}') AS ws FROM documents
+), windows AS (
+  SELECT doc_id, i, array_to_string(ws[i:i + 7], ' ') AS run FROM texts, unnest(range(1, len(ws) - 6)) AS r(i)
+), twice AS (
+  SELECT doc_id, i FROM windows QUALIFY count(*) OVER (PARTITION BY doc_id, run) > 1
+), again AS (
+  SELECT doc_id, count(DISTINCT i + k) AS n FROM twice, range(8) AS r(k) GROUP BY doc_id
+), counts AS (
+  SELECT t.doc_id, source, CAST(len(ws) AS BIGINT) AS n_words,
+    CAST(coalesce(list_sum(list_transform(ws, lambda x: length(x))), 0) AS BIGINT) AS word_chars,
+    length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')) AS n_symbols,
+    length(t) - length(regexp_replace(t, '[A-Z]', '', 'g')) AS n_upper,
+    list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '{_WORD}')) AS filled,
+    coalesce(a.n, 0) AS n_repeat_words
+  FROM texts t LEFT JOIN again a USING (doc_id)
+), lines AS (
+  SELECT *, len(filled) AS n_lines, CAST(len(filled) - len(list_distinct(filled)) AS BIGINT) AS n_dup_lines FROM counts
+), failed AS (
+  SELECT *, {each("{fail} AS fail_{n}")} FROM lines
+), hosts AS (
+  SELECT source, count(*) AS n, {each("sum(CAST(fail_{n} AS INT)) / count(*) AS r_{n}")} FROM failed GROUP BY source
+), moments AS (
+  SELECT avg(1 / n) AS noise, {each("avg(r_{n}) AS m_{n}, coalesce(var_samp(r_{n}), 0) AS v_{n}")} FROM hosts
+), extra AS (
+  SELECT *, {each("v_{n} - m_{n} * (1 - m_{n}) * noise AS x_{n}")} FROM moments
+), prior AS (
+  SELECT *, {each("CASE WHEN x_{n} > 0 THEN least(greatest(m_{n} * (1 - m_{n}) / x_{n} - 1, 1), 1000) ELSE 1000 END AS w_{n}")}
+  FROM extra
+), rates AS (
+  SELECT source, greatest({each("(r_{n} * n + m_{n} * w_{n}) / (n + w_{n})")}) AS worst FROM hosts, prior
+)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
+  fail_short OR fail_repeats AS base_failed,
+  NOT ({" OR ".join(f"fail_{name}" for name in _FAILS)} OR worst > 0.5) AS kept
+FROM failed f JOIN rates r ON f.source IS NOT DISTINCT FROM r.source
+"""
+
+
+ORACLES: dict[str, str] = {"op4_host_rules": _host_rules(), "op8_chat_format": _CHAT}

@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import wraps
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from seedview.llm.chat import digests, format_conversations
-from seedview.llm.common import read_table, remainder, train_labels
+from seedview.llm.common import bounded_batches, read_table, remainder, train_labels
 from seedview.llm.decontam import find_leaks
 from seedview.llm.host_rules import judge_documents
 from seedview.llm.mixing import MixSettings, mix_sources
@@ -101,7 +102,16 @@ def decontamination(spark: SparkSession, root: str) -> DataFrame:
     return leaks.select("doc_id", "item_id", "score", "question_overlap", "answer_overlap")
 
 
-QUERIES: dict[str, Query] = {
+def _bounded(query: Query) -> Query:
+    @wraps(query)
+    def run(spark: SparkSession, root: str) -> DataFrame:
+        bounded_batches(spark)
+        return query(spark, root)
+
+    return run
+
+
+_ALL: dict[str, Query] = {
     "op1_quality": quality,
     "op2_toxicity": toxicity,
     "op3_suffix_dedup": suffix_dedup,
@@ -113,3 +123,5 @@ QUERIES: dict[str, Query] = {
     "op9_url_filter": url_filter,
     "op10_decontamination": decontamination,
 }
+
+QUERIES: dict[str, Query] = {name: _bounded(query) for name, query in _ALL.items()}

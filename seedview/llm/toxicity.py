@@ -152,7 +152,7 @@ class TermAutomaton:
 class Matcher:
     """Match weights of raw tokens, with a bounded memory of tokens seen."""
 
-    def __init__(self, automaton: TermAutomaton, keep: int = 500_000) -> None:
+    def __init__(self, automaton: TermAutomaton, keep: int = 100_000) -> None:
         self.automaton, self.keep, self.seen = automaton, keep, {}
 
     def weight(self, token: str) -> float:
@@ -364,7 +364,8 @@ def _used_by_clean(sample: DataFrame, limits: dict[str, int]) -> set[str]:
         for frame in frames:
             tokens = {_EDGE.sub("", t) for text in frame["text"] for t in set(text.lower().split())}
             near = [t for t in tokens if t and 0 < every.weight(t) < 1]
-            yield pd.DataFrame({"term": [w for w, one in single.items() if any(one.weight(t) for t in near)]})
+            used = [(w,) for w, one in single.items() if any(one.weight(t) for t in near)]
+            yield pd.DataFrame(used, columns=["term"])
 
     rows = sample.where("y = 0").select("text").mapInPandas(variants, "term string").distinct()
     return {row["term"] for row in rows.collect()}
