@@ -342,6 +342,8 @@ class Shard:
     def runs(self, repeated: np.ndarray) -> pd.DataFrame:
         """Byte ranges that the repeated windows cover, in their documents."""
         window = np.sort(self.window[repeated])
+        if not len(window):
+            return _run_frame([], [], [], [])
         owner = window // CONTEXT
         first = np.append(True, (window[1:] != window[:-1] + 1) | (owner[1:] != owner[:-1]))
         last = np.append(first[1:], True)
