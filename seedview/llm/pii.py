@@ -193,26 +193,26 @@ def fit_logistic(x: np.ndarray, target: np.ndarray, counts: np.ndarray, ridge: f
     return w
 
 
-def candidates(docs: DataFrame) -> DataFrame:
-    """The columns of ``docs`` but the text, with the array ``__all`` of (kind, start, end, found, before), written once."""
+def candidates(docs: DataFrame, texts: bool = False) -> DataFrame:
+    """``row`` (a struct of the columns of ``docs``, the text only if ``texts``) and the array ``spans`` of
+    (kind, start, end, found, before) of each row, written once."""
     text = F.coalesce(F.col("text"), F.lit(""))
-    spans = docs.withColumns({f"__{kind}": column for kind, column in base_spans(text).items()})
-    spans = spans.withColumn("__secret", F.when(text.rlike("[0-9]"), _matches(text, _TOKEN)).otherwise(_none()))
-    spans = pin(spans.drop("text"), "pii-spans")
-    tagged = lambda kind: F.transform(
-        f"__{kind}", lambda x: F.struct(F.lit(kind).alias("kind"), x["start"].alias("start"), x["end"].alias("end"), x["found"].alias("found"), x["before"].alias("before"))
-    )
-    exact = F.concat(*(tagged(kind) for kind in BASE))
-    free = F.filter(
-        tagged("secret"), lambda x: ~F.exists("__exact", lambda y: (y["start"] < x["end"]) & (x["start"] < y["end"]))
-    )
-    spans = spans.withColumn("__exact", exact).withColumn("__all", F.concat("__exact", free))
-    return spans.drop("__exact", *(f"__{kind}" for kind in KINDS))
+    row = F.struct(*(F.col(f"`{c}`") for c in docs.columns if texts or c != "text")).alias("row")
+    tokens = F.when(text.rlike("[0-9]"), _matches(text, _TOKEN)).otherwise(_none())
+    found = pin(docs.select(row, *(c.alias(kind) for kind, c in {**base_spans(text), "secret": tokens}.items())), "pii-spans")
+
+    def tagged(kind: str) -> Column:
+        fields = ("start", "end", "found", "before")
+        return F.transform(kind, lambda x: F.struct(F.lit(kind).alias("kind"), *(x[f].alias(f) for f in fields)))
+
+    apart = lambda x: ~F.exists("exact", lambda y: (y["start"] < x["end"]) & (x["start"] < y["end"]))
+    found = found.withColumn("exact", F.concat(*(tagged(kind) for kind in BASE)))
+    return found.select("row", F.concat("exact", F.filter(tagged("secret"), apart)).alias("spans"))
 
 
 def fit_spans(found: DataFrame) -> SpanModel:
     """Count votes and features over all candidates, weigh the labelers, fit the classifier."""
-    each = found.select(F.explode("__all").alias("s"))
+    each = found.select(F.explode("spans").alias("s"))
     kind, string, before = F.col("s.kind"), F.col("s.found"), F.col("s.before")
     votes, features = _votes(kind, string, before), _features(kind, string, before)
     columns = [F.coalesce(v, F.lit(-1)).alias(f"v_{n}") for n, v in votes.items()]
@@ -228,17 +228,18 @@ def fit_spans(found: DataFrame) -> SpanModel:
     return SpanModel(reliability, dict(zip(["bias", *features], map(float, weights), strict=True)))
 
 
-def find_personal_data(docs: DataFrame, least: float = 0.5) -> DataFrame:
-    """The columns of ``docs`` but the text, with the array ``spans`` of (kind, start, end), in order of kind and start.
+def find_personal_data(docs: DataFrame, least: float = 0.5, texts: bool = False) -> DataFrame:
+    """``row`` and the array ``spans`` of (kind, start, end), in order of kind and start.
 
+    ``row`` is a struct of the columns of ``docs``, the text only if ``texts``, so their names may be any.
     Every row of ``docs`` gives one row. A missing or empty text has no spans. Offsets are code points,
     the end is exclusive.
     """
-    found = candidates(docs)
+    found = candidates(docs, texts)
     model = fit_spans(found)
-    keep = F.filter("__all", lambda x: (x["kind"] != "secret") | (model.score(x["kind"], x["found"], x["before"]) >= least))
+    keep = F.filter("spans", lambda x: (x["kind"] != "secret") | (model.score(x["kind"], x["found"], x["before"]) >= least))
     spans = F.transform(keep, lambda x: F.struct(x["kind"].alias("kind"), x["start"].alias("start"), x["end"].alias("end")))
-    return found.withColumn("spans", spans).drop("__all")
+    return found.select("row", spans.alias("spans"))
 
 
 def listed(spans: Column) -> Column:

@@ -68,7 +68,7 @@ def personal_data(spark: SparkSession, root: str) -> DataFrame:
     base = F.filter("spans", lambda x: x["kind"].isin(BASE))
     count = lambda kind: F.size(F.filter("spans", lambda x: x["kind"] == kind)).cast("long").alias(f"n_{kind}")
     return found.select(
-        "doc_id", *map(count, BASE), F.sha2(listed(base), 256).alias("base_sha256"), listed(F.col("spans")).alias("spans")
+        "row.doc_id", *map(count, BASE), F.sha2(listed(base), 256).alias("base_sha256"), listed(F.col("spans")).alias("spans")
     )
 
 

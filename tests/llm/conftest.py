@@ -5,6 +5,7 @@ import pytest
 from pyspark.sql import types as T
 
 sys.path.insert(0, str(Path(__file__).resolve().parent))
+sys.path.insert(0, str(Path(__file__).resolve().parents[2] / "tools"))
 
 from llm_data import CLASHING, EDGE_TEXTS  # noqa: E402
 
