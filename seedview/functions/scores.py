@@ -16,7 +16,10 @@ CHANCE_AUROC = 0.5
 def auroc(
     df: DataFrame, score: str, label: str, by: Sequence[str] = (), positives: str | None = None, negatives: str | None = None
 ) -> DataFrame:
-    """``by`` columns, ``n_pos``, ``n_neg`` and ``auroc`` with ties counted half; NULL for one class.
+    """``by`` columns, ``n_pos``, ``n_neg``, ``n_missing`` and ``auroc`` with ties counted half.
+
+    ``auroc`` is NULL for one class, and if any score is missing (NULL or NaN): a model that gives no
+    score for its hard rows is not scored on the easy ones. Counts are of rows with a score.
 
     Rows are first counted per distinct score, combined before the shuffle. Each score then adds
     ``pos * (negatives below + neg / 2)``, where the negatives below come from a running sum.
@@ -27,25 +30,31 @@ def auroc(
         df = df.withColumn("__all", F.lit(0))
     pos_value = F.col(positives) if positives else (F.col(label).cast("int") == 1).cast("bigint")
     neg_value = F.col(negatives) if negatives else (F.col(label).cast("int") == 0).cast("bigint")
-    counted = (
-        df.where(F.col(score).isNotNull())
-        .groupBy(*group, F.col(score).cast("double").alias(POS))
-        .agg(F.sum(pos_value).alias("n_pos"), F.sum(neg_value).alias("n_neg"))
+    value = F.col(score).cast("double")
+    scored = value.isNotNull() & ~F.isnan(value)
+    zero = F.lit(0).cast("bigint")
+    counted = df.groupBy(*group, F.when(scored, value).otherwise(F.lit(float("-inf"))).alias(POS)).agg(
+        F.sum(F.when(scored, pos_value).otherwise(zero)).alias("n_pos"),
+        F.sum(F.when(scored, neg_value).otherwise(zero)).alias("n_neg"),
+        F.sum(F.when(scored, zero).otherwise(pos_value + neg_value)).alias("n_missing"),
     )
     below = running(counted.withColumn(PROBE, F.lit(False)), group, {"n_pos": "sum", "n_neg": "sum"})
     before = (F.col("asc__n_neg") - F.col("n_neg")).cast("double")
     share = F.col("n_pos").cast("double") * (before + F.col("n_neg").cast("double") / 2)
     total = below.groupBy(*group).agg(
-        F.sum("n_pos").alias("n_pos"), F.sum("n_neg").alias("n_neg"), F.sum(share).alias("__area")
+        F.sum("n_pos").alias("n_pos"), F.sum("n_neg").alias("n_neg"), F.sum("n_missing").alias("n_missing"), F.sum(share).alias("__area")
     )
     pairs = F.nullif(F.col("n_pos").cast("double") * F.col("n_neg").cast("double"), F.lit(0.0))
-    return total.select(*by, "n_pos", "n_neg", (F.col("__area") / pairs).alias("auroc"))
+    area = F.when(F.col("n_missing") == 0, F.col("__area") / pairs)
+    return total.select(*by, "n_pos", "n_neg", "n_missing", area.alias("auroc"))
 
 
 def mae(df: DataFrame, prediction: str, label: str, by: Sequence[str] = ()) -> DataFrame:
-    """``by`` columns, ``n`` and ``mae``, the mean absolute error."""
-    error = F.abs(F.col(label).cast("double") - F.col(prediction).cast("double"))
-    return df.groupBy(*by).agg(F.count(error).alias("n"), F.avg(error).alias("mae"))
+    """``by`` columns, ``n``, ``n_missing`` and ``mae``, the mean absolute error; NULL if any is missing."""
+    error = F.nanvl(F.abs(F.col(label).cast("double") - F.col(prediction).cast("double")), F.lit(None).cast("double"))
+    missing = F.count_if(error.isNull())
+    mean = F.when(missing == 0, F.avg(error))
+    return df.groupBy(*by).agg(F.count(error).alias("n"), missing.alias("n_missing"), mean.alias("mae"))
 
 
 def utility(score: Column, metric: Column) -> Column:
@@ -56,7 +65,7 @@ def utility(score: Column, metric: Column) -> Column:
 
 
 def evaluate(df: DataFrame, prediction: str, label: str, metric: str, by: Sequence[str] = ()) -> DataFrame:
-    """``by`` columns and ``metric_value``."""
+    """``by`` columns and ``metric_value``, NULL where predictions are missing."""
     if metric == "auroc":
         return auroc(df, prediction, label, by).select(*by, F.col("auroc").alias("metric_value"))
     if metric == "mae":

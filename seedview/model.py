@@ -56,8 +56,9 @@ class DatabaseSpec:
 class TaskSpec:
     """Prediction instances: one row per (entity key, seed time), with a label.
 
-    ``seed_range`` is the known (first, last) seed time, if any; it becomes a literal bound on
-    child scans. ``split`` names the column that holds train/val/test, once one was assigned.
+    ``seed_range`` is a hint that bounds on the seed times are worth measuring (any value but None):
+    they become literal bounds on child scans. Its values are never used, so a hint that no longer fits
+    the task table cannot remove rows. ``split`` names the column that holds train/val/test, once one was assigned.
     """
 
     name: str

@@ -52,7 +52,8 @@ def temporal_aggregates(
     ``{table}__recency_days`` and ``{table}__{column}__{mean,sum,min,max,nunique}``. Counts are 0
     and everything else NULL without history. ``null_time="keep"`` counts undated rows in every
     window, ``"drop"`` ignores them; a table without time column counts all rows for every seed.
-    ``columns`` restricts the aggregated columns. Instances without key or seed get no row.
+    ``columns`` restricts the aggregated columns. Instances without key or seed get no row. Any
+    ``seed_range`` but None lets the bounds of the seeds be measured and pushed into the child's scan.
     """
     if null_time not in ("keep", "drop"):
         raise ValueError("null_time must be 'keep' or 'drop'")
@@ -79,6 +80,8 @@ def temporal_aggregates(
         grid = small_grid(seeds.select(micros(seed_time_col).alias(POS)), skew.grid)
         if grid:
             seed_range = tuple(datetime(1970, 1, 1) + timedelta(microseconds=m) for m in (grid[0], grid[-1]))
+    if table.time_col and seed_range is not None and not grid:
+        seed_range = _measured_range(instances, seed_time_col)
     if table.time_col:
         dated = _bounded(keyed.where(F.col(table.time_col).isNotNull()), table.time_col, lookbacks, seed_range)
         if null_time == "keep" and not table.time_required:
@@ -175,6 +178,13 @@ def _lookback_of(lookbacks: Lookbacks) -> Column:
     return days
 
 
+def _measured_range(instances: DataFrame, seed_time_col: str):
+    """First and last seed time, or None without seeds."""
+    time = F.col(seed_time_col).cast("timestamp_ntz")
+    first, last = instances.agg(F.min(time), F.max(time)).first()
+    return None if first is None else (first, last)
+
+
 def _bounded(child: DataFrame, time_col: str, lookbacks: Lookbacks, seed_range) -> DataFrame:
     """Literal time bounds, which reach the scan: nothing after the last seed can matter, nor
     anything before the first seed's longest window."""

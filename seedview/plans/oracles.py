@@ -175,7 +175,8 @@ def auroc(source: str, score: str, by: str) -> str:
 
 
 def auroc_rows(source: str, score: str, by: str) -> str:
-    return f"""SELECT {by}, CAST(n_pos AS BIGINT) AS n_pos, CAST(n_neg AS BIGINT) AS n_neg, round(auroc, 9) AS auroc
+    return f"""SELECT {by}, CAST(n_pos AS BIGINT) AS n_pos, CAST(n_neg AS BIGINT) AS n_neg,
+  CAST(0 AS BIGINT) AS n_missing, round(auroc, 9) AS auroc
 FROM ({auroc(source, score, by)})"""
 
 
@@ -259,10 +260,17 @@ GROUP BY t.c_custkey, t.seed_time""",
 SELECT t.o_orderkey, t.seed_time, {days_column(None)},
   {count_and_recency("lineitem", "l_orderkey", "l_shipdate", "l")},
   {numeric("lineitem", "l_quantity", "l")}, {numeric("lineitem", "l_extendedprice", "l")},
-  {numeric("lineitem", "l_discount", "l")},
+  {numeric("lineitem", "l_discount", "l")}, {numeric("lineitem", "l_tax", "l")},
+  {numeric("lineitem", "l_partkey", "l")}, {numeric("lineitem", "l_suppkey", "l")},
+  {numeric("lineitem", "l_linenumber", "l")}, {numeric("lineitem", "line_id", "l")},
   {nunique("lineitem", "l_returnflag", "l")}, {nunique("lineitem", "l_linestatus", "l")}
-FROM task t LEFT JOIN lineitem l ON l.l_orderkey = t.o_orderkey AND l.l_shipdate <= t.seed_time
+FROM task t LEFT JOIN (SELECT *, row_number() OVER () - 1 AS line_id FROM lineitem) l
+  ON l.l_orderkey = t.o_orderkey AND l.l_shipdate <= t.seed_time
 GROUP BY t.o_orderkey, t.seed_time""",
+    "tagg_moved_task": f"WITH {REORDER.replace('AS TIMESTAMP) AS', 'AS TIMESTAMP) - INTERVAL 500 DAY AS', 1)} "
+    + tagg_orders(30)
+    + " UNION ALL "
+    + tagg_orders(None),
     "tagg_null_time_keep": tagg_partly_dated(True),
     "tagg_null_time_drop": tagg_partly_dated(False),
     "tagg_static_child": f"""WITH {GRID}, task AS (SELECT n_nationkey, seed_time FROM nation CROSS JOIN grid)
@@ -308,7 +316,7 @@ UNION ALL SELECT c_custkey, seed_time, 'events', i, 'in_customer', 'customer', 0
     "entity_date_spread": f"WITH {DATES} SELECT c_custkey, customer_date FROM dates",
     "relative_day_date": relative("o.o_orderkey % 977 + 0.75", 1, 11),
     "relative_month_date": relative("o.o_orderkey % 37 + 0.5", 30, 13),
-    "dense_customer_ids": f"{SORTED_IDS} WHERE c_acctbal > 0",
+    "dense_customer_ids": SORTED_IDS,
     "dense_name_ids": "SELECT c_name AS old_id, row_number() OVER (ORDER BY c_name) - 1 AS new_id "
     "FROM (SELECT DISTINCT c_name FROM customer)",
     "remapped_orders": f"""WITH ids AS ({SORTED_IDS} WHERE c_acctbal > 0)
@@ -381,7 +389,12 @@ ORDER BY substr(md5('7|' || o_orderkey), 1, 15), o_orderkey LIMIT 1000""",
     "auroc_one_class": f"""WITH {SCORED},
 kept AS (SELECT * FROM scored WHERE label = 1 OR c_mktsegment = 'BUILDING')
 {auroc_rows('kept', 'row_count', 'c_mktsegment')}""",
-    "mae": f"""WITH {ERRORS} SELECT seed_time, count(*) AS n, round(avg(abs(label - prediction)), 6) AS mae
+    "auroc_missing": f"""WITH {SCORED}
+SELECT lookback_days, CAST(coalesce(sum(label) FILTER (row_count > 0), 0) AS BIGINT) AS n_pos,
+  CAST(coalesce(sum(1 - label) FILTER (row_count > 0), 0) AS BIGINT) AS n_neg,
+  count(*) FILTER (row_count = 0) AS n_missing, CAST(NULL AS DOUBLE) AS auroc
+FROM scored WHERE lookback_days IS NOT NULL GROUP BY lookback_days""",
+    "mae": f"""WITH {ERRORS} SELECT seed_time, count(*) AS n, CAST(0 AS BIGINT) AS n_missing, round(avg(abs(label - prediction)), 6) AS mae
 FROM errors GROUP BY seed_time""",
     "utility": f"""WITH {ERRORS}, e AS (SELECT strftime(seed_time, '%Y-%m-%d %H:%M:%S') AS run, 'mae' AS metric_name,
   avg(abs(label - prediction)) AS metric_value FROM errors GROUP BY seed_time)

@@ -158,8 +158,15 @@ def tagg_events_w7(spark, root):
 @query
 def tagg_lines_by_order(spark, root):
     db, task = problems.order_lines(spark, root)
-    columns = ["l_quantity", "l_extendedprice", "l_discount", "l_returnflag", "l_linestatus"]
-    return rounded(aggregates(db, task, "lineitem", "l_orderkey", columns=columns))
+    return rounded(aggregates(db, task, "lineitem", "l_orderkey"))
+
+
+@query
+def tagg_moved_task(spark, root):
+    """Seeds moved 500 days back after the task was made: bounds must follow the seeds that are there."""
+    db, task = problems.customer_reorder(spark, root)
+    moved = task.task_table.withColumn("seed_time", F.timestamp_add("DAY", F.lit(-500), F.col("seed_time")))
+    return rounded(aggregates(db, task.with_table(moved), "orders", "o_custkey", lookbacks=[30, None]))
 
 
 def _partly_dated(spark, root) -> tuple[DatabaseSpec, TaskSpec]:
@@ -332,7 +339,7 @@ def relative_month_date(spark, root):
 
 @query
 def dense_customer_ids(spark, root):
-    return keys.dense_id_map(read(spark, root, "customer").where("c_acctbal > 0"), "c_custkey")
+    return keys.dense_id_map(read(spark, root, "customer"), "c_custkey")
 
 
 @query
@@ -606,6 +613,14 @@ def auroc_exact(spark, root):
     )
 
 
+@query
+def auroc_missing(spark, root):
+    """A scorer that stays silent for rows without history: no AUROC, but the number of such rows."""
+    scored = _scored_reorders(spark, root).where("lookback_days is not null")
+    silent = scored.withColumn("score", F.when(F.col("orders__row_count") > 0, F.col("orders__row_count")))
+    return rounded(scores.auroc(silent, "score", "label", ["lookback_days"]), 9)
+
+
 @query
 def auroc_one_class(spark, root):
     """Segments restricted to positives: no AUROC."""

@@ -10,10 +10,28 @@ from pyspark.sql import functions as F
 
 from seedview.functions import invariance, scores
 from seedview.operators import prep
+from seedview.plans.models import score_batches
 
 NAN, INF = float("nan"), float("inf")
 
 
+def test_missing_scores_are_counted_and_not_scored(spark):
+    rows = [("a", 0.9, 1), ("a", None, 0), ("a", float("nan"), 1), ("b", 0.9, 1), ("b", 0.1, 0), ("c", None, 1)]
+    df = spark.createDataFrame(rows, "g string, score double, label int")
+    got = {r.g: (r.n_pos, r.n_neg, r.n_missing, r.auroc) for r in scores.auroc(df, "score", "label", ["g"]).collect()}
+    assert got == {"a": (1, 0, 2, None), "b": (1, 1, 0, 1.0), "c": (0, 0, 1, None)}
+    errors = {r.g: (r.n, r.n_missing, r.mae is None) for r in scores.mae(df, "score", "label", ["g"]).collect()}
+    assert errors == {"a": (1, 2, True), "b": (2, 0, False), "c": (0, 1, True)}
+
+
+def test_scorer_leaves_other_columns_alone(spark):
+    rows = [(9007199254740993, 1.0, "9000-01-01 00:00:00"), (None, 2.0, None)]
+    df = spark.createDataFrame(rows, "id bigint, x double, at string")
+    df = df.withColumn("at", df["at"].cast("timestamp_ntz"))
+    out = score_batches(df, lambda frame: frame["x"] * 2, ["x"])
+    assert out.drop("prediction").exceptAll(df).isEmpty() and sorted(r.prediction for r in out.select("prediction").collect()) == [2, 4]
+
+
 def pairwise_auroc(rows):
     pos = [s for s, y in rows if y == 1]
     neg = [s for s, y in rows if y == 0]

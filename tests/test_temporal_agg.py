@@ -99,6 +99,17 @@ def test_seed_range_only_prunes(spark, skew_mode):
     assert free.exceptAll(bounded).isEmpty() and bounded.exceptAll(free).isEmpty()
 
 
+def test_wrong_seed_range_removes_nothing(spark, skew_mode):
+    children, seeds = random_history(6)
+    child, instances = history_frames(spark, children, seeds)
+    wrong = (datetime(1990, 1, 1), datetime(1990, 1, 2))
+    free = aggregates(instances, child, [1, 7, None])
+    hinted = aggregates(instances, child, [1, 7, None], seed_range=wrong)
+    assert free.exceptAll(hinted).isEmpty() and hinted.exceptAll(free).isEmpty()
+    none = aggregates(instances.limit(0), child, [1], seed_range=wrong)
+    assert none.count() == 0
+
+
 def test_static_child_counts_for_every_seed(spark, skew_mode):
     child = frame(
         spark, [(1, 1, 2.0, "a"), (2, 1, None, "a"), (3, 1, 4.0, "b"), (4, None, 9.0, "z")],
