@@ -38,7 +38,7 @@ def auroc(
         F.sum(F.when(scored, neg_value).otherwise(zero)).alias("n_neg"),
         F.sum(F.when(scored, zero).otherwise(pos_value + neg_value)).alias("n_missing"),
     )
-    below = running(counted.withColumn(PROBE, F.lit(False)), group, {"n_pos": "sum", "n_neg": "sum"})
+    below = running(counted.withColumn(PROBE, F.lit(False)), group, {"n_pos": "sum", "n_neg": "sum", "n_missing": "sum"})
     before = (F.col("asc__n_neg") - F.col("n_neg")).cast("double")
     share = F.col("n_pos").cast("double") * (before + F.col("n_neg").cast("double") / 2)
     total = below.groupBy(*group).agg(
