@@ -17,7 +17,7 @@ def read_table(spark: SparkSession, root: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{root}/{name}.parquet")
 
 
-def bounded_batches(spark: SparkSession, rows: int = 1000) -> None:
+def bounded_batches(spark: SparkSession, rows: int = 256) -> None:
     """Hand Python at most ``rows`` texts at a time, unless the session asks for fewer.
 
     The default of 10,000 rows is made for numbers; that many long texts, held by two workers, would
@@ -28,6 +28,21 @@ def bounded_batches(spark: SparkSession, rows: int = 1000) -> None:
         spark.conf.set(key, str(rows))
 
 
+#: Ids that are sent to every executor at most; as many longs take 16 MB.
+MOST_IDS_SENT = 2_000_000
+
+
+def join_ids(docs: DataFrame, ids: DataFrame, name: str, how: str) -> DataFrame:
+    """Semi or anti join of ``docs`` on doc_id with the distinct long ids in column ``name``.
+
+    Up to ``MOST_IDS_SENT`` counted ids go to the executors, so the texts need not move; more are
+    joined by a shuffle.
+    """
+    ids = ids.select(F.col(name).alias("__id"))
+    few = ids.limit(MOST_IDS_SENT + 1).count() <= MOST_IDS_SENT
+    return docs.join(F.broadcast(ids) if few else ids, docs["doc_id"] == ids["__id"], how)
+
+
 def utf8(text: str | None) -> bytes:
     """UTF-8 bytes of a text; a missing text is empty."""
     return (text or "").encode("utf-8", "surrogatepass")

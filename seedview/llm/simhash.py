@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from seedview.llm.common import words_of
+from seedview.llm.common import join_ids, words_of
 from seedview.llm.graph import connected_components
 from seedview.session import pin
 
@@ -192,6 +192,7 @@ def near_copy_pairs(docs: DataFrame, s: NearCopySettings = NearCopySettings()) -
         for batch in texts:
             yield pd.Series([segment_fingerprints(words_of(text), s) for text in batch])
 
+    segments = segments.asNondeterministic()  # used twice below, to be run once
     named = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     cut = named.select("doc_id", segments("text").alias("keys"))
     keys = pin(cut.select("doc_id", F.size("keys").alias("n"), F.explode("keys").alias("key")), "copy-segments")
@@ -203,7 +204,7 @@ def near_copy_pairs(docs: DataFrame, s: NearCopySettings = NearCopySettings()) -
     pairs = pin(both.where(F.col("common") >= s.share * F.col("most")).select("a", "b"), "copy-pairs")
 
     ids = pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct()
-    texts = pin(named.join(ids, "doc_id"), "copy-texts")
+    texts = pin(join_ids(named, pin(ids, "copy-ids"), "doc_id", "left_semi"), "copy-texts")
 
     @F.pandas_udf("double")
     def similarity(one: pd.Series, two: pd.Series) -> pd.Series:
@@ -223,5 +224,4 @@ def without_near_duplicates(docs: DataFrame, s: NearCopySettings = NearCopySetti
     classes = near_duplicate_classes(docs).where("doc_id is not null and doc_id <> component_id")
     links = classes.select(F.col("doc_id").cast("long").alias("a"), F.col("component_id").cast("long").alias("b"))
     roots = connected_components(links.union(near_copy_pairs(docs, s)))
-    gone = roots.select(F.col("node").alias("__gone"))
-    return docs.join(gone, docs["doc_id"] == gone["__gone"], "left_anti")
+    return join_ids(docs, roots, "node", "left_anti")
