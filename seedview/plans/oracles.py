@@ -376,6 +376,15 @@ UNION ALL SELECT 'split', split, count(*), 3, 'c_custkey', 'seed_time', 'c_custk
   FROM (SELECT DISTINCT o_orderpriority FROM orders WHERE o_orderpriority > '1-URGENT'))
 SELECT o.o_orderpriority, c.code AS o_orderpriority__code, count(*) AS n_rows
 FROM orders o LEFT JOIN codes c ON c.o_orderpriority = o.o_orderpriority GROUP BY o.o_orderpriority, c.code""",
+    "assembled_entries": """WITH train AS (SELECT * FROM customer WHERE c_nationkey <> 3),
+scale AS (SELECT avg(c_custkey) AS mk, stddev_pop(c_custkey) AS sk, avg(c_nationkey) AS mn, stddev_pop(c_nationkey) AS sn FROM train),
+names AS (SELECT c_name, row_number() OVER (ORDER BY c_name) + 1 AS position FROM (SELECT DISTINCT c_name FROM train)),
+segments AS (SELECT c_mktsegment, row_number() OVER (ORDER BY c_mktsegment) + 1 + (SELECT count(*) FROM names) AS position
+  FROM (SELECT DISTINCT c_mktsegment FROM train))
+SELECT c_custkey, 0 AS position, round((c_custkey - mk) / sk, 6) AS value FROM customer, scale
+UNION ALL SELECT c_custkey, 1, round((c_nationkey - mn) / sn, 6) FROM customer, scale
+UNION ALL SELECT c_custkey, position, 1.0 FROM customer JOIN names USING (c_name)
+UNION ALL SELECT c_custkey, position, 1.0 FROM customer JOIN segments USING (c_mktsegment)""",
     "impute_nonfinite": """WITH r AS (SELECT l_linestatus, l_shipdate,
   CASE WHEN l_discount <> 0 THEN l_tax / l_discount END AS ratio FROM lineitem),
 m AS (SELECT median(ratio) AS fill FROM r WHERE l_shipdate < TIMESTAMP '2000-01-01')

@@ -532,6 +532,15 @@ def one_hot_counts(spark, root):
     return coded.groupBy("o_orderpriority", "o_orderpriority__code").agg(F.count(F.lit(1)).alias("n_rows"))
 
 
+@query
+def assembled_entries(spark, root):
+    """Entries of the feature vectors of all customers, names included, fitted on part of them."""
+    customers = read(spark, root, "customer")
+    fitted = prep.TabularPrep("c_acctbal").fit(customers.where("c_nationkey <> 3"))
+    entries = fitted.entries(customers).select("c_custkey", F.explode("entries").alias("e"))
+    return rounded(entries.select("c_custkey", F.col("e.position").cast("bigint").alias("position"), F.col("e.value").alias("value")))
+
+
 @query
 def impute_nonfinite(spark, root):
     """Ratios with a zero divisor are NaN or infinite; they get the training median."""

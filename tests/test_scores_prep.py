@@ -168,3 +168,12 @@ def test_preprocessing_fits_on_train_only(spark):
     assert rows[1] == [0.0, 0.0, 1.0]  # missing number -> median, missing category -> mode "b"
     with pytest.raises(RuntimeError):
         prep.TabularPrep("label").transform(test)
+
+
+def test_more_categories_than_a_driver_table_would_hold(spark):
+    train = spark.range(120_000).selectExpr("concat('name', id) AS name", "cast(id % 2 AS double) AS label")
+    fitted = prep.TabularPrep("label").fit(train)
+    assert fitted.n_positions == 120_000
+    vector = fitted.transform(train.where("name = 'name99999'")).first().features
+    assert vector.size == 120_000 and vector.numNonzeros() == 1
+    assert fitted.transform(train.limit(1).selectExpr("'unseen' AS name", "label")).first().features.numNonzeros() == 0
