@@ -195,6 +195,21 @@ ris AS (SELECT task_name, count(*) AS n_representations, 1 - stddev_pop(utility)
   stddev_pop(utility) AS utility_std, min(utility) AS utility_min, max(utility) AS utility_max,
   max(utility) - min(utility) AS utility_gap FROM utilities GROUP BY task_name)"""
 
+COLUMN_RUNS = f"""{REORDER},
+scores AS (SELECT t.label, c.c_acctbal, CAST(t.c_custkey AS DOUBLE) AS c_custkey,
+    count(o.o_orderkey) FILTER (o.o_orderdate >= t.seed_time - INTERVAL 30 DAY) AS recent, count(o.o_orderkey) AS ever
+  FROM task t JOIN customer c ON c.c_custkey = t.c_custkey
+  LEFT JOIN orders o ON o.o_custkey = t.c_custkey AND o.o_orderdate <= t.seed_time
+  WHERE t.seed_time >= TIMESTAMP '2000-01-01' GROUP BY t.c_custkey, t.seed_time, t.label, c.c_acctbal),
+long AS (SELECT label, 'customer__c_acctbal:jt_entity' AS model_name, 'joined-table' AS view_name,
+    'joined-table|subview=jt_entity|hops=1' AS representation, c_acctbal AS score FROM scores
+  UNION ALL SELECT label, 'customer__c_acctbal:jt_temporalagg', 'joined-table',
+    'joined-table|subview=jt_temporalagg|hops=1|window=30', recent FROM scores
+  UNION ALL SELECT label, 'c_custkey', 'relational', 'relational', c_custkey FROM scores
+  UNION ALL SELECT label, 'graphdeg__orders__count_leq_seed', 'graph-counts',
+    'graph-counts|features=incident_degree_counts', ever FROM scores),
+runs AS ({auroc("long", "score", "model_name, view_name, representation")})"""
+
 ERRORS = f"""{SPEND},
 errors AS (SELECT t.seed_time, t.label, coalesce(sum(o.o_totalprice), 0.0) AS prediction
   FROM task t LEFT JOIN orders o ON o.o_custkey = t.c_custkey AND o.o_orderdate <= t.seed_time
@@ -441,6 +456,15 @@ SELECT o.o_orderkey, o.o_custkey AS c_custkey, CASE WHEN o.o_orderkey % 11 <> 0
 FROM orders o LEFT JOIN csv_dates d ON d.c_custkey = o.o_custkey""",
     "exported_tasks": f"""WITH {REORDER}, ids AS ({SORTED_IDS})
 SELECT i.new_id AS c_custkey, t.seed_time, t.label, {SPLIT} AS split FROM task t JOIN ids i ON i.old_id = t.c_custkey""",
+    "gbt_scores": f"""WITH {REORDER} SELECT c_custkey, seed_time, label, true AS is_probability FROM task
+WHERE seed_time >= TIMESTAMP '2000-01-01'""",
+    "protocol_a_columns": f"""WITH {COLUMN_RUNS}
+SELECT 'customer_reorder' AS task_name, model_name, view_name, 'test' AS split_name, 'auroc' AS metric_name,
+  round(auroc, 6) AS metric_value, representation, false AS is_baseline, round(auroc, 6) AS utility_value FROM runs""",
+    "protocol_a_scores": f"""WITH {COLUMN_RUNS}, ends AS (SELECT max(auroc) AS top FROM runs),
+utilities AS (SELECT CASE WHEN abs(top - 0.5) < 1e-12 THEN 0.0 ELSE (auroc - 0.5) / (top - 0.5) END AS u FROM runs, ends)
+SELECT 'customer_reorder' AS task_name, (SELECT count(*) FROM runs) AS n_representations,
+  round((SELECT 1 - stddev_pop(u) FROM utilities), 6) AS ris, representation, round(auroc, 6) AS score FROM runs""",
     "plugin_scores": f"""WITH {REORDER}, agg AS ({tagg_orders(90, "count(o.o_orderkey) AS orders__row_count")})
 SELECT c_custkey, seed_time, orders__row_count, round(orders__row_count / (1.0 + orders__row_count)::DOUBLE, 6) AS prediction FROM agg""",
 }

@@ -820,9 +820,6 @@ def _model_problem(spark, root):
     return db, with_fixed_split(task)
 
 
-NAMES = ["customer__c_name"]
-
-
 @query
 def plugin_scores(spark, root):
     """A Python scorer over Arrow batches."""
@@ -837,16 +834,15 @@ def gbt_scores(spark, root):
     db, task = _model_problem(spark, root)
     config = ViewConfig("jt_temporalagg", lookback_days=90)
     view = protocol.materialize(views.build_view(db, task, config), "gbt")
-    model = models.SparkTabularModel(
-        "gbt", models.boosted_trees("classification", maxIter=5, maxDepth=3), drop=NAMES, validate=True
-    )
+    model = models.SparkTabularModel("gbt", models.boosted_trees("classification"), validate=True)
     train, val, test = (view.where(F.col("split") == s) for s in tables.SPLITS)
     model.fit(train, val, task)
-    return model.predict(test, task).select(*task.key_columns, "label", "prediction")
+    scored = model.predict(test, task)
+    return scored.select(*task.key_columns, "label", F.col("prediction").between(0, 1).alias("is_probability"))
 
 
 def _linear(task: TaskSpec) -> models.SparkTabularModel:
-    return models.SparkTabularModel("linear", models.linear_model(task.task_type, maxIter=5), drop=NAMES)
+    return models.SparkTabularModel("linear", models.linear_model(task.task_type))
 
 
 @query
@@ -858,6 +854,37 @@ def protocol_a(spark, root):
     return summary.runs.drop("compute", "extra")
 
 
+def _column_model(*names: str) -> models.CallbackModel:
+    """Scores rows by the first of the columns that the data has; learns nothing."""
+
+    def predict(state, data, task):
+        rows = models.rows_of(data)
+        name = next(c for c in names if c in rows.columns)
+        return rows.withColumn(models.PREDICTION, F.col(name).cast("double"))
+
+    return models.CallbackModel(names[-1], lambda train, val, task: (None, {}), predict)
+
+
+def _column_protocol(spark, root) -> protocol.ProtocolSummary:
+    db, task = _model_problem(spark, root)
+    joined = _column_model("orders__row_count", "customer__c_acctbal")
+    relational, graph = _column_model("c_custkey"), _column_model("graphdeg__orders__count_leq_seed")
+    return protocol.run_protocol_a(db, task, [joined], [relational], [graph])
+
+
+@query
+def protocol_a_columns(spark, root):
+    """Protocol A with models that score by one column: runs that SQL can follow."""
+    return rounded(_column_protocol(spark, root).runs.drop("compute", "extra"))
+
+
+@query
+def protocol_a_scores(spark, root):
+    """The scores that the invariance of protocol A is computed from, beside it."""
+    ris = _column_protocol(spark, root).ris
+    return rounded(ris.select("task_name", "n_representations", "ris", F.explode("representation_scores").alias("representation", "score")))
+
+
 @query
 def protocol_b(spark, root):
     db, task = _model_problem(spark, root)

@@ -23,7 +23,7 @@ def con():
 
 def test_every_oracle_has_a_query():
     assert set(ORACLES) <= set(QUERIES)
-    assert set(QUERIES) - set(ORACLES) == {"gbt_scores", "protocol_a", "protocol_b"}
+    assert set(QUERIES) - set(ORACLES) == {"protocol_a", "protocol_b"}
 
 
 @pytest.mark.parametrize("name", sorted(ORACLES))
