@@ -33,26 +33,43 @@ def without_future(db: DatabaseSpec, cutoff: Column) -> DatabaseSpec:
     )
 
 
+TOLERANCE = 1e-9
+"""Relative difference of two sums of the same numbers in another order."""
+
+
 def leakage_audit(
     db: DatabaseSpec, task: TaskSpec, cutoff: Column, build: Callable[[DatabaseSpec, TaskSpec], DataFrame]
 ) -> DataFrame:
     """Rebuild a view without any row after ``cutoff`` and count instances whose features change.
 
     Only instances with ``seed <= cutoff`` take part; a view without leakage has ``n_changed = 0``.
-    Rows are compared by a hash of all feature columns per instance, so the check is one join.
+    Floating-point columns are compared by their sums per instance, within a relative ``TOLERANCE``, as
+    sums depend on the order of addition; all others by a hash per instance. The check is one join.
     """
     seen = task.with_table(task.task_table.where(F.col(task.seed_time_col) <= cutoff))
     keys = task.key_columns
 
     def fingerprints(view: DataFrame) -> DataFrame:
         features = [c for c in view.columns if c not in keys]
-        text = F.to_json(F.struct(*[F.col(c) for c in features]), {"ignoreNullFields": "false"})
-        return view.groupBy(*keys).agg(F.sum(F.xxhash64(text).cast("decimal(20,0)")).alias("mark"))
-
-    with_future = fingerprints(build(db, seen))
-    past_only = fingerprints(build(without_future(db, cutoff), seen)).withColumnRenamed("mark", "past_mark")
+        exact = [c for c in features if c not in floats(view)]
+        text = F.to_json(F.struct(*[F.col(c) for c in exact]), {"ignoreNullFields": "false"}) if exact else F.lit("")
+        sums = [F.struct(F.count(c).alias("n"), F.sum(F.col(c).cast("double")).alias("sum")).alias(f"f_{c}") for c in floats(view)]
+        return view.groupBy(*keys).agg(F.sum(F.xxhash64(text).cast("decimal(38,0)")).alias("mark"), *sums)
+
+    def floats(view: DataFrame) -> list[str]:
+        return [c for c, kind in view.dtypes if kind in ("double", "float") and c not in keys]
+
+    full = build(db, seen)
+    with_future = fingerprints(full)
+    past_only = fingerprints(build(without_future(db, cutoff), seen))
+    past_only = past_only.select(*keys, *(F.col(c).alias(f"past_{c}") for c in past_only.columns if c not in keys))
     compared = with_future.join(past_only, keys, "full")
     changed = ~F.col("mark").eqNullSafe(F.col("past_mark"))
+    for c in floats(full):
+        a, b = F.col(f"f_{c}.sum"), F.col(f"past_f_{c}.sum")
+        near = F.abs(a - b) <= TOLERANCE * F.greatest(F.abs(a), F.abs(b))
+        alike = a.eqNullSafe(b) | F.coalesce(near, F.lit(False))
+        changed = changed | ~alike | ~F.col(f"f_{c}.n").eqNullSafe(F.col(f"past_f_{c}.n"))
     return compared.agg(
         F.count(F.lit(1)).cast("bigint").alias("n_instances"), F.count(F.when(changed, 1)).cast("bigint").alias("n_changed")
     )

@@ -63,18 +63,23 @@ def dense_id_map(df: DataFrame, column: str) -> DataFrame:
     return number_distinct(values, "old_id", "new_id")
 
 
+MOST_FILES_SENT = 20_000
+
+
 def file_row_ids(parquet: DataFrame, name: str) -> DataFrame:
     """Number the rows of a parquet scan in file order, without sorting or moving them.
 
     Each row knows its position in its file; the rows of the files before it are added from a
-    table with one entry per file, smaller than the file listing the driver holds for the scan.
+    table with one entry per file. It is sent to the executors up to ``MOST_FILES_SENT`` files, which
+    the driver counts in the scan's listing; beyond, the planner chooses the join.
     """
     columns = parquet.columns
     located = parquet.select(*columns, F.col("_metadata.file_path").alias("__file"), F.col("_metadata.row_index").alias("__at"))
     counts = located.groupBy("__file").agg(F.count(F.lit(1)).alias("__n"))
     before = Window.orderBy("__file").rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.select("__file", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__offset"))
-    joined = located.join(F.broadcast(offsets), "__file")
+    few = len(parquet.inputFiles()) <= MOST_FILES_SENT
+    joined = located.join(F.broadcast(offsets) if few else offsets, "__file")
     return joined.select(*columns, (F.col("__at") + F.col("__offset")).alias(name))
 
 

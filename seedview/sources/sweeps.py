@@ -13,13 +13,12 @@ RESULT_SCHEMA = (
 
 
 def read_sweep_results(spark: SparkSession, root: str) -> DataFrame:
-    """``{root}/*/result.json`` as flat rows; ``task`` is the run's folder, absent fields are NULL."""
-    raw = (
-        spark.read.schema(RESULT_SCHEMA)
-        .option("multiLine", True)
-        .option("ignoreMissingFiles", True)
-        .json(f"{root}/*/result.json")
-    )
+    """``{root}/*/result.json`` as flat rows; ``task`` is the run's folder, absent fields are NULL.
+
+    A result that vanishes while it is read is an error. For runs that left none, see
+    :func:`folders_without_result`.
+    """
+    raw = spark.read.schema(RESULT_SCHEMA).option("multiLine", True).json(f"{root}/*/result.json")
     folder = F.element_at(F.split(F.col("_metadata.file_path"), "/"), -2)
     return raw.select(
         folder.alias("task"),
@@ -37,6 +36,18 @@ def read_sweep_results(spark: SparkSession, root: str) -> DataFrame:
     )
 
 
+def folders_without_result(spark: SparkSession, root: str) -> list[str]:
+    """Names of the run folders below ``root`` that hold no result, from the store's own listing."""
+    hadoop = spark._jvm.org.apache.hadoop.fs
+
+    def listed(pattern: str) -> list:
+        path = hadoop.Path(pattern)
+        return list(path.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(path) or [])
+
+    folders = {s.getPath().getName() for s in listed(f"{root}/*") if s.isDirectory()}
+    return sorted(folders - {s.getPath().getParent().getName() for s in listed(f"{root}/*/result.json")})
+
+
 def summarize_sweep(results: DataFrame) -> DataFrame:
     """Per split: number of scored runs, mean and sample standard deviation (0 for one run)."""
     scored = results.where(F.col("test_auroc").isNotNull())

@@ -131,6 +131,7 @@ def test_sweep_results(spark, tmp_path):
         (tmp_path / name).mkdir()
         (tmp_path / name / "result.json").write_text(json.dumps(doc, indent=1))
     (tmp_path / "unfinished").mkdir()
+    assert sweeps.folders_without_result(spark, str(tmp_path)) == ["unfinished"]
     rows = sweeps.read_sweep_results(spark, str(tmp_path))
     assert sorted(r.task for r in rows.collect()) == ["t1", "t2", "t3", "t4"]
     assert rows.where("task = 't1'").first().n_train == 6
