@@ -10,9 +10,10 @@ from pyspark.sql import functions as F
 from seedview.model import DatabaseSpec, TableSpec, TaskSpec, ViewConfig
 from seedview.operators.asof import asof_join
 from seedview.operators.degrees import incident_counts, incident_table_cap, incident_tables
-from seedview.operators.lookup import lookup, static_lookup
+from seedview.operators.lookup import static_lookup
 from seedview.operators.reach import reachable_tables
 from seedview.operators.temporal_agg import temporal_aggregates
+from seedview.session import SkewPolicy, pin
 
 
 def build_view(db: DatabaseSpec, task: TaskSpec, config: ViewConfig) -> DataFrame:
@@ -20,6 +21,11 @@ def build_view(db: DatabaseSpec, task: TaskSpec, config: ViewConfig) -> DataFram
     return entity_view(db, task, config) if config.view_name == "jt_entity" else temporal_view(db, task, config)
 
 
+def _once(rows: DataFrame, name: str) -> DataFrame:
+    """Rows that several probes and joins read; of large inputs they are written once."""
+    return pin(rows, name) if SkewPolicy.of(rows).active else rows
+
+
 def _attach(left: DataFrame, key: str, table: TableSpec, task: TaskSpec) -> DataFrame:
     """The table's row for ``key``, as of the seed if the table is dated."""
     prefix = f"{table.name}__"
@@ -41,6 +47,10 @@ def entity_view(db: DatabaseSpec, task: TaskSpec, config: ViewConfig) -> DataFra
 
     A table reached over two paths is attached once, over the first.
     """
+    return _with_parents(db, task.with_table(_once(task.task_table, "task")), config)
+
+
+def _with_parents(db: DatabaseSpec, task: TaskSpec, config: ViewConfig) -> DataFrame:
     entity = db.table(task.entity_table)
     out = _attach(task.task_table, task.entity_key, entity, task)
     if not config.include_parent_lookups:
@@ -48,6 +58,8 @@ def entity_view(db: DatabaseSpec, task: TaskSpec, config: ViewConfig) -> DataFra
     attached, ring = {entity.name}, [entity]
     for _ in range(config.max_path_hops):
         reached = []
+        if any(child.foreign_keys for child in ring):
+            out = _once(out, "entity")
         for child in ring:
             for column, parent_name in child.foreign_keys.items():
                 if parent_name not in attached:
@@ -70,8 +82,13 @@ def aggregated_tables(db: DatabaseSpec, task: TaskSpec, max_hops: int) -> list[t
 
 
 def temporal_view(db: DatabaseSpec, task: TaskSpec, config: ViewConfig) -> DataFrame:
-    """The entity view plus windowed aggregates of every child table."""
-    out = entity_view(db, task, config)
+    """The entity view plus windowed aggregates of every child table.
+
+    Features have one row per (entity, seed), so they are attached by plain joins on that key, which
+    share its partitioning; no key can be hot there.
+    """
+    task = task.with_table(_once(task.task_table, "task"))
+    out = _with_parents(db, task, config)
     for table, foreign_key in aggregated_tables(db, task, config.max_path_hops):
         features = temporal_aggregates(
             task.task_table,
@@ -84,7 +101,7 @@ def temporal_view(db: DatabaseSpec, task: TaskSpec, config: ViewConfig) -> DataF
             recency=config.recency_features,
             seed_range=task.seed_range,
         ).drop("lookback_days")
-        out = lookup(out, features, task.key_columns)
+        out = out.join(features, task.key_columns, "left")
     counts = [c for c in out.columns if c.endswith(("__row_count", "__nunique")) and c not in task.task_table.columns]
     return out.fillna(0, subset=counts) if counts else out
 
