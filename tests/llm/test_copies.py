@@ -11,7 +11,7 @@ from hypothesis import strategies as st
 from llm_data import EDGE_TEXTS, prose
 from pyspark.sql import functions as F
 
-from seedview.llm import decontam, queries, simhash, suffix_dedup
+from seedview.llm import common, decontam, queries, simhash, suffix_dedup
 from seedview.llm.graph import connected_components
 
 ROOT = "/root/testdata/sf0.001"
@@ -180,6 +180,15 @@ def test_near_copies_go_and_others_stay(spark):
     assert kept == {*range(12), *range(200, 212)}
 
 
+@pytest.mark.parametrize("most", [2_000_000, 1])
+def test_few_and_many_ids_join_alike(spark, edge_docs, monkeypatch, most):
+    monkeypatch.setattr(common, "MOST_IDS_SENT", most)
+    ids = spark.createDataFrame([(1,), (8,), (99,)], "node long")
+    kept = lambda how: sorted(str(r.doc_id) for r in common.join_ids(edge_docs, ids, "node", how).collect())
+    assert kept("left_semi") == ["1", "8", "8", "8"]
+    assert len(kept("left_anti")) == len(EDGE_TEXTS) - 4 and "None" in kept("left_anti")
+
+
 def brute_leaks(docs, items, least=0.8):
     found = set()
     for item, text in items:
