@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 from dataclasses import dataclass
@@ -31,7 +33,7 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """The cluster's shared checkpoint folder; a local one only for local masters.
 
     Executors may be lost at any time, so a cluster without a shared folder is an error
-    rather than a silent fall-back to one machine's disk.
+    rather than a silent fall-back to one machine's disk. The local folder goes when Python ends.
     """
     configured = spark.conf.get("spark.checkpoint.dir", None)
     current = spark.sparkContext.getCheckpointDir()
@@ -40,6 +42,7 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
             if not spark.sparkContext.master.startswith("local"):
                 raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
             configured = tempfile.mkdtemp(prefix="seedview-")
+            atexit.register(shutil.rmtree, configured, ignore_errors=True)
         spark.sparkContext.setCheckpointDir(configured)
         current = spark.sparkContext.getCheckpointDir()
     return configured or current
