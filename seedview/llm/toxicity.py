@@ -63,11 +63,13 @@ class ToxicitySettings:
 class TermAutomaton:
     """All terms within their edit limits, and all words that begin with a stem.
 
-    ``terms`` has (edit limit, weight) of every term, ``stems`` the weight of every stem.
+    ``terms`` has (edit limit, weight) of every term, ``stems`` the weight of every stem, and ``ordinary`` the
+    tokens that are words of their own, not misspellings of a term.
     """
 
     terms: dict[str, tuple[int, float]]
     stems: dict[str, float]
+    ordinary: frozenset[str] = frozenset()
     _next: list[dict[str, int]] = field(default_factory=list)
     _score: list[tuple[float, float]] = field(default_factory=list)
 
@@ -84,7 +86,7 @@ class TermAutomaton:
         self._start = self._state({0: 0})
 
     def __reduce__(self):
-        return (TermAutomaton, (self.terms, self.stems))
+        return (TermAutomaton, (self.terms, self.stems, self.ordinary))
 
     def _add(self, word: str, edits: int) -> int:
         node = 0
@@ -146,7 +148,7 @@ class TermAutomaton:
                 return stem
             stem = max(stem, self._score[following][1])
             state = following
-        return max(stem, self._score[state][0])
+        return stem if token in self.ordinary else max(stem, self._score[state][0])
 
 
 class Matcher:
@@ -345,8 +347,9 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, s: ToxicitySettings = Toxic
     trust = lambda n: n / (n + s.half_trust)
     by_stem = {stem: trust(n) for stem, n in stems.items()}
     limits = {w: (len(w) >= s.one_edit_from) + (len(w) >= s.two_edits_from) for w in words}
-    limits |= dict.fromkeys(_used_by_clean(sample, limits), 0)
-    automaton = TermAutomaton({w: (limits[w], trust(n)) for w, n in words.items()}, by_stem)
+    ordinary, off = _ordinary_variants(sample, limits, s)
+    limits |= dict.fromkeys(off, 0)
+    automaton = TermAutomaton({w: (limits[w], trust(n)) for w, n in words.items()}, by_stem, ordinary)
     model = ToxicityModel(automaton, (-4.0, 0.0, 0.0), s.window)
     if not words and not stems:
         return model
@@ -355,20 +358,46 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, s: ToxicitySettings = Toxic
     return replace(model, weights=_fit(x, known["y"].to_numpy(), s.ridge))
 
 
-def _used_by_clean(sample: DataFrame, limits: dict[str, int]) -> set[str]:
-    """Terms of which clean documents use variants within the edit limit, but not the term itself."""
+def _ordinary_variants(sample: DataFrame, limits: dict[str, int], s: ToxicitySettings) -> tuple[frozenset[str], set[str]]:
+    """Tokens within a term's edit limit that are no misspellings of it, and terms to be matched exactly.
+
+    A token is ordinary if clean documents use it outside quotations and, as for the terms themselves,
+    less than ``min_share`` of the documents with it are toxic. Variants that a single clean document has
+    tell how often one not seen yet is to be met: a term is matched exactly if that is more often than
+    toxic documents, and one more, have its variants.
+    """
+    edits = {w: n for w, n in limits.items() if n}
+    if not edits:
+        return frozenset(), set()
 
     def variants(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        every = TermAutomaton({w: (n, 1.0) for w, n in limits.items()}, {})
-        single = {w: TermAutomaton({w: (n, 1.0)}, {}) for w, n in limits.items() if n}
+        every = TermAutomaton({w: (n, 1.0) for w, n in edits.items()}, {})
         for frame in frames:
-            tokens = {_EDGE.sub("", t) for text in frame["text"] for t in set(text.lower().split())}
-            near = [t for t in tokens if t and 0 < every.weight(t) < 1]
-            used = [(w,) for w, one in single.items() if any(one.weight(t) for t in near)]
-            yield pd.DataFrame(used, columns=["term"])
-
-    rows = sample.where("y = 0").select("text").mapInPandas(variants, "term string").distinct()
-    return {row["term"] for row in rows.collect()}
+            rows = []
+            for text, y in zip(frame["text"], frame["y"], strict=True):
+                tokens = (text or "").lower().split()
+                words = {raw: _EDGE.sub("", raw) for raw in set(tokens)}
+                near = {raw: w for raw, w in words.items() if w and w not in limits and every.weight(w)}
+                if near:
+                    used = {near[t] for k, t in enumerate(tokens) if t in near and (y or not _quoted(tokens, k, s.window))}
+                    rows += [(w, y) for w in used]
+            yield pd.DataFrame(rows, columns=["token", "y"])
+
+    # The terms near a token are found here, once for each token.
+    @F.pandas_udf("array<string>")
+    def terms_near(tokens: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        single = {w: TermAutomaton({w: (n, 1.0)}, {}) for w, n in edits.items()}
+        for batch in tokens:
+            yield pd.Series([[w for w, one in single.items() if one.weight(token)] for token in batch])
+
+    found = sample.select("text", "y").mapInPandas(variants, "token string, y int")
+    found = found.groupBy("token").agg(F.sum("y").alias("t"), F.sum(1 - F.col("y")).alias("c"))
+    found = pin(found.withColumn("ordinary", (F.col("c") > 0) & (F.col("t") < s.min_share * (F.col("t") + F.col("c")))), "toxic-variants")
+    ordinary = frozenset(row["token"] for row in found.where("ordinary").select("token").collect())
+    size = {row["y"]: row["count"] for row in sample.groupBy("y").count().collect()}
+    rows = found.select("*", F.explode(terms_near("token")).alias("term")).groupBy("term")
+    rows = rows.agg(F.sum(F.when(~F.col("ordinary"), F.col("t"))).alias("t"), F.sum((F.col("c") == 1).cast("int")).alias("c")).collect()
+    return ordinary, {r["term"] for r in rows if r["c"] * size.get(1, 0) > ((r["t"] or 0) + 1) * size.get(0, 0)}
 
 
 def score_toxicity(docs: DataFrame, model: ToxicityModel) -> DataFrame:

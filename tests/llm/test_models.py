@@ -115,3 +115,14 @@ def test_labels_of_held_out_rows_are_not_read(spark):
     kept = {r.doc_id for r in queries.train_labels(labels, "quality", 4, 2).collect()}
     assert kept == {k for k in range(100) if zlib.crc32(str(k).encode()) % 4 != 2}
     assert re.fullmatch("y", queries.train_labels(labels, "toxic", 5, 0).columns[1])
+
+
+def test_misspellings_count_although_clean_texts_use_a_word_near_the_term(spark):
+    rows = [(k, prose(k, 60) + " grumbler " + prose(k + 500, 20), 1) for k in range(60)]
+    rows += [(100 + k, prose(k + 900, 60) + (" rumbler" if k % 4 == 0 else "") + (' the "grumblor" word' if k == 1 else ""), 0) for k in range(120)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, y int")
+    model = toxicity.fit_toxicity(docs, docs.select("doc_id", "y"))
+    assert "grumbler" in model.automaton.terms or any("grumbler".startswith(stem) for stem in model.automaton.stems)
+    new = spark.createDataFrame([(1, prose(3, 50) + " grxmbler"), (2, prose(3, 50) + " gxumbler"), (3, prose(3, 50) + " rumbler")], "doc_id long, text string")
+    score = {r.doc_id: r.score for r in toxicity.score_toxicity(new, model).collect()}
+    assert min(score[1], score[2]) >= 0.5 > score[3]
