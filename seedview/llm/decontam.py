@@ -11,7 +11,7 @@ are retrieved; none is missed, as each bound is at least the score. Retrieved it
 the passage holds the five-word shingles of their question and of their answer.
 
 Passages overlap: they are twice as long as the longest item and start one such length apart, so each
-copy of an item lies inside one. The index is sent to all executors; it holds at most ``max_items``
+copy of an item lies inside one. All lengths count cleaned words: tokens of punctuation alone have no place. The index is sent to all executors; it holds at most ``max_items``
 items, and a larger benchmark is indexed in parts, each with a pass of its own.
 """
 
@@ -32,6 +32,8 @@ from seedview.llm.common import words_of
 
 _EDGE = string.punctuation.encode()
 _KEEP = 500_000
+#: Term of tokens of punctuation alone, which are no words.
+_NO_WORD = -2
 #: Numbers in a matrix of passages and blocks at a time.
 _CELLS = 2_000_000
 
@@ -148,7 +150,7 @@ class LeakIndex:
 
 
 class _Terms(dict):
-    """Terms of raw tokens, remembered when first asked for; -1 for tokens that no item has."""
+    """Terms of raw tokens, remembered when first asked for; -1 for words that no item has, -2 for no word."""
 
     def __init__(self, vocabulary: dict[bytes, int]) -> None:
         super().__init__()
@@ -157,7 +159,8 @@ class _Terms(dict):
     def __missing__(self, token: bytes) -> int:
         if len(self) > _KEEP:
             self.clear()
-        term = self[token] = self.vocabulary.get(token.strip(_EDGE), -1)
+        word = token.strip(_EDGE)
+        term = self[token] = self.vocabulary.get(word, -1) if word else _NO_WORD
         return term
 
 
@@ -190,6 +193,9 @@ class LeakFinder:
         if not words or not index.items:
             return []
         ids = np.fromiter(map(self.terms.__getitem__, words), np.int64, len(words))
+        if (ids == _NO_WORD).any():
+            words = [word for word, term in zip(words, ids.tolist(), strict=True) if term != _NO_WORD]
+            ids = ids[ids != _NO_WORD]
         at = np.nonzero(index.rare[ids])[0]
         blocks = index.maxima.sums(np.unique(ids[at]), index.n_blocks)[0] + index.frequent_adds >= index.least
         if not blocks.any():
@@ -202,7 +208,7 @@ class LeakFinder:
         for k in np.nonzero(alive.any(axis=1))[0]:
             inside = slice(int(starts[k]), int(starts[k]) + 2 * index.longest)
             hits = index.retrieve(np.unique(ids[inside][ids[inside] >= 0]), alive[k])
-            held = [w for raw in words[inside] if (w := raw.strip(_EDGE))] if hits else []
+            held = [raw.strip(_EDGE) for raw in words[inside]] if hits else []
             for item, score in hits:
                 asked, told = overlap(index.questions[item], held), overlap(index.answers[item], held)
                 if min(asked, told) >= index.settings.overlap:

@@ -238,3 +238,13 @@ def test_all_items_above_the_threshold_are_retrieved(monkeypatch):
             scores = index.postings.sums(np.array(sorted(inside), np.int64), len(index.items))[0]
             want |= {index.items[k] for k in np.nonzero(scores >= s.threshold - 1e-9)[0]}
         assert {leak[0] for leak in finder.find(" ".join(words))} == want
+
+
+def test_items_with_free_standing_punctuation_are_found_at_every_offset():
+    words = [w for k, w in enumerate(prose(40, 35).split()) for w in ([w, "=", "-"] if k % 7 else [w])]
+    item = " ".join(words) + "\n" + prose(41, 5)
+    finder = decontam.LeakFinder(decontam.LeakIndex([(1, item), (2, prose(42, 30))], decontam.LeakSettings()))
+    before, after = prose(43, 200).split(), prose(44, 150)
+    for offset in range(200):
+        text = " ".join(before[:offset]) + " " + item + " " + after
+        assert [leak[0] for leak in finder.find(text)] == [1], offset
