@@ -15,7 +15,7 @@ others there. That is exact, and its rows grow with the fingerprints, not with t
 
 from __future__ import annotations
 
-import zlib
+import math
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import reduce
@@ -134,85 +134,145 @@ def hex_digits(fp: Column) -> Column:
 
 @dataclass(frozen=True)
 class NearCopySettings:
-    """For texts that share most of their words but whose fingerprints differ in more than two bits.
-
-    ``segment``     words per segment, on average; segments end where a word's checksum says so.
-    ``least``       segments shorter than this many words propose no pairs.
-    ``share``       of the segments that a pair must have in common to be compared.
-    ``shingle``, ``similarity``  Jaccard similarity of word shingles from which texts are near copies.
+    """``shingle``, ``similarity``  Jaccard similarity of word shingles from which texts are near copies.
+    ``crowd``   texts with one shingle up to which all their pairs are compared at once.
+    ``sample``  one in so many documents is searched for common shingles; ``common`` of them make a shingle common.
+    ``most_common``  common shingles known to the executors, at most. The last three touch the cost, not the result.
     """
 
-    segment: int = 12
-    least: int = 5
-    share: float = 0.3
     shingle: int = 5
     similarity: float = 0.8
+    crowd: int = 8
+    sample: int = 16
+    common: int = 4
+    most_common: int = 262_144
 
 
-def segment_fingerprints(words: list[bytes], s: NearCopySettings) -> np.ndarray:
-    """Distinct fingerprints of a text's segments, each over the three-word shingles that start in it."""
-    hashes = shingle_hashes(words, 3)
-    if not len(hashes):
-        return np.zeros(0, np.int64)
-    sums = np.fromiter(map(zlib.crc32, words[: len(hashes)]), np.int64, len(hashes))
-    starts = np.unique(np.append(0, np.nonzero(sums % s.segment == 0)[0]))
-    sizes = np.diff(np.append(starts, len(hashes)))
-    counts = np.zeros((len(starts), 64), np.int64)
-    for begin in range(0, len(hashes), _CHUNK):
-        part = hashes[begin : begin + _CHUNK].astype(">u8")
-        bits = np.unpackbits(part.view(np.uint8).reshape(-1, 8), axis=1)
-        first = np.searchsorted(starts, begin, side="right") - 1
-        inside = np.maximum(starts[first : np.searchsorted(starts, begin + len(part))] - begin, 0)
-        counts[first : first + len(inside)] += np.add.reduceat(bits, inside, axis=0, dtype=np.int64)
-    packed = np.packbits(2 * counts > sizes[:, None], axis=1).view(">i8").ravel().astype(np.int64)
-    long_enough = (sizes >= s.least) | (len(starts) == 1)
-    return np.unique(packed[long_enough])
+def shingle_set(text: str | None, size: int) -> np.ndarray:
+    """Sorted distinct hashes of a text's shingles; texts with fewer words have one, of all their words."""
+    return np.unique(shingle_hashes(words_of(text), size)).view(np.int64)
 
 
-def jaccard(a: list[bytes], b: list[bytes], size: int) -> float:
-    """Similarity of the sets of word shingles; texts with fewer words have one, of all their words."""
+def jaccard(a: np.ndarray, b: np.ndarray) -> float:
+    both = len(np.intersect1d(a, b, assume_unique=True))
+    return both / (len(a) + len(b) - both)
 
-    def shingles(words: list[bytes]) -> set:
-        return set(zip(*(words[k:] for k in range(size)))) if len(words) >= size else {tuple(words)}
 
-    x, y = shingles(a), shingles(b)
-    return len(x & y) / len(x | y)
+def text_key(shingles: np.ndarray) -> int:
+    """One number for each set of shingles."""
+    return _signed(xxhash.xxh64_intdigest(shingles.tobytes(), SEED))
 
 
-def near_copy_pairs(docs: DataFrame, s: NearCopySettings = NearCopySettings()) -> DataFrame:
-    """(a, b) of ids whose texts are near copies, enough of them to connect each group of near copies.
+def rarest(shingles: np.ndarray, common: np.ndarray, counts: np.ndarray, similarity: float) -> np.ndarray:
+    """The first shingles by (count, hash), so many that sets at least this similar have one in common."""
+    if not len(shingles):
+        return shingles
+    rank = np.zeros(len(shingles), np.int64)
+    if len(common):
+        at = np.minimum(np.searchsorted(common, shingles), len(common) - 1)
+        rank = np.where(common[at] == shingles, counts[at], 0)
+    order = np.lexsort((shingles, rank))
+    return shingles[order[: len(shingles) - math.ceil(similarity * len(shingles) - 1e-9) + 1]]
 
-    Segments' fingerprints propose pairs: each document with the smallest id that has the segment too,
-    so a segment with many documents gives one pair each. Pairs with enough segments in common are
-    compared on all their words. Rows without id or words are left out.
-    """
+
+def _common_shingles(named: DataFrame, s: NearCopySettings) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted shingles that many documents of a sample have, with their counts in it."""
 
     @F.pandas_udf("array<long>")
-    def segments(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    def shingles(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for batch in texts:
-            yield pd.Series([segment_fingerprints(words_of(text), s) for text in batch])
+            yield pd.Series([shingle_set(text, s.shingle) for text in batch])
+
+    some = named.where(F.pmod(F.xxhash64(F.lit(SEED), "doc_id"), F.lit(s.sample)) == 0)
+    counts = some.select(F.explode(shingles("text")).alias("key")).groupBy("key").agg(F.count(F.lit(1)).alias("n"))
+    rows = counts.where(F.col("n") >= s.common).orderBy(F.desc("n"), "key").limit(s.most_common).collect()
+    found = np.array(sorted((row["key"], row["n"]) for row in rows), np.int64).reshape(-1, 2)
+    return found[:, 0].copy(), found[:, 1].copy()
 
-    segments = segments.asNondeterministic()  # used twice below, to be run once
+
+def near_copy_links(docs: DataFrame, s: NearCopySettings = NearCopySettings()) -> DataFrame:
+    """(a, b) of ids whose texts are near copies, enough of them to connect each group of near copies.
+
+    Texts with equal sets of shingles, or without words, are one text. Distinct texts with the
+    similarity have one of their rarest shingles in common (prefix filter), whatever their length, so each
+    such shingle is a group that is searched for pairs. Small groups compare all pairs. In a larger one
+    some texts are compared with all others and leave it, in rounds with ever more of them, until the
+    links found connect the rest. Texts that links already connect are not compared again, so a
+    large group of near copies costs a few comparisons a text, and no pair of two groups is left out.
+    """
     named = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    cut = named.select("doc_id", segments("text").alias("keys"))
-    keys = pin(cut.select("doc_id", F.size("keys").alias("n"), F.explode("keys").alias("key")), "copy-segments")
-    first = keys.groupBy("key").agg(F.min(F.struct("doc_id", "n")).alias("first"), F.count(F.lit(1)).alias("rows"))
-    shared = keys.join(first.where("rows > 1"), "key").where(F.col("doc_id") != F.col("first.doc_id"))
-    both = shared.groupBy(F.col("doc_id").alias("a"), F.col("first.doc_id").alias("b")).agg(
-        F.count(F.lit(1)).alias("common"), F.greatest(F.max("n"), F.max("first.n")).alias("most")
-    )
-    pairs = pin(both.where(F.col("common") >= s.share * F.col("most")).select("a", "b"), "copy-pairs")
-
-    ids = pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct()
-    texts = pin(join_ids(named, pin(ids, "copy-ids"), "doc_id", "left_semi"), "copy-texts")
+
+    @F.pandas_udf("long")
+    def keys_of(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for batch in texts:
+            yield pd.Series([text_key(shingle_set(text, s.shingle)) for text in batch], dtype="int64")
+
+    marked = pin(named.select("doc_id", keys_of("text").alias("t")), "copy-texts")
+    first = pin(marked.groupBy("t").agg(F.min("doc_id").alias("first")), "copy-firsts")
+    same = marked.join(first, "t").where("doc_id <> first").select(F.col("doc_id").alias("a"), F.col("first").alias("b"))
+    distinct = join_ids(named, pin(first.select("first").distinct(), "copy-ids"), "first", "left_semi")
+
+    common, counts = _common_shingles(named, s)
+
+    @F.pandas_udf("t long, n int, keys array<long>")
+    def prefix(texts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        for batch in texts:
+            sets = [shingle_set(text, s.shingle) for text in batch]
+            rows = [(text_key(x), len(x), rarest(x, common, counts, s.similarity)) for x in sets]
+            yield pd.DataFrame(rows, columns=["t", "n", "keys"])
+
+    prefix = prefix.asNondeterministic()  # a struct of three, to be run once
+    cut = distinct.select(prefix("text").alias("p")).select("p.t", "p.n", F.explode("p.keys").alias("key"))
+    cut = pin(cut, "copy-keys")
+    shared = cut.groupBy("key").agg(F.min("t").alias("low"), F.max("t").alias("high")).where("low < high").select("key")
+    members = pin(cut.join(shared, "key").distinct(), "copy-members")
+
+    def texts_of(pairs: DataFrame) -> DataFrame:
+        ids = pairs.select(F.col("a").alias("t")).union(pairs.select("b")).distinct().join(first, "t")
+        ids = pin(ids.select("first").distinct(), "copy-wanted")
+        held = join_ids(named, ids, "first", "left_semi").select(keys_of("text").alias("t"), "text")
+        return pin(held.dropDuplicates(["t"]), "copy-pair-texts")
 
     @F.pandas_udf("double")
     def similarity(one: pd.Series, two: pd.Series) -> pd.Series:
-        return pd.Series([jaccard(words_of(x), words_of(y), s.shingle) for x, y in zip(one, two, strict=True)], dtype="float64")
-
-    of = lambda side: texts.select(F.col("doc_id").alias(side), F.col("text").alias(f"text_{side}"))
-    compared = pairs.join(of("a"), "a").join(of("b"), "b").withColumn("similarity", similarity("text_a", "text_b"))
-    return compared.where(F.col("similarity") >= s.similarity).select("a", "b")
+        return pd.Series([jaccard(shingle_set(x, s.shingle), shingle_set(y, s.shingle)) for x, y in zip(one, two, strict=True)], dtype="float64")
+
+    of = lambda side: texts.select(F.col("t").alias(side), F.col("text").alias(f"text_{side}"))
+    members = members.withColumn("root", F.col("t"))
+    compared = links = None
+    many = 1
+    while not members.isEmpty():
+        parts = members.groupBy("key", "root").agg(F.count(F.lit(1)).alias("c"), F.min("t").alias("low"))
+        groups = parts.groupBy("key").agg(F.sum("c").alias("size"), F.max(F.struct("c", "root"))["root"].alias("main"))
+        others = parts.join(groups, "key").where("root <> main").groupBy("key").agg(
+            F.first("size").alias("size"), F.first("main").alias("main"), F.sum("c").alias("others"), F.min("low").alias("low")
+        )
+        chosen = F.pmod(F.xxhash64(F.lit(many), "t"), F.col("others")) < F.lit(many)
+        asks = (F.col("size") <= s.crowd) | ((F.col("root") != F.col("main")) & ((F.col("t") == F.col("low")) | ((F.lit(many) > 1) & chosen)))
+        # Groups that links connect have no others and end here.
+        members = pin(members.join(others, "key").select("key", "t", "n", "root", asks.alias("asks")), "copy-rounds")
+        asking = members.where("asks").select("key", F.col("t").alias("u"), F.col("n").alias("m"), F.col("root").alias("top"))
+        alike = F.least("n", "m") >= s.similarity * F.greatest("n", "m") - 1e-6
+        pairs = members.join(asking, "key").where((F.col("root") != F.col("top")) & alike)
+        pairs = pairs.select(F.greatest("t", "u").alias("a"), F.least("t", "u").alias("b")).distinct()
+        if compared is not None:
+            pairs = pairs.join(compared, ["a", "b"], "left_anti")
+        pairs = pin(pairs, "copy-pairs")
+        compared = pairs if compared is None else compared.union(pairs)
+        texts = texts_of(pairs)
+        tried = pairs.join(of("a"), "a").join(of("b"), "b").withColumn("similarity", similarity("text_a", "text_b"))
+        found = pin(tried.where(F.col("similarity") >= s.similarity).select("a", "b"), "copy-links")
+        links = found if links is None else links.union(found)
+        left = members.where("not asks").select("key", "t", "n")
+        if not left.isEmpty():
+            roots = connected_components(links)
+            left = left.join(roots, F.col("t") == F.col("node"), "left").select("key", "t", "n", F.coalesce("root", "t").alias("root"))
+        members = pin(left, "copy-left")
+        many *= 8
+    if links is None:
+        return same
+    ids = lambda side: first.select(F.col("t").alias(side), F.col("first").alias(f"id_{side}"))
+    return same.union(links.join(ids("a"), "a").join(ids("b"), "b").select("id_a", "id_b"))
 
 
 def without_near_duplicates(docs: DataFrame, s: NearCopySettings = NearCopySettings()) -> DataFrame:
@@ -223,5 +283,4 @@ def without_near_duplicates(docs: DataFrame, s: NearCopySettings = NearCopySetti
     """
     classes = near_duplicate_classes(docs).where("doc_id is not null and doc_id <> component_id")
     links = classes.select(F.col("doc_id").cast("long").alias("a"), F.col("component_id").cast("long").alias("b"))
-    roots = connected_components(links.union(near_copy_pairs(docs, s)))
-    return join_ids(docs, roots, "node", "left_anti")
+    return join_ids(docs, connected_components(links.union(near_copy_links(docs, s))), "node", "left_anti")

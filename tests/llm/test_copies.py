@@ -180,6 +180,47 @@ def test_near_copies_go_and_others_stay(spark):
     assert kept == {*range(12), *range(200, 212)}
 
 
+def brute_copies(rows):
+    """Smallest id reachable over five-word Jaccard similarities of 0.8."""
+    words = {i: (t or "").lower().split() for i, t in rows}
+    sets = {i: set(zip(*(w[k:] for k in range(5)))) if len(w) >= 5 else {tuple(w)} for i, w in words.items()}
+    links = [(0, 0)]
+    for a in sets:
+        for b in sets:
+            if a < b and len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]):
+                links.append((a, b))
+    root = {i: i for i in sets}
+    changed = True
+    while changed:
+        changed = False
+        for a, b in links[1:]:
+            low = min(root[a], root[b])
+            changed |= root[a] != low or root[b] != low
+            root[a] = root[b] = low
+    return {i for i in sets if root[i] == i}
+
+
+def variants(seed, n, length, most):
+    rng = np.random.default_rng(seed)
+    words = prose(seed, length).split()
+    for k in range(n):
+        changed = list(words)
+        for at in rng.choice(length, int(rng.integers(1, most + 1)), replace=False):
+            changed[at] = f"new{k}x{at}"
+        yield " ".join(changed)
+
+
+@pytest.mark.parametrize("crowd", [8, 1000])
+def test_groups_of_variants_match_brute_force(spark, crowd):
+    texts = [*variants(11, 150, 200, 6)]
+    line = prose(77, 30)
+    texts += [f"{prose(500 + k, 8)} {line}" for k in range(60)] + [f"{line} word{k}" for k in range(20)]
+    rows = list(enumerate(texts))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = simhash.without_near_duplicates(docs, simhash.NearCopySettings(crowd=crowd))
+    assert {r.doc_id for r in got.collect()} == brute_copies(rows)
+
+
 @pytest.mark.parametrize("most", [2_000_000, 1])
 def test_few_and_many_ids_join_alike(spark, edge_docs, monkeypatch, most):
     monkeypatch.setattr(common, "MOST_IDS_SENT", most)
