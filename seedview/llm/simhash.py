@@ -278,9 +278,7 @@ def near_copy_links(docs: DataFrame, s: NearCopySettings = NearCopySettings()) -
 def without_near_duplicates(docs: DataFrame, s: NearCopySettings = NearCopySettings()) -> DataFrame:
     """The rows of ``docs``, with all their columns, of the smallest id of each group.
 
-    Groups are connected by fingerprints within two bits and by near copies. Rows with one id stay or
+    Groups are connected by near copies, each link checked on all shingles. Rows with one id stay or
     go together; rows without id stay. Texts without words are near duplicates of each other.
     """
-    classes = near_duplicate_classes(docs).where("doc_id is not null and doc_id <> component_id")
-    links = classes.select(F.col("doc_id").cast("long").alias("a"), F.col("component_id").cast("long").alias("b"))
-    return join_ids(docs, connected_components(links.union(near_copy_links(docs, s))), "node", "left_anti")
+    return join_ids(docs, connected_components(near_copy_links(docs, s)), "node", "left_anti")

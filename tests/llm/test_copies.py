@@ -222,7 +222,16 @@ def test_groups_of_variants_match_brute_force(spark, crowd):
 
 
 @pytest.mark.parametrize("most", [2_000_000, 1])
-def test_few_and_many_ids_join_alike(spark, edge_docs, monkeypatch, most):
+def test_fe
+
+def test_close_fingerprints_of_different_words_stay(spark):
+    line = prose(9, 13)
+    rows = [(k, f"{line} " * 200 + prose(900 + k, 60)) for k in range(3)]
+    points = [brute_fingerprint(t) for _, t in rows]
+    assert all((p ^ points[0]).bit_count() <= 2 for p in points)
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {r.doc_id for r in simhash.without_near_duplicates(docs).collect()} == brute_copies(rows) == {0, 1, 2}
+w_and_many_ids_join_alike(spark, edge_docs, monkeypatch, most):
     monkeypatch.setattr(common, "MOST_IDS_SENT", most)
     ids = spark.createDataFrame([(1,), (8,), (99,)], "node long")
     kept = lambda how: sorted(str(r.doc_id) for r in common.join_ids(edge_docs, ids, "node", how).collect())
