@@ -224,6 +224,12 @@ def test_groups_of_variants_match_brute_force(spark, crowd):
 @pytest.mark.parametrize("most", [2_000_000, 1])
 def test_fe
 
+def test_short_pairs_with_one_changed_word_are_found(spark):
+    rows = list(enumerate(t for k in range(300) for t in variants(100 + k, 2, 55, 1)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {r.doc_id for r in simhash.without_near_duplicates(docs).collect()} == brute_copies(rows)
+
+
 def test_close_fingerprints_of_different_words_stay(spark):
     line = prose(9, 13)
     rows = [(k, f"{line} " * 200 + prose(900 + k, 60)) for k in range(3)]
