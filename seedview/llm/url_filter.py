@@ -1,9 +1,9 @@
 """URL filtering by domain rules and by a tree of path templates, in DataFrame operations only.
 
-Paths of a host form a tree of segments. Level by level, segments that are rare among many siblings
-become the wildcard ``*``, and siblings whose labels do not differ significantly are merged into it;
-a sibling that differs keeps its own branch. Digits and long hexadecimal runs are generalised before
-the tree is built, and segments below the deepest level become ``**``. Each template is then judged
+Paths of a host form a tree of segments. Level by level, siblings whose labels do not differ
+significantly are merged into the wildcard ``*``, as are segments that are rare among many siblings and
+have too few labels to tell; a sibling that differs keeps its own branch, however rare it is. Digits and
+long hexadecimal runs are generalised before the tree is built, and segments below the deepest level become ``**``. Each template is then judged
 by the share of bad labels below it, shrunk towards its host and all hosts.
 
 Pages are counted once per (host, generalised path) with map-side sums; the tree works on these
@@ -12,6 +12,7 @@ counts. Verdicts return to the pages by a salted join, as one host may hold a th
 
 from __future__ import annotations
 
+import math
 import string
 from dataclasses import dataclass
 
@@ -37,7 +38,7 @@ class Rule:
 @dataclass(frozen=True)
 class TreeSettings:
     """``depth``         levels of the tree.
-    ``max_children``  more siblings than this are searched for rare ones.
+    ``max_children``  among more siblings than this, rare ones need enough labels to differ.
     ``rare_share``    a segment below this share of its parent's pages is rare.
     ``z``             two-sided normal quantile above which a sibling's bad share is different.
     ``prior``         labels that the shares of host and corpus count for in a template's share.
@@ -96,9 +97,12 @@ def _generalise(tree: DataFrame, level: int, s: TreeSettings) -> DataFrame:
     pooled = (F.col("all_bad") + 1) / (labelled + others + 2)
     score = F.abs(share - rest) / F.sqrt(pooled * (1 - pooled) * (1 / (labelled + 1) + 1 / (others + 1)))
     rare = (F.col("kinds") > s.max_children) & (F.col("n") < s.rare_share * F.col("all_n"))
+    # Chernoff's bound, which holds for few labels too: the chance of such a share among so many labels.
+    part = lambda k, p: F.when(k > 0, k * F.log(k / (labelled * p))).otherwise(0.0)
+    told = part(F.col("bad"), rest) + part(F.col("good"), 1 - rest) > math.log(2 / math.erfc(s.z / math.sqrt(2)))
     wild = (
         children.join(nodes, ["host", "__node"])
-        .where((F.col("kinds") > 1) & (rare | (score <= s.z)))
+        .where((F.col("kinds") > 1) & ((score <= s.z) | (rare & ~told)))
         .select("host", "__node", "__part", F.lit(True).alias("__wild"))
     )
     before, after = F.slice("template", 1, level - 1), F.slice("template", level + 1, s.depth + 1)

@@ -99,6 +99,19 @@ def test_bad_branch_is_found_and_alike_branches_merge(spark):
     assert {r.page_id for r in judged.where("verdict = 'block'").collect()} == {k for k in range(400) if k % 3 == 2}
 
 
+def test_bad_branch_among_many_small_ones_keeps_its_own(spark):
+    section = lambda k: "section" + chr(97 + k % 25)
+    pages = [(k, f"http://host.test/{section(k)}/{k}.html") for k in range(1000)]
+    pages += [(1000 + k, f"http://host.test/slug{chr(97 + k)}/1.html") for k in range(20)]
+    labels = [(k, int(k % 25 == 3)) for k in range(1000)] + [(1000, 1)]
+    pages, labels = spark.createDataFrame(pages, "page_id long, url string"), spark.createDataFrame(labels, "page_id long, bad int")
+    tree = {tuple(r.shape): r.template[0] for r in url_filter.template_tree(pages, labels).collect()}
+    assert tree[("sectiond", "#.html")] == "sectiond" and tree[("sectiona", "#.html")] == "*"
+    assert tree[("sluga", "#.html")] == tree[("slugb", "#.html")] == "*"
+    judged = url_filter.judge_urls(pages, labels, [])
+    assert {r.page_id for r in judged.where("verdict = 'block'").collect()} == {k for k in range(1000) if k % 25 == 3}
+
+
 # Personal data
 
 PATTERNS = {
