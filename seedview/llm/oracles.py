@@ -1,4 +1,5 @@
-"""DuckDB SQL for the text queries that SQL can express: chat formatting and host rules.
+"""DuckDB SQL for the text queries that SQL can express: chat formatting, host rules, the Merkle manifest
+and centroid clustering.
 
 The others learn models, hash with functions that SQL lacks, or build indexes; they are tested against
 brute force.
@@ -80,4 +81,100 @@ FROM failed f JOIN rates r ON f.source IS NOT DISTINCT FROM r.source
 """
 
 
-ORACLES: dict[str, str] = {"op4_host_rules": _host_rules(), "op8_chat_format": _CHAT}
+def _manifest(group_levels: int = 6, top_levels: int = 4, fanout: int = 16) -> str:
+    """Trees of up to ``fanout ** group_levels`` rows a source and ``fanout ** top_levels`` sources."""
+    fields = lambda text: " || ".join(
+        f"coalesce(strlen(CAST({x} AS VARCHAR)) || ':' || {x}, '-')" for x in ("doc_id", "source", "lang", "n_chars", text)
+    )
+    bit = "SELECT i, CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END AS c FROM ({})"
+    table = "SELECT i, i AS c FROM range(256) AS r(i)"
+    for _ in range(8):
+        table = bit.format(table)
+    parts = [
+        f"crc AS (SELECT list(c ORDER BY i) AS t FROM ({table}))",
+        """ids AS (SELECT *, xor(4294967295, list_reduce(
+    [4294967295] || list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda x: CAST(ord(x) AS BIGINT)),
+    lambda a, b: xor(a >> 8, t[(xor(a, b) & 255) + 1]))) AS h FROM documents, crc)""",
+        """texts AS (SELECT *, CASE WHEN h % 5 = 0 THEN
+    translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') ELSE text END AS other FROM ids)""",
+        f"digests AS (SELECT doc_id, source, sha256({fields('text')}) AS leaf, sha256({fields('other')}) AS f FROM texts)",
+        """leaves AS (SELECT *, coalesce('=' || source, '-') AS tree,
+    row_number() OVER (PARTITION BY source ORDER BY doc_id NULLS FIRST, leaf, f) - 1 AS place,
+    count(*) OVER (PARTITION BY source) AS n FROM digests)""",
+        "s0 AS MATERIALIZED (SELECT tree, place, n, leaf AS d FROM leaves)",
+        "p0 AS (SELECT doc_id, leaf, tree, place, n, f, '' AS sib FROM leaves)",
+    ]
+
+    def climb(nodes: str, walk: str, levels: int, more: str) -> None:
+        for k in range(levels):
+            parts.append(
+                f"""{nodes}{k + 1} AS MATERIALIZED (SELECT tree, place // {fanout} AS place, (n + {fanout - 1}) // {fanout} AS n,
+    sha256(string_agg(d, '' ORDER BY place)) AS d, list(d ORDER BY place) AS ds FROM {nodes}{k} WHERE n > 1 GROUP BY ALL)"""
+            )
+            parts.append(
+                f"""{walk}{k + 1} AS (SELECT doc_id, leaf{more}, p.tree, p.place // {fanout} AS place, (p.n + {fanout - 1}) // {fanout} AS n,
+    CASE WHEN p.n > 1 THEN sha256(array_to_string(
+      [CASE WHEN i = p.place % {fanout} + 1 THEN f ELSE ds[i] END for i in range(1, len(ds) + 1)], '')) ELSE f END AS f,
+    CASE WHEN p.n > 1 THEN sib || array_to_string([ds[i] for i in range(1, len(ds) + 1) if i <> p.place % {fanout} + 1], '') ELSE sib END AS sib
+  FROM {walk}{k} p LEFT JOIN {nodes}{k + 1} s ON p.n > 1 AND s.tree = p.tree AND s.place = p.place // {fanout})"""
+            )
+
+    climb("s", "p", group_levels, "")
+    roots = " UNION ALL ".join(f"SELECT tree, d FROM s{k} WHERE n = 1" for k in range(group_levels + 1))
+    parts.append(f"subroots AS MATERIALIZED (SELECT tree AS of, d, row_number() OVER (ORDER BY tree) - 1 AS place FROM ({roots}))")
+    parts.append("t0 AS MATERIALIZED (SELECT '' AS tree, place, count(*) OVER () AS n, d FROM subroots)")
+    parts.append(
+        f"""q0 AS (SELECT doc_id, leaf, r.d AS subroot, '' AS tree, r.place, (SELECT count(*) FROM subroots) AS n, f, sib
+  FROM p{group_levels} p JOIN subroots r ON r.of = p.tree)"""
+    )
+    climb("t", "q", top_levels, ", subroot")
+    last = " UNION ALL ".join(f"SELECT d FROM t{k} WHERE n = 1" for k in range(top_levels + 1))
+    parts.append(f"root AS (SELECT d AS root FROM ({last}))")
+    return (
+        "WITH "
+        + ",\n".join(parts)
+        + f"""
+SELECT doc_id, leaf, subroot, root, sha256(sib) AS proof_sha256, f AS folded_root, f = root AS verified
+FROM q{top_levels}, root"""
+    )
+
+
+def _centroids(rounds: int = 10, k: int = 8, size: int = 64) -> str:
+    distance = f"CAST(list_sum([(v.x[i] - c.x[i]) * (v.x[i] - c.x[i]) for i in range(1, {size + 1})]) AS BIGINT)"
+    parts = [
+        f"""kept AS MATERIALIZED (SELECT vec_id, row_number() OVER () AS r,
+    [CAST(floor(1024 * CAST(e AS DOUBLE)) AS BIGINT) for e in embedding] AS x
+  FROM embeddings WHERE len(embedding) = {size} AND len([e for e in embedding if e IS NOT NULL AND isfinite(e)]) = {size})""",
+        f"""c0 AS MATERIALIZED (SELECT row_number() OVER (ORDER BY h, x) - 1 AS c, x
+  FROM (SELECT sha256('3:' || coalesce(CAST(vec_id AS VARCHAR), '')) AS h, x FROM kept ORDER BY h, x LIMIT {k}))""",
+    ]
+    for t in range(rounds + 1):
+        parts.append(
+            f"""a{t} AS MATERIALIZED (SELECT r, any_value(vec_id) AS vec_id, any_value(x) AS x, min(b).c AS c, min(b).d AS d
+  FROM (SELECT r, vec_id, v.x, struct_pack(d := {distance}, c := c.c) AS b FROM kept v, c{t} c) GROUP BY r)"""
+        )
+        if t < rounds:
+            parts.append(
+                f"""m{t} AS (SELECT c, list((s - ((s % n) + n) % n) // n ORDER BY i) AS x
+  FROM (SELECT c, i, sum(x[i]) AS s, count(*) AS n FROM a{t}, range(1, {size + 1}) AS g(i) GROUP BY c, i) GROUP BY c)"""
+            )
+            parts.append(
+                f"""c{t + 1} AS MATERIALIZED (SELECT c, [CAST(e AS BIGINT) for e in coalesce(m.x, o.x)] AS x
+  FROM c{t} o LEFT JOIN m{t} m USING (c))"""
+            )
+    return (
+        "WITH "
+        + ",\n".join(parts)
+        + f"""
+SELECT vec_id, CAST(a.c AS INT) AS cluster, d AS distance, CAST(sum(d) OVER (PARTITION BY a.c) AS BIGINT) AS cluster_inertia,
+  CAST(sum(d) OVER () AS BIGINT) AS inertia, sha256(array_to_string(c.x, ',')) AS centroid_sha256
+FROM a{rounds} a JOIN c{rounds} c USING (c)"""
+    )
+
+
+ORACLES: dict[str, str] = {
+    "op4_host_rules": _host_rules(),
+    "op8_chat_format": _CHAT,
+    "op12_merkle_manifest": _manifest(),
+    "op13_centroids": _centroids(),
+}

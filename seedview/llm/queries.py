@@ -5,15 +5,19 @@ from __future__ import annotations
 from collections.abc import Callable
 from functools import wraps
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from seedview.llm.chat import digests, format_conversations
+from seedview.llm.centroids import cluster_vectors
 from seedview.llm.common import bounded_batches, read_table, remainder, train_labels
 from seedview.llm.decontam import find_leaks
 from seedview.llm.host_rules import judge_documents
+from seedview.llm.manifest import build_manifest, hex_of, leaf_digest, lower_ascii, prove
 from seedview.llm.mixing import MixSettings, mix_sources
 from seedview.llm.pii import BASE, find_personal_data, listed
+from seedview.llm.pieces import encode_documents
 from seedview.llm.quality import score_quality
 from seedview.llm.simhash import hex_digits, near_duplicate_classes
 from seedview.llm.suffix_dedup import remove_repeats
@@ -30,6 +34,10 @@ URL_RULES = [
 ]
 
 
+#: Vocabulary file of the piece codec.
+PIECES = "piece_bpe_32k.model"
+
+
 def quality(spark: SparkSession, root: str) -> DataFrame:
     good = train_labels(read_table(spark, root, "labels"), "quality", 4, 2).where("y = 1")
     return score_quality(read_table(spark, root, "documents"), good).select(
@@ -97,6 +105,47 @@ def url_filter(spark: SparkSession, root: str) -> DataFrame:
     return judged.select("page_id", "host", "path", "rule", "verdict")
 
 
+def piece_codec(spark: SparkSession, root: str) -> DataFrame:
+    encoded = encode_documents(read_table(spark, root, "documents").select("doc_id", "text"), public_tokenizers.path(PIECES))
+    ids = F.col("__encoded.ids")
+    return encoded.select(
+        "doc_id",
+        F.size(ids).cast("long").alias("n_tokens"),
+        F.sha2(F.array_join(ids.cast("array<string>"), ","), 256).alias("ids_sha256"),
+        F.sha2(F.col("__encoded.decoded"), 256).alias("decoded_sha256"),
+    )
+
+
+def merkle_manifest(spark: SparkSession, root: str) -> DataFrame:
+    """Texts of every fifth id by hash are checked with A-Z lower-cased; rows without id are left alone."""
+    docs = read_table(spark, root, "documents")
+    kept = [F.col(c) for c in ("doc_id", "source", "lang", "n_chars")]
+    altered = (remainder(F.col("doc_id"), 5) == 0) & F.col("doc_id").isNotNull()
+    checked = F.when(altered, lower_ascii(F.col("text"))).otherwise(F.col("text"))
+    digests = docs.select(
+        "doc_id",
+        F.col("source").alias("group"),
+        leaf_digest([*kept, F.col("text")]).alias("digest"),
+        leaf_digest([*kept, checked]).alias("checked"),
+    )
+    manifest = build_manifest(digests)
+    tree_root = F.lit(manifest.root).cast("string")
+    return prove(manifest).select(
+        "doc_id",
+        hex_of(F.col("digest")).alias("leaf"),
+        hex_of(F.col("subroot")).alias("subroot"),
+        tree_root.alias("root"),
+        F.sha2(hex_of(F.col("siblings")).cast("binary"), 256).alias("proof_sha256"),
+        hex_of(F.col("folded")).alias("folded_root"),
+        (hex_of(F.col("folded")) == tree_root).alias("verified"),
+    )
+
+
+def centroids(spark: SparkSession, root: str) -> DataFrame:
+    clustered = cluster_vectors(read_table(spark, root, "embeddings"), "vec_id", "embedding")
+    return clustered.select("vec_id", "cluster", "distance", "cluster_inertia", "inertia", "centroid_sha256")
+
+
 def decontamination(spark: SparkSession, root: str) -> DataFrame:
     leaks = find_leaks(read_table(spark, root, "documents"), read_table(spark, root, "benchmark"))
     return leaks.select("doc_id", "item_id", "score", "question_overlap", "answer_overlap")
@@ -122,6 +171,9 @@ _ALL: dict[str, Query] = {
     "op8_chat_format": chat_format,
     "op9_url_filter": url_filter,
     "op10_decontamination": decontamination,
+    "op11_piece_codec": piece_codec,
+    "op12_merkle_manifest": merkle_manifest,
+    "op13_centroids": centroids,
 }
 
 QUERIES: dict[str, Query] = {name: _bounded(query) for name, query in _ALL.items()}
