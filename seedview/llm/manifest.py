@@ -11,8 +11,8 @@ it meets. A leaf meets one row per level, so building and climbing cost rows tim
 * Rows high in the tree are met by all leaves below them. They are stored once per ``share`` leaves,
   and a leaf asks for the copy its own name hashes to, so no join key has more than about ``share`` rows.
 * Digests are kept as bytes and hashed as hex. A step of the climb gives out where it passed (parent and
-  position); the siblings' bytes are appended in one join after it, as they are most of what a proof
-  weighs and would else be written twice.
+  position). Siblings are most of what a proof weighs, and leaves of one run differ only in those of the
+  run itself: the bytes are appended along the path of each run's leading leaf and joined to the others.
 """
 
 from __future__ import annotations
@@ -38,7 +38,7 @@ MOST_STARTS_SENT = 100_000
 @dataclass(frozen=True)
 class Manifest:
     """``leaves``: one row per input row: node, parent link, doc_id, digest and the digest to check.
-    ``nodes``: one row per inner node and copy: node, parent link, digest and those of its children.
+    One leaf of each run of siblings leads. ``nodes``: one row per inner node and copy: node, parent link, digest and those of its children.
     ``root``: the root's digest in hex, ``None`` without rows."""
 
     leaves: DataFrame
@@ -165,26 +165,34 @@ def build_manifest(rows: DataFrame, fanout: int = 16, share: int = 4096) -> Mani
     stored = counted(nodes).withColumn("copy", F.explode(F.sequence(F.lit(0).cast("long"), F.col("copies") - 1)))
     hanging = hung(leaves, 0).select("node", "parent", "position", "is_group", "doc_id", "digest", "checked")
     lone = counted(hanging.where("is_group"))  # others hang below a node with at most fanout leaves
-    most = hanging.where("NOT is_group").withColumn("of_copies", F.lit(1).cast("long"))
+    first = lone.groupBy("parent").agg(F.min("node").alias("__first")).withColumnRenamed("parent", "__run")
+    lone = lone.join(first, F.col("parent") == F.col("__run"), "left").drop("__run")
+    lone = lone.withColumn("leads", F.coalesce(F.col("node") == F.col("__first"), F.lit(True))).drop("__first")
+    most = hanging.where("NOT is_group").withColumns({"of_copies": F.lit(1).cast("long"), "leads": F.col("position") == 0})
     return Manifest(most.unionByName(lone), pin(stored.drop("copies"), "node-copies"), root["root"] if root else None)
 
 
 _CLIMB = """
-WITH RECURSIVE climb (leaf, step, parent, position, copy, folded, doc_id, digest, subroot) AS (
-  SELECT node, 0, parent, position, pmod(xxhash64(node), of_copies), checked, doc_id, digest,
-    CASE WHEN is_group THEN digest END
+WITH RECURSIVE climb (leaf, step, parent, position, copy, leads, folded, subroot) AS (
+  SELECT node, 0, parent, position, pmod(xxhash64(node), of_copies), leads, checked, CAST(NULL AS BINARY)
   FROM {leaves}
   UNION ALL
-  SELECT c.leaf, c.step + 1, n.parent, n.position, pmod(xxhash64(c.leaf), n.of_copies),
+  SELECT c.leaf, c.step + 1, n.parent, n.position, pmod(xxhash64(c.leaf), n.of_copies), c.leads,
     unhex(sha2(CAST(lower(hex(concat(
       substring(n.children, 1, 32 * c.position), c.folded, substring(n.children, 32 * c.position + 33)
     ))) AS BINARY), 256)),
-    CAST(NULL AS BIGINT), CAST(NULL AS BINARY), CASE WHEN n.is_group THEN n.digest END
+    CASE WHEN n.is_group AND c.leads THEN n.digest END
   FROM climb c JOIN {nodes} n ON n.node = c.parent AND n.copy = c.copy
 )
-SELECT c.leaf, c.step, c.doc_id, c.digest, c.subroot, CASE WHEN c.parent IS NULL THEN c.folded END AS folded,
-  concat(substring(n.children, 1, 32 * c.position), substring(n.children, 32 * c.position + 33)) AS siblings
-FROM climb c LEFT JOIN {nodes} n ON n.node = coalesce(c.parent, c.leaf) AND n.copy = c.copy
+SELECT leaf, step, parent, position, copy, leads, subroot, CASE WHEN parent IS NULL THEN folded END AS folded FROM climb
+"""
+
+_PASSED = """
+SELECT c.leaf, c.step, c.subroot, CASE WHEN c.step = 0 THEN c.parent END AS run,
+  CASE WHEN c.step = 0 THEN n.children END AS children,
+  CASE WHEN c.step > 0 THEN concat(substring(n.children, 1, 32 * c.position), substring(n.children, 32 * c.position + 33)) END AS others
+FROM {climb} c LEFT JOIN {nodes} n ON n.node = coalesce(c.parent, c.leaf) AND n.copy = c.copy
+WHERE c.leads
 """
 
 
@@ -196,13 +204,26 @@ def prove(manifest: Manifest) -> DataFrame:
     """
     spark = manifest.leaves.sparkSession
     spark.conf.set("spark.sql.cteRecursionRowLimit", "-1")  # leaves times levels; the depth stays limited
-    steps = spark.sql(_CLIMB, leaves=manifest.leaves, nodes=manifest.nodes)
-    path = F.sort_array(F.collect_list(F.struct("step", F.hex("siblings").alias("hex"))))
-    proofs = steps.groupBy("leaf").agg(
-        path.alias("path"), *(F.max(c).alias(c) for c in ("doc_id", "digest", "subroot", "folded"))
+    climb = pin(spark.sql(_CLIMB, leaves=manifest.leaves, nodes=manifest.nodes), "climb")
+
+    passed = spark.sql(_PASSED, climb=climb, nodes=manifest.nodes)
+    path = F.sort_array(F.collect_list(F.struct("step", "others")))
+    runs = passed.groupBy("leaf").agg(path.alias("path"), *(F.max(c).alias(c) for c in ("run", "children", "subroot")))
+    upper = F.unhex(F.array_join(F.transform("path", lambda x: F.coalesce(F.hex(x["others"]), F.lit(""))), ""))
+    runs = runs.where("run IS NOT NULL").select("run", "children", upper.alias("upper"), F.col("subroot").alias("__subroot"))
+
+    folded = climb.where("parent IS NULL").select(F.col("leaf").alias("__leaf"), "folded")
+    proofs = manifest.leaves.join(folded, F.col("node") == F.col("__leaf")).join(runs, F.col("parent") == F.col("run"), "left")
+    place = F.col("position") * SIZE
+    own = [F.substring("children", F.lit(1), place), F.substring("children", place + SIZE + 1, F.lit(1 << 30))]
+    return proofs.select(
+        F.col("node").alias("leaf"),
+        "doc_id",
+        "digest",
+        F.when(F.col("is_group"), F.col("digest")).otherwise(F.col("__subroot")).alias("subroot"),
+        F.coalesce(F.concat(*own, F.col("upper")), F.lit(b"")).alias("siblings"),
+        "folded",
     )
-    siblings = F.array_join(F.transform("path", lambda x: F.coalesce(x["hex"], F.lit(""))), "")
-    return proofs.select("leaf", "doc_id", "digest", "subroot", F.unhex(siblings).alias("siblings"), "folded")
 
 
 def lower_ascii(text: Column) -> Column:
