@@ -38,14 +38,21 @@ def number_distinct(values: DataFrame, column: str, index: str) -> DataFrame:
 def number_by_range(df: DataFrame, order: Sequence[str], index: str) -> DataFrame:
     """Number the rows in the given total order, starting at 0.
 
-    Rows are range-partitioned, numbered inside each partition and shifted by the row counts of
-    the partitions before. The sampled ranges are pinned in the shared folder, so a lost executor
-    cannot move the borders between the two uses.
+    Rows are range-partitioned, sorted inside each partition and numbered where they lie, in one
+    exchange; the row counts of the partitions before are added. The numbered rows are pinned in the
+    shared folder, so a lost executor cannot move the sampled borders between the two uses.
     """
-    pinned = pin(df.repartitionByRange(*order).withColumn("__part", F.spark_partition_id()), "ranges")
-    inside = Window.partitionBy("__part").orderBy(*order)
-    numbered = pinned.withColumn("__at", F.row_number().over(inside) - 1)
-    return _shift_by_part(numbered, pinned, index)
+    ordered = df.repartitionByRange(*order).sortWithinPartitions(*order)
+    return _number_partitions(ordered, index).select(*df.columns, index)
+
+
+def _number_partitions(df: DataFrame, index: str) -> DataFrame:
+    """Number the rows partition by partition, as they lie; pinned."""
+    pinned = pin(df.withColumn("__id", F.monotonically_increasing_id()), "rows")
+    pinned = pinned.withColumn("__part", F.shiftright("__id", PART_BITS)).withColumn(
+        "__at", F.col("__id").bitwiseAND(F.lit((1 << PART_BITS) - 1))
+    )
+    return _shift_by_part(pinned.drop("__id"), pinned, index)
 
 
 def _shift_by_part(numbered: DataFrame, pinned: DataFrame, index: str) -> DataFrame:
@@ -83,16 +90,31 @@ def file_row_ids(parquet: DataFrame, name: str) -> DataFrame:
     return joined.select(*columns, (F.col("__at") + F.col("__offset")).alias(name))
 
 
-def scan_row_ids(df: DataFrame, name: str) -> DataFrame:
-    """Number the rows of any scan (CSV, JSON) partition by partition, without sorting.
+def scan_row_ids(scan: DataFrame, name: str) -> DataFrame:
+    """Number the rows of a text scan (CSV, JSON) in file order: by path, byte offset, then line.
+
+    Large files are cut into splits that any task may read in any order. Each row knows its split's
+    path and first byte from the scan's metadata, and its place among the rows that its task read one after
+    the other; the rows of the splits before it are added from a table with one entry per split. The
+    places are pinned in the shared folder, so ids stay fixed if a task is run again. Nothing is sorted or
+    moved. The table of splits is sent to the executors up to ``MOST_FILES_SENT`` entries.
 
-    The numbered rows are pinned in the shared folder, so ids stay fixed if a task is run again.
+    ``scan`` must come straight from a file reader; filters and further columns go after this.
     """
-    pinned = pin(df.withColumn("__id", F.monotonically_increasing_id()), "rows")
-    pinned = pinned.withColumn("__part", F.shiftright("__id", PART_BITS)).withColumn(
-        "__at", F.col("__id").bitwiseAND(F.lit((1 << PART_BITS) - 1))
+    located = scan.select(
+        *scan.columns,
+        F.col("_metadata.file_path").alias("__file"),
+        F.col("_metadata.file_block_start").alias("__start"),
+        F.monotonically_increasing_id().alias("__id"),
     )
-    return _shift_by_part(pinned.drop("__id"), pinned, name).select(*df.columns, name)
+    pinned = pin(located, "rows")
+    splits = pinned.groupBy("__file", "__start").agg(F.count(F.lit(1)).alias("__n"), F.min("__id").alias("__first"))
+    ahead = Window.orderBy("__file", "__start").rowsBetween(Window.unboundedPreceding, -1)
+    shift = F.coalesce(F.sum("__n").over(ahead), F.lit(0)) - F.col("__first")
+    offsets = pin(splits.select("__file", "__start", shift.alias("__shift")), "splits")
+    few = offsets.limit(MOST_FILES_SENT + 1).count() <= MOST_FILES_SENT
+    joined = pinned.join(F.broadcast(offsets) if few else offsets, ["__file", "__start"])
+    return joined.select(*scan.columns, (F.col("__id") + F.col("__shift")).cast("bigint").alias(name))
 
 
 def rekey_database(db: DatabaseSpec) -> tuple[DatabaseSpec, dict[str, DataFrame]]:

@@ -1,9 +1,12 @@
 """Sampled neighbourhoods: per instance one entity node and its most recent child rows.
 
-Child rows are numbered per key in time order and each seed reads how many rows precede it, both
-from one running count. The last ``k`` neighbours of a seed are then the rows numbered
-``n-k+1 .. n``, fetched by an equi join on (key, number): no pair outside the result is ever built,
-and the join key spreads even a single hot entity over all tasks.
+Seeds travel down their key's rows in time order and carry the last ``k`` rows with them, so the child
+table is read, shuffled and sorted once. If a key is hot, or ``k`` is large, rows are numbered instead and
+each seed reads how many precede it, both from one sliced running count; its last ``k`` neighbours are the
+rows numbered ``n-k+1 .. n``, fetched by an equi join on (key, number), which spreads even a single hot
+entity over all tasks. All neighbours (``k=None``) are fetched the same way in blocks of rows: the rows up to
+a seed are a prefix of its key's rows, so their numbers are the same for every seed. Undated tables give
+each key's first ``k`` rows, reduced map-side. No pair outside the result is ever built.
 """
 
 from __future__ import annotations
@@ -17,12 +20,17 @@ from pyspark.sql import functions as F
 from seedview.functions.expressions import micros
 from seedview.model import DatabaseSpec, TableSpec, TaskSpec, is_numeric
 from seedview.operators.asof import asof_join
+from seedview.operators.keys import number_by_range
 from seedview.operators.lookup import lookup
-from seedview.operators.running import POS, PROBE, running
-from seedview.session import SkewPolicy
+from seedview.operators.running import POS, PROBE, hot_groups, running
+from seedview.session import SkewPolicy, pin
 
 Link = tuple[TableSpec, str, str]
 """(table, foreign key, node type)"""
+MOST_CARRIED = 64
+"""Largest number of neighbours that seeds carry with them."""
+BLOCK = 1024
+"""Rows of a key that meet the seeds together when all neighbours are asked for."""
 
 
 def event_links(db: DatabaseSpec, entity_table: str) -> list[Link]:
@@ -84,7 +92,7 @@ def neighbor_nodes(
             policy = skew or SkewPolicy.of(rows, table.df)
             found = _dated_neighbors(seeds, features.where(F.col(POS).isNotNull()), key, seed, k, policy)
         else:
-            found = _static_neighbors(seeds, features, key, seed, k)
+            found = _static_neighbors(seeds, features, key, seed, k, skew or SkewPolicy.of(rows, table.df))
         parts.append(found.withColumn("node_type", F.lit(node)))
     return reduce(lambda a, b: a.unionByName(b), parts).select(key, seed, "node_type", "node_idx", "features")
 
@@ -103,7 +111,7 @@ def _entity_nodes(entity: TableSpec, task: TaskSpec, seeds: DataFrame, skew) ->
             seeds, known, left_key=key, left_time=seed, right_key="__key", right_time="__time", skew=skew
         )
     else:
-        joined = lookup(seeds, known.withColumnRenamed("__key", key), [key], skew=skew)
+        joined = lookup(seeds, known.withColumnRenamed("__key", key), [key], skew=skew, guard=entity.name)
     placeholder = F.array_repeat(F.lit(0.0).cast("float"), width)
     return joined.select(
         key,
@@ -115,33 +123,75 @@ def _entity_nodes(entity: TableSpec, task: TaskSpec, seeds: DataFrame, skew) ->
 
 
 def _dated_neighbors(seeds, features, key, seed, k, skew) -> DataFrame:
-    if k is None:
-        pairs = seeds.join(features, key).where(F.col(POS) <= micros(seed))
-        order = Window.partitionBy(key, seed).orderBy(POS, "__pk")
-        return pairs.select(key, seed, (F.row_number().over(order) - 1).alias("node_idx"), "features")
-    if skew.active:
+    if skew.active and k is not None:
         # More than k rows of one key and instant: only the last k can be anybody's neighbours.
         same_instant = Window.partitionBy(key, POS).orderBy(F.col("__pk").desc())
         features = features.withColumn("__n", F.row_number().over(same_instant)).where(F.col("__n") <= k).drop("__n")
-    events = features.withColumns({PROBE: F.lit(False), "n": F.lit(1).cast("bigint")}).unionByName(
+    events = features.withColumn(PROBE, F.lit(False)).unionByName(
         seeds.withColumns({POS: micros(seed), PROBE: F.lit(True)}), allowMissingColumns=True
     )
-    numbered = running(events, [key], {"n": "sum"}, tie=["__pk"], collapse=False, skew=skew)
+    if k is not None and k <= MOST_CARRIED and not (skew.active and hot_groups(events, [key], skew) is not None):
+        return _carried(events, key, seed, k)
+    counted = events.withColumn("n", F.when(~F.col(PROBE), F.lit(1).cast("bigint")))
+    numbered = pin(running(counted, [key], {"n": "sum"}, tie=["__pk"], collapse=False, skew=skew), "numbered")
     children = numbered.where(~F.col(PROBE)).select(key, F.col("asc__n").alias("__n"), "features")
-    counted = numbered.where(F.col(PROBE) & (F.col("asc__n") > 0)).select(key, seed, F.col("asc__n").alias("__last"))
+    probes = numbered.where(F.col(PROBE) & (F.col("asc__n") > 0)).select(key, seed, F.col("asc__n").alias("__last"))
+    return _all_before(probes, children, key, seed) if k is None else _last_before(probes, children, key, seed, k)
+
+
+def _carried(events: DataFrame, key: str, seed: str, k: int) -> DataFrame:
+    """One pass: the ``k`` last rows before each probe, oldest first, from one window."""
+    carried = events.withColumn("__row", F.when(~F.col(PROBE), F.struct("features")))
+    over = f"OVER (PARTITION BY `{key}` ORDER BY `{POS}`, `{PROBE}`, `__pk`)"
+    last = [F.expr(f"lag(__row, {n}) IGNORE NULLS {over}") for n in range(k, 0, -1)]
+    found = carried.withColumn("__last", F.array(*last)).where(F.col(PROBE))
+    found = found.select(key, seed, F.posexplode(F.filter("__last", lambda x: x.isNotNull())).alias("node_idx", "__row"))
+    return found.select(key, seed, "node_idx", F.col("__row.features").alias("features"))
+
+
+def _last_before(probes: DataFrame, children: DataFrame, key: str, seed: str, k: int) -> DataFrame:
+    """The ``k`` last of the rows numbered up to ``__last``."""
     first = F.greatest(F.col("__last") - k, F.lit(0).cast("bigint"))
-    wanted = counted.select(key, seed, first.alias("__skipped"), F.explode(F.sequence(first + 1, F.col("__last"))).alias("__n"))
+    wanted = probes.select(key, seed, first.alias("__skipped"), F.explode(F.sequence(first + 1, F.col("__last"))).alias("__n"))
     return wanted.join(children, [key, "__n"]).select(
         key, seed, (F.col("__n") - F.col("__skipped") - 1).cast("int").alias("node_idx"), "features"
     )
 
 
-def _static_neighbors(seeds, features, key, seed, k) -> DataFrame:
-    order = Window.partitionBy(key).orderBy("__pk")
-    ranked = features.withColumn("node_idx", F.row_number().over(order) - 1)
-    if k is not None:
-        ranked = ranked.where(F.col("node_idx") < k)
-    return seeds.join(ranked, key).select(key, seed, "node_idx", "features")
+def _all_before(probes: DataFrame, children: DataFrame, key: str, seed: str) -> DataFrame:
+    """All rows numbered up to ``__last``: blocks of a key's rows meet the seeds that reach them."""
+    block = lambda n: F.floor((n - 1) / BLOCK)
+    reach = probes.withColumn("__block", F.explode(F.sequence(F.lit(0).cast("bigint"), block(F.col("__last")))))
+    pairs = reach.join(children.withColumn("__block", block(F.col("__n"))), [key, "__block"])
+    return pairs.where(F.col("__n") <= F.col("__last")).select(key, seed, (F.col("__n") - 1).cast("int").alias("node_idx"), "features")
+
+
+def _static_neighbors(seeds: DataFrame, features: DataFrame, key: str, seed: str, k: Optional[int], skew: SkewPolicy) -> DataFrame:
+    """Each key's first ``k`` rows by primary key, for every seed of it.
+
+    A row number that is only compared with ``k`` is limited before the shuffle: a map task sends at
+    most ``k`` rows of a key. On large inputs a key's rows are first reduced in ``skew.slices`` parts, so what
+    meets in one task is at most ``k`` rows a part, whatever the number of map tasks. All rows (``k=None``)
+    are numbered in one range-partitioned order of (key, primary key) and fetched in blocks.
+    """
+    if k is None:
+        ranked = pin(number_by_range(features, [key, "__pk"], "__i"), "ranked")
+        sizes = pin(ranked.groupBy(key).agg(F.min("__i").alias("__first"), F.count(F.lit(1)).alias("__last")), "sizes")
+        placed = lookup(ranked, sizes.drop("__last"), [key], skew=skew)
+        children = placed.select(key, (F.col("__i") - F.col("__first") + 1).alias("__n"), "features")
+        probes = lookup(seeds, sizes.drop("__first"), [key], skew=skew).where("__last IS NOT NULL")
+        return _all_before(probes, children, key, seed)
+    if skew.active:
+        features = _first(features.withColumn("__slice", F.pmod(F.xxhash64("__pk"), F.lit(skew.slices))), [key, "__slice"], k)
+    ranked = _first(features, [key], k).withColumn("node_idx", (F.col("__n") - 1).cast("int"))
+    lists = ranked.groupBy(key).agg(F.collect_list(F.struct("node_idx", "features")).alias("__nodes"))
+    found = lookup(seeds, lists, [key], skew=skew).select(key, seed, F.explode("__nodes").alias("__node"))
+    return found.select(key, seed, "__node.node_idx", "__node.features")
+
+
+def _first(rows: DataFrame, by: list[str], k: int) -> DataFrame:
+    order = Window.partitionBy(*by).orderBy("__pk")
+    return rows.withColumn("__n", F.row_number().over(order)).where(F.col("__n") <= k)
 
 
 def neighbor_edges(nodes: DataFrame, task: TaskSpec) -> DataFrame:

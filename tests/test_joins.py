@@ -7,6 +7,7 @@ from helpers import frame, history_frames, problem, random_history
 from pyspark.sql import functions as F
 
 from seedview.model import DatabaseSpec, TableSpec, TaskSpec, ViewConfig
+from seedview.operators import neighbors
 from seedview.operators.asof import asof_join
 from seedview.operators.degrees import incident_counts, incident_table_cap, incident_tables
 from seedview.operators.lookup import duplicate_keys, lookup, remap_foreign_key, static_lookup
@@ -161,8 +162,11 @@ def test_table_cap(spark):
     assert graph_view(db, task, 100).columns[-1] == "graphdeg__transactions__count_leq_seed"
 
 
-@pytest.mark.parametrize("k", [1, 3, None])
-def test_neighbors(spark, skew_mode, k):
+@pytest.mark.parametrize("k, carried", [(1, 64), (3, 64), (3, 0), (None, 64)])
+def test_neighbors(spark, skew_mode, monkeypatch, k, carried):
+    """Carried along by the seeds or fetched by number, in blocks if all are asked for."""
+    monkeypatch.setattr(neighbors, "MOST_CARRIED", carried)
+    monkeypatch.setattr(neighbors, "BLOCK", 4)
     children, seeds = random_history(17, n_rows=60)
     child, instances = history_frames(spark, children, seeds)
     db, task = problem(spark, [(1, 0.5), (2, None)], "user_id bigint, score double", child, instances)
@@ -209,7 +213,48 @@ def test_two_foreign_keys_give_two_relations(spark):
     assert sorted(r.node_type for r in neighbor_nodes(db, task, 5).collect()) == ["moves_dst", "moves_src", "users"]
 
 
-def test_static_neighbors_are_the_first_by_key(spark):
+@pytest.mark.parametrize("k", [0, 1, 2, None])
+def test_static_neighbors_are_the_first_by_key(spark, skew_mode, monkeypatch, k):
+    """User 1 has a third of all cards; text keys are in text order."""
+    monkeypatch.setattr(neighbors, "BLOCK", 3)
+    owner = [1 if i % 3 == 0 else [2, 3, None, 9][i % 4] for i in range(40)]
+    users = frame(spark, [(i,) for i in (1, 2, 3, 4)], "user_id bigint")
+    cards = frame(spark, [(f"c{i}", user, float(i)) for i, user in enumerate(owner)], "id string, user_id bigint, x double")
+    seeds = [(1, "2024-02-01", 1), (1, "2024-03-01", 0), (2, "2024-02-01", 1), (3, "2024-02-01", 1), (4, "2024-02-01", 1)]
+    rows = frame(spark, seeds, "user_id bigint, seed_time string, label int", ["seed_time"])
+    db = DatabaseSpec(
+        {
+            "users": TableSpec("users", users, "user_id"),
+            "cards": TableSpec("cards", cards, "id", None, {"user_id": "users"}),
+        }
+    )
+    task = TaskSpec("t", "classification", "label", "auroc", "users", "user_id", "seed_time", rows)
+    found = {}
+    for r in neighbor_nodes(db, task, k).where("node_type = 'cards'").collect():
+        found.setdefault((r.user_id, r.seed_time.month), {})[r.node_idx] = r.features[1]
+    for user, day, _ in seeds:
+        want = [float(i) for _, i in sorted((f"c{i}", i) for i, o in enumerate(owner) if o == user)][:k]
+        assert [v for _, v in sorted(found.pop((user, int(day[5:7])), {}).items())] == want
+    assert not found
+
+
+def test_static_neighbors_are_limited_before_the_shuffle(spark):
+    db, task = problem(spark, [(1, 0.5)], "user_id bigint, score double", *history_frames(spark, *random_history(3)))
+    child = db.table("tx")
+    db = DatabaseSpec({**db.tables, "tx": TableSpec("tx", child.df, "tx_id", None, child.foreign_keys)})
+    plan = neighbor_nodes(db, task, 3)._jdf.queryExecution().executedPlan().toString()
+    assert "WindowGroupLimit" in plan and "Partial" in plan
+
+
+def test_dated_neighbors_read_the_child_once(spark, tmp_path):
+    child, instances = history_frames(spark, *random_history(3))
+    child.write.parquet(str(tmp_path / "tx"))
+    db, task = problem(spark, [(1, 0.5)], "user_id bigint, score double", spark.read.parquet(str(tmp_path / "tx")), instances)
+    plan = neighbor_nodes(db, task, 3).where("node_type = 'tx'")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("parquet") == 1
+
+
+def test_two_cards(spark):
     users = frame(spark, [(1,)], "user_id bigint")
     cards = frame(spark, [(i, 1) for i in (5, 3, 9)], "id bigint, user_id bigint")
     rows = frame(spark, [(1, "2024-02-01", 1)], "user_id bigint, seed_time string, label int", ["seed_time"])
@@ -230,3 +275,49 @@ def test_dated_entity_node_is_its_row_as_of_the_seed(spark):
     versions = [(1, 10.0, datetime(2024, 1, 1)), (1, 20.0, datetime(2024, 3, 1))]
     db, task = problem(spark, versions, "user_id bigint, age double, since string", child, instances, "since")
     assert neighbor_nodes(db, task, 5).where(F.col("node_type") == "users").first().features == [1.0, 10.0]
+
+
+def doubled(spark):
+    return frame(spark, [(1, "a"), (2, "b"), (2, "c"), (None, "x"), (None, "y")], "id bigint, name string")
+
+
+def test_a_lookup_refuses_a_key_that_occurs_twice(spark, skew_mode):
+    left = frame(spark, [(k, i) for i, k in enumerate([1, 1, 1, 3, None])], "k bigint, i int")
+    with pytest.raises(Exception, match="p__id: key 2 occurs 2 times"):
+        static_lookup(left, "k", doubled(spark), "id", "p__").collect()
+    clean = doubled(spark).where("name <> 'c'")
+    found = {(r.i, r.p__name) for r in static_lookup(left, "k", clean, "id", "p__").collect()}
+    assert found == {(0, "a"), (1, "a"), (2, "a"), (3, None), (4, None)}
+
+
+def test_the_guard_adds_no_exchange_to_a_sorted_join(spark, tmp_path):
+    spark.range(1000).withColumn("v", F.col("id") % 7).write.parquet(str(tmp_path / "t"))
+    both = [spark.read.parquet(str(tmp_path / "t")) for _ in range(2)]
+    count = {}
+    for guard in (None, "t"):
+        joined = lookup(both[0].select("id"), both[1], ["id"], guard=guard)
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+        try:
+            plan = joined._jdf.queryExecution().executedPlan().toString()
+        finally:
+            spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+        count[guard] = (plan.count("Exchange"), plan.count("Sort "), plan.count("FileScan"))
+    assert count[None] == count["t"]
+
+
+def test_a_view_refuses_a_parent_that_occurs_twice(spark, tmp_path):
+    """The registered query on tables whose nations repeat."""
+    from pathlib import Path
+
+    source = Path("/root/testdata/sf0.001")
+    if not source.is_dir():
+        pytest.skip("test tables are not there")
+    for path in source.glob("*.parquet"):
+        if path.stem != "nation":
+            (tmp_path / path.name).symlink_to(path)
+    nation = spark.read.parquet(str(source / "nation.parquet"))
+    nation.union(nation.where("n_nationkey = 7")).write.parquet(str(tmp_path / "nation.parquet"))
+    from seedview.plans.queries import QUERIES
+
+    with pytest.raises(Exception, match="n_nationkey: key 7 occurs 2 times"):
+        QUERIES["parent_lookup_2hop"](spark, str(tmp_path)).collect()
