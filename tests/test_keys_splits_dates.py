@@ -44,6 +44,43 @@ def test_scan_row_ids_are_dense(spark, tmp_path):
     assert sorted(r.row_id for r in out.collect()) == list(range(50))
 
 
+def test_scan_row_ids_follow_the_files_not_the_planner(spark, tmp_path):
+    """Files of very different size, cut into splits that the planner orders by size."""
+    bounds = [(0, 3), (3, 1500), (1500, 1510), (1510, 4000)]
+    for n, (low, high) in enumerate(bounds):
+        lines = "".join(f"{i},{'x' * (i % 50)}\n" for i in range(low, high))
+        (tmp_path / f"f{n}.csv").write_text("id,pad\n" + lines)
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "9000")
+    spark.conf.set("spark.sql.files.openCostInBytes", "1")
+    try:
+        scan = spark.read.schema("id bigint, pad string").csv(str(tmp_path), header=True)
+        assert scan.rdd.getNumPartitions() > 4
+        out = scan_row_ids(scan, "row_id")
+        assert all(r.row_id == r.id for r in out.collect()) and out.count() == 4000
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+        spark.conf.unset("spark.sql.files.openCostInBytes")
+
+
+def test_numbering_by_range_needs_one_exchange(spark):
+    rows = spark.range(1000).select(F.concat(F.lit("k"), F.col("id")).alias("v"))
+    plan = number_by_range(rows, ["v"], "i")._jdf.queryExecution().executedPlan().toString()
+    assert "Window" not in plan.split("BroadcastExchange")[0] and "hashpartitioning(__part" not in plan.split("BroadcastExchange")[0]
+    assert [r.i for r in number_by_range(rows, ["v"], "i").orderBy("v").collect()] == list(range(1000))
+
+
+def test_small_samples_read_once_and_large_ones_agree(spark, tmp_path, monkeypatch):
+    from seedview.operators import sample
+
+    spark.range(3000).withColumn("x", F.col("id") * 2).repartition(5).write.parquet(str(tmp_path / "t"))
+    df = spark.read.parquet(str(tmp_path / "t"))
+    small = sample_rows(df, 70, ["id"], seed=5)
+    assert small._jdf.queryExecution().optimizedPlan().toString().count("parquet") == 1
+    monkeypatch.setattr(sample, "MOST_MERGED", 0)
+    large = sample_rows(df, 70, ["id"], seed=5)
+    assert {tuple(r) for r in small.collect()} == {tuple(r) for r in large.collect()} and small.columns == large.columns
+
+
 def test_rekeyed_database(spark):
     db, _ = toy_churn(spark)
     rekeyed, maps = rekey_database(db)
