@@ -2,15 +2,16 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 from dataclasses import replace
+from datetime import datetime
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from seedview.functions.expressions import add_days, micros
-from seedview.model import DatabaseSpec, TaskSpec
+from seedview.model import DatabaseSpec, TableSpec, TaskSpec
 
 SIGNAL_DAYS = 7
 
@@ -47,31 +48,86 @@ def leakage_audit(
     sums depend on the order of addition; all others by a hash per instance. The check is one join.
     """
     seen = task.with_table(task.task_table.where(F.col(task.seed_time_col) <= cutoff))
-    keys = task.key_columns
+    compared = _compared(build(db, seen), build(without_future(db, cutoff), seen), task.key_columns)
+    return compared.agg(
+        F.count(F.lit(1)).cast("bigint").alias("n_instances"), F.count_if("changed").cast("bigint").alias("n_changed")
+    )
+
+
+def _compared(full: DataFrame, past: DataFrame, keys: list[str]) -> DataFrame:
+    """Per instance whether a feature of ``full`` is another, or absent, in ``past``. One join."""
+    features = [c for c in full.columns if c not in keys]
+    floats = [c for c, kind in full.dtypes if kind in ("double", "float") and c in features]
+    exact = [c for c in features if c not in floats]
 
     def fingerprints(view: DataFrame) -> DataFrame:
-        features = [c for c in view.columns if c not in keys]
-        exact = [c for c in features if c not in floats(view)]
         text = F.to_json(F.struct(*[F.col(c) for c in exact]), {"ignoreNullFields": "false"}) if exact else F.lit("")
-        sums = [F.struct(F.count(c).alias("n"), F.sum(F.col(c).cast("double")).alias("sum")).alias(f"f_{c}") for c in floats(view)]
+        sums = [F.struct(F.count(c).alias("n"), F.sum(F.col(c).cast("double")).alias("sum")).alias(f"f_{c}") for c in floats]
         return view.groupBy(*keys).agg(F.sum(F.xxhash64(text).cast("decimal(38,0)")).alias("mark"), *sums)
 
-    def floats(view: DataFrame) -> list[str]:
-        return [c for c, kind in view.dtypes if kind in ("double", "float") and c not in keys]
-
-    full = build(db, seen)
-    with_future = fingerprints(full)
-    past_only = fingerprints(build(without_future(db, cutoff), seen))
-    past_only = past_only.select(*keys, *(F.col(c).alias(f"past_{c}") for c in past_only.columns if c not in keys))
-    compared = with_future.join(past_only, keys, "full")
+    before = fingerprints(past)
+    before = before.select(*keys, *(F.col(c).alias(f"past_{c}") for c in before.columns if c not in keys))
+    compared = fingerprints(full).join(before, keys, "full")
     changed = ~F.col("mark").eqNullSafe(F.col("past_mark"))
-    for c in floats(full):
+    for c in floats:
         a, b = F.col(f"f_{c}.sum"), F.col(f"past_f_{c}.sum")
         near = F.abs(a - b) <= TOLERANCE * F.greatest(F.abs(a), F.abs(b))
         alike = a.eqNullSafe(b) | F.coalesce(near, F.lit(False))
         changed = changed | ~alike | ~F.col(f"f_{c}.n").eqNullSafe(F.col(f"past_f_{c}.n"))
-    return compared.agg(
-        F.count(F.lit(1)).cast("bigint").alias("n_instances"), F.count(F.when(changed, 1)).cast("bigint").alias("n_changed")
+    return compared.select(*keys, changed.alias("changed"))
+
+
+MOST_CUTOFFS = 256
+"""Instants that one audit keeps apart; each dated row is read once for every instant from its time on."""
+
+
+def audit_each_seed(
+    db: DatabaseSpec,
+    task: TaskSpec,
+    build: Callable[[DatabaseSpec, TaskSpec], DataFrame],
+    cutoffs: Sequence[datetime] | None = None,
+) -> DataFrame:
+    """``(seed, n_instances, n_changed)``: every seed audited against its own past, in one build.
+
+    A database is built that holds, for each cutoff, its own copy of everything known by then: rows are
+    repeated for the cutoffs from their time on (undated rows for all), and every key carries the number of
+    its cutoff, so that copies never meet. Instances ask the copy of their own seed, and one build of the
+    view answers for all seeds. Features of the view on the whole database must be the same; columns that
+    the copy has besides are ignored. Undated seeds take no part.
+
+    ``cutoffs`` are the seeds to audit, all by default; there may be ``MOST_CUTOFFS``.
+    """
+    key, seed = task.key_columns
+    dated = task.task_table.where(F.col(seed).isNotNull())
+    if cutoffs is None:
+        found = dated.select(seed).distinct().limit(MOST_CUTOFFS + 1).collect()
+        cutoffs = sorted(row[0] for row in found)
+    if len(cutoffs) > MOST_CUTOFFS:
+        raise ValueError(f"more than {MOST_CUTOFFS} seeds: name those to audit")
+    known = F.array(*[F.struct(F.lit(n).alias("n"), F.lit(c).cast("timestamp_ntz").alias("at")) for n, c in enumerate(cutoffs)])
+    number = reduce(lambda a, b: a.when(b[1], b[0]), [(F.lit(n), F.col(seed) == F.lit(c).cast("timestamp_ntz")) for n, c in enumerate(cutoffs)], F)
+    named = lambda column: F.concat(F.col("__copy").cast("string"), F.lit("@"), F.col(column).cast("string"))
+
+    def copied(table: TableSpec) -> TableSpec:
+        copies = F.filter(known, lambda c: c["at"] >= F.coalesce(F.col(table.time_col), F.lit(cutoffs[0]).cast("timestamp_ntz"))) if table.time_col else known
+        df = table.df.withColumn("__copy", F.explode(F.transform(copies, lambda c: c["n"])))
+        own = {f"__{c}": named(c) for c in [table.primary_key, *table.foreign_keys]}
+        return replace(
+            table,
+            df=df.withColumns(own).drop("__copy"),
+            primary_key=f"__{table.primary_key}",
+            foreign_keys={f"__{c}": parent for c, parent in table.foreign_keys.items()},
+        )
+
+    seen = dated.where(F.col(seed).isin([F.lit(c).cast("timestamp_ntz") for c in cutoffs]))
+    full = build(db, task.with_table(seen))
+    copies = DatabaseSpec({name: copied(table) for name, table in db.tables.items()})
+    asked = seen.withColumn("__copy", number).withColumn(f"__{key}", named(key)).drop("__copy")
+    past = build(copies, replace(task, entity_key=f"__{key}", task_table=asked)).select(*full.columns)
+    return (
+        _compared(full, past, task.key_columns)
+        .groupBy(F.col(seed).alias("seed"))
+        .agg(F.count(F.lit(1)).cast("bigint").alias("n_instances"), F.count_if("changed").cast("bigint").alias("n_changed"))
     )
 
 

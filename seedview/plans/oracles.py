@@ -234,6 +234,60 @@ csv_dates AS (SELECT c_custkey, rich, i, n,
 SUMMARY = """SELECT 'table' AS kind, '{t}' AS name, count(*) AS n_rows, CAST({n} AS BIGINT) AS n_columns,
   '{pk}' AS primary_key, '{time}' AS time_col, '{fk}' AS foreign_keys FROM {t}"""
 
+
+def static_nodes(limit: str) -> str:
+    part = """SELECT t.n_nationkey, t.seed_time, '{table}' AS node_type,
+  row_number() OVER (PARTITION BY t.n_nationkey, t.seed_time ORDER BY {key}) - 1 AS node_idx,
+  round(CAST(CAST({key} AS FLOAT) AS DOUBLE), 6) AS f0, CAST({n} AS BIGINT) AS n_features
+FROM task t JOIN {table} ON {link} = t.n_nationkey"""
+    both = [
+        part.format(table="customer", key="c_custkey", link="c_nationkey", n=3),
+        part.format(table="supplier", key="s_suppkey", link="s_nationkey", n=3),
+    ]
+    return f"WITH {NATION_TASK} SELECT * FROM ({both[0]} UNION ALL {both[1]}) {limit}"
+
+
+CREDIT_DATES = """labelled AS (SELECT c_custkey, CAST(c_acctbal > 5000 AS INTEGER) AS target, c_acctbal,
+    row_number() OVER (ORDER BY c_custkey) - 1 AS i, count(*) OVER () AS n FROM customer WHERE c_nationkey <> 3),
+app AS (SELECT *, TIMESTAMP '2015-06-01' + to_days(CAST(floor(i / greatest(n - 1, 1)::DOUBLE * 487) AS INTEGER)) AS d FROM labelled),
+cut AS (SELECT max(CASE WHEN i = floor(0.7::DOUBLE * n) THEN d END) AS a, max(CASE WHEN i = floor(0.85::DOUBLE * n) THEN d END) AS b FROM app),
+odd AS (SELECT * FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE o_orderkey % 2 = 1)"""
+
+
+def _credit_child(name: str, rows: str, days: str) -> str:
+    """Rows and days since the last one of a child whose dates lie ``days`` before the application."""
+    return f"""{name} AS (SELECT a.c_custkey, count(*) AS n, round(min(x.days), 6) AS recency
+  FROM app a JOIN (SELECT o_custkey, {days} AS days FROM {rows}) x ON x.o_custkey = a.c_custkey
+  WHERE x.days IS NULL OR x.days BETWEEN 0 AND 200 GROUP BY a.c_custkey)"""
+
+
+CREDIT_CHILDREN = {
+    "bureau": ("orders WHERE o_orderkey % 2 = 0 AND o_orderkey % 50 <> 0", "CAST(o_orderkey % 977 AS DOUBLE)"),
+    "previous_application": ("orders WHERE o_orderkey % 2 = 1", "CAST(o_orderkey % 500 AS DOUBLE)"),
+    "pos_cash_balance": ("odd WHERE l_linenumber <= 2", "l_linenumber * 30.0::DOUBLE"),
+    "credit_card_balance": ("odd WHERE l_linenumber BETWEEN 3 AND 4", "l_linenumber * 30.0::DOUBLE"),
+    "installments_payments": (
+        "odd WHERE l_linenumber > 4",
+        "CASE WHEN l_partkey % 7 <> 0 THEN CAST(l_partkey % 300 AS DOUBLE) END",
+    ),
+}
+CREDIT_VIEW = f"""WITH {CREDIT_DATES},
+{", ".join(_credit_child(f"x_{name}", rows, days) for name, (rows, days) in CREDIT_CHILDREN.items())}
+SELECT a.c_custkey AS SK_ID_CURR, a.d AS APPLICATION_DATE, a.target AS TARGET,
+  CASE WHEN a.d < cut.a THEN 'train' WHEN a.d < cut.b THEN 'val' ELSE 'test' END AS split,
+  round(a.c_acctbal, 6) AS application__AMT_CREDIT,
+  {", ".join(f"coalesce(x_{n}.n, 0) AS {n}__row_count, x_{n}.recency AS {n}__recency_days" for n in CREDIT_CHILDREN)}
+FROM app a CROSS JOIN cut {" ".join(f"LEFT JOIN x_{n} ON x_{n}.c_custkey = a.c_custkey" for n in CREDIT_CHILDREN)}"""
+_COUNTED = "SELECT '{name}' AS table_name, count(*) AS n_rows, CAST(0 AS BIGINT) AS n_bad FROM {rows}"
+CREDIT_BAD = f"""WITH {CREDIT_DATES}
+{_COUNTED.format(name="application", rows="app")}
+UNION ALL SELECT 'bureau', count(*) FILTER (o_orderkey % 50 <> 0), count(*) FILTER (o_orderkey % 50 = 0) FROM orders WHERE o_orderkey % 2 = 0
+UNION ALL {_COUNTED.format(name="bureau_balance", rows="lineitem WHERE l_orderkey % 2 = 0")}
+UNION ALL {_COUNTED.format(name="previous_application", rows="orders WHERE o_orderkey % 2 = 1")}
+UNION ALL {_COUNTED.format(name="pos_cash_balance", rows="odd WHERE l_linenumber <= 2")}
+UNION ALL {_COUNTED.format(name="credit_card_balance", rows="odd WHERE l_linenumber BETWEEN 3 AND 4")}
+UNION ALL {_COUNTED.format(name="installments_payments", rows="odd WHERE l_linenumber > 4")}"""
+
 ORACLES: dict[str, str] = {
     "asof_last_order": f"""WITH {REORDER},
 ranked AS (SELECT t.c_custkey, t.seed_time, o.*, row_number() OVER (PARTITION BY t.c_custkey, t.seed_time
@@ -321,6 +375,24 @@ SELECT c_custkey, seed_time, 'orders', row_number() OVER (PARTITION BY c_custkey
   round(CAST(CAST(o_orderkey AS FLOAT) AS DOUBLE), 6), round(CAST(CAST(o_custkey AS FLOAT) AS DOUBLE), 6),
   round(CAST(CAST(o_totalprice AS FLOAT) AS DOUBLE), 6), 3
 FROM recent WHERE r <= 5""",
+    "neighbors_all": f"""WITH {REORDER}
+SELECT t.c_custkey, t.seed_time, 'orders' AS node_type,
+  row_number() OVER (PARTITION BY t.c_custkey, t.seed_time ORDER BY o.o_orderdate, o.o_orderkey) - 1 AS node_idx,
+  round(CAST(CAST(o.o_orderkey AS FLOAT) AS DOUBLE), 6) AS f0, round(CAST(CAST(o.o_custkey AS FLOAT) AS DOUBLE), 6) AS f1,
+  round(CAST(CAST(o.o_totalprice AS FLOAT) AS DOUBLE), 6) AS f2, CAST(3 AS BIGINT) AS n_features
+FROM task t JOIN orders o ON o.o_custkey = t.c_custkey AND o.o_orderdate <= t.seed_time""",
+    "neighbors_static_k3": static_nodes("WHERE node_idx < 3"),
+    "neighbors_static_all": static_nodes(""),
+    "neighbors_dated_entity": f"""WITH {ORDER_LINES}
+SELECT t.o_orderkey, t.seed_time, 'orders' AS node_type, CAST(0 AS BIGINT) AS node_idx,
+  round(CAST(CAST(o.o_orderkey AS FLOAT) AS DOUBLE), 6) AS f0, round(CAST(CAST(o.o_custkey AS FLOAT) AS DOUBLE), 6) AS f1,
+  round(CAST(CAST(o.o_totalprice AS FLOAT) AS DOUBLE), 6) AS f2, CAST(3 AS BIGINT) AS n_features
+FROM task t JOIN orders o ON o.o_orderkey = t.o_orderkey""",
+    "edge_type_counts": f"""WITH {PURCHASE},
+linked AS (SELECT t.c_custkey, t.seed_time, least(count(*), 3) AS n FROM task t
+  JOIN events e ON e.user_id = t.c_custkey AND e.ts <= t.seed_time GROUP BY t.c_custkey, t.seed_time)
+SELECT 'customer' AS src_type, 'has_events' AS relation, 'events' AS dst_type, CAST(coalesce(sum(n), 0) AS BIGINT) AS n_edges FROM linked
+UNION ALL SELECT 'events', 'in_customer', 'customer', CAST(coalesce(sum(n), 0) AS BIGINT) FROM linked""",
     "neighbors_k5_edges": f"""WITH {PURCHASE},
 linked AS (SELECT t.c_custkey, t.seed_time, least(count(*), 5) AS n FROM task t
   JOIN events e ON e.user_id = t.c_custkey AND e.ts <= t.seed_time GROUP BY t.c_custkey, t.seed_time),
@@ -363,6 +435,14 @@ SELECT row_id, CAST(l_returnflag = 'R' AS INTEGER) AS label,
   round(CAST(CAST(l_extendedprice AS FLOAT) AS DOUBLE), 2) AS l_extendedprice,
   CAST(l_linestatus = 'O' AS DOUBLE) AS is_open, CAST(l_linenumber AS DOUBLE) AS l_linenumber,
   CAST(l_partkey AS DOUBLE) AS l_partkey, CAST(l_suppkey AS DOUBLE) AS l_suppkey
+FROM lines""",
+    "split_from_block_files": f"""WITH {LINE_IDS}
+SELECT row_id, CAST(l_returnflag = 'R' AS INTEGER) AS label,
+  CASE WHEN row_id % 10 < 6 THEN 'train' WHEN row_id % 10 < 8 THEN 'val' ELSE 'test' END AS split,
+  round(CAST(CAST(l_quantity AS FLOAT) AS DOUBLE), 2) AS l_quantity,
+  round(CAST(CAST(l_extendedprice AS FLOAT) AS DOUBLE), 2) AS l_extendedprice,
+  CAST(l_linestatus = 'O' AS DOUBLE) AS is_open, CAST(l_linenumber AS DOUBLE) AS l_linenumber,
+  CAST(l_partkey AS DOUBLE) AS l_partkey, CAST(l_suppkey AS DOUBLE) AS l_suppkey
 FROM lines""",
     "available_splits": f"""WITH {LINE_IDS}
 SELECT DISTINCT unnest(['by_row', 'by_order']) AS split_name FROM lines""",
@@ -373,6 +453,8 @@ SELECT t.*, epoch_us(t.seed_time + INTERVAL 7 DAY) * 1000 AS future_leak_signal
     "leakage_audit": f"""WITH {GRID}
 SELECT count(*) AS n_instances, CAST(0 AS BIGINT) AS n_changed FROM customer CROSS JOIN grid
 WHERE seed_time <= TIMESTAMP '1998-07-01'""",
+    "leakage_by_seed": f"""WITH {REORDER}
+SELECT seed_time AS seed, count(*) AS n_instances, CAST(0 AS BIGINT) AS n_changed FROM task GROUP BY seed_time""",
     "leakage_asof_rows": f"""WITH {REORDER} SELECT count(*) AS n_rows, CAST(0 AS BIGINT) AS n_after_seed FROM task""",
     "relational_summary": f"""WITH {REORDER}, s AS (SELECT {SPLIT} AS split FROM task t)
 {SUMMARY.format(t="customer", n=5, pk="c_custkey", time="", fk="c_nationkey->nation")}
@@ -454,6 +536,10 @@ SELECT c_custkey, customer_date, rich, CASE WHEN customer_date < a THEN 'train'
 SELECT o.o_orderkey, o.o_custkey AS c_custkey, CASE WHEN o.o_orderkey % 11 <> 0
   THEN d.customer_date - to_days(CAST(o.o_orderkey % 977 AS INTEGER)) END AS event_date
 FROM orders o LEFT JOIN csv_dates d ON d.c_custkey = o.o_custkey""",
+    "csv_credit_view": CREDIT_VIEW,
+    "csv_bad_rows": CREDIT_BAD,
+    "csv_row_ids": """SELECT l_orderkey AS SK_ID_BUREAU, -l_linenumber AS MONTHS_BALANCE, l_linestatus AS STATUS,
+  row_number() OVER (ORDER BY l_orderkey, -l_linenumber, l_linestatus) - 1 AS _bb_row_id FROM lineitem WHERE l_orderkey % 2 = 0""",
     "exported_tasks": f"""WITH {REORDER}, ids AS ({SORTED_IDS})
 SELECT i.new_id AS c_custkey, t.seed_time, t.label, {SPLIT} AS split FROM task t JOIN ids i ON i.old_id = t.c_custkey""",
     "gbt_scores": f"""WITH {REORDER} SELECT c_custkey, seed_time, label, true AS is_probability FROM task

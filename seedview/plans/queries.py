@@ -6,6 +6,7 @@ Doubles are rounded at the very end, because sums of doubles depend on the order
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import replace
 from datetime import datetime
 from functools import reduce
 
@@ -292,6 +293,50 @@ def neighbors_k5_nodes(spark, root):
     return _flat_features(nodes.withColumn("node_idx", F.col("node_idx").cast("bigint")), 3)
 
 
+@query
+def neighbors_all(spark, root):
+    """Every order up to the seed."""
+    db, task = problems.customer_reorder(spark, root)
+    nodes = neighbors.neighbor_nodes(db, task, None).where("node_type = 'orders'")
+    return _flat_features(nodes.withColumn("node_idx", F.col("node_idx").cast("bigint")), 3)
+
+
+def _static_nodes(spark, root, k) -> DataFrame:
+    db, task = _nation_problem(spark, root)
+    nodes = neighbors.neighbor_nodes(db, task, k).where("node_type IN ('customer', 'supplier')")
+    return _flat_features(nodes.withColumn("node_idx", F.col("node_idx").cast("bigint")), 1)
+
+
+@query
+def neighbors_static_k3(spark, root):
+    """The first three customers and suppliers of each nation by key: tables without time."""
+    return _static_nodes(spark, root, 3)
+
+
+@query
+def neighbors_static_all(spark, root):
+    return _static_nodes(spark, root, None)
+
+
+@query
+def neighbors_dated_entity(spark, root):
+    """The entity node of a dated table is its row as of the seed, or zeros."""
+    db, task = problems.order_lines(spark, root)
+    nodes = neighbors.neighbor_nodes(db, task, 1).where(F.col("node_type") == task.entity_table)
+    return _flat_features(nodes.withColumn("node_idx", F.col("node_idx").cast("bigint")), 3)
+
+
+@query
+def edge_type_counts(spark, root):
+    """Edges of all neighbourhoods by type; types without edges count zero."""
+    db, task = problems.user_purchase(spark, root)
+    schema = spark.createDataFrame(neighbors.edge_types(db, task), "src_type string, relation string, dst_type string")
+    edges = neighbors.neighbor_edges(neighbors.neighbor_nodes(db, task, 3), task)
+    counts = edges.groupBy("src_type", "relation", "dst_type").agg(F.count(F.lit(1)).alias("n"))
+    joined = schema.join(counts, ["src_type", "relation", "dst_type"], "left")
+    return joined.withColumn("n_edges", F.coalesce("n", F.lit(0)).cast("bigint")).drop("n")
+
+
 @query
 def neighbors_k5_edges(spark, root):
     db, task = problems.user_purchase(spark, root)
@@ -446,6 +491,22 @@ def split_indexed(spark, root):
     return rounded(wide, 2)
 
 
+@query
+def split_from_block_files(spark, root):
+    """Blocks without a key, cut into files in different ways, aligned by position; splits from their files."""
+    block, labels, index = _line_blocks(spark, root)
+    out = scratch_path(spark, "blocks")
+    for files, (name, df) in enumerate(block.items(), 2):
+        blocks.write_block(df, ["row_id"], f"{out}/X_{name}.parquet", files)
+    parts = index.where("split_name = 'by_row'")
+    for part in tables.SPLITS:
+        parts.where(F.col("split") == part).select("row_id").write.parquet(f"{out}/split-by_row/{part}_idx.parquet")
+    wide = blocks.assemble_blocks(
+        blocks.read_blocks(spark, out, include_meta=True), labels, blocks.read_split_index(spark, out), "by_row"
+    )
+    return rounded(wide, 2)
+
+
 @query
 def available_splits(spark, root):
     return blocks.available_splits(_line_blocks(spark, root)[2])
@@ -478,6 +539,15 @@ def leakage_audit(spark, root):
     )
 
 
+@query
+def leakage_by_seed(spark, root):
+    """The same for every seed against its own past, customers and their parents included."""
+    db, task = problems.customer_reorder(spark, root)
+    return audit.audit_each_seed(
+        db, task, lambda d, t: views.build_view(d, t, ViewConfig("jt_temporalagg", lookback_days=90, max_path_hops=2))
+    )
+
+
 @query
 def leakage_asof_rows(spark, root):
     """No row an as-of join picks is dated after its seed."""
@@ -780,9 +850,12 @@ def _csv_problem(spark, root) -> tuple[DatabaseSpec, TaskSpec]:
         target_col="rich",
         date_col="customer_date",
         tables={
-            "customers": csvdb.CsvTable("customers.csv", primary_key="c_custkey"),
+            "customers": csvdb.CsvTable(
+                "customers.csv", "c_custkey bigint, rich int, c_nationkey bigint, c_mktsegment string", primary_key="c_custkey"
+            ),
             "orders": csvdb.CsvTable(
                 "orders.csv",
+                "o_orderkey bigint, c_custkey bigint, days_before double",
                 primary_key="o_orderkey",
                 offset=("days_before", "event_date", 1),
                 foreign_keys={"c_custkey": "customers"},
@@ -802,6 +875,84 @@ def csv_child_dates(spark, root):
     return _csv_problem(spark, root)[0].table("orders").df.select("o_orderkey", "c_custkey", "event_date")
 
 
+def _credit_problem(spark, root) -> tuple[DatabaseSpec, TaskSpec, dict[str, DataFrame]]:
+    """The seven-table credit layout, filled from customers, orders and lines, with declared schemas."""
+    out = scratch_path(spark, "credit")
+    customers = read(spark, root, "customer")
+    orders = read(spark, root, "orders")
+    lines = read(spark, root, "lineitem").join(orders.select("o_orderkey", "o_custkey"), F.col("l_orderkey") == F.col("o_orderkey"))
+    even, number = F.col("o_orderkey") % 2 == 0, F.col("l_linenumber")
+    ids = [F.col("l_orderkey").alias("SK_ID_PREV"), F.col("o_custkey").alias("SK_ID_CURR")]
+    months = (-number).alias("MONTHS_BALANCE")
+    rows = {
+        "application": customers.select(
+            F.col("c_custkey").alias("SK_ID_CURR"),
+            F.when(F.col("c_nationkey") != 3, (F.col("c_acctbal") > 5000).cast("int")).alias("TARGET"),
+            F.col("c_acctbal").alias("AMT_CREDIT"),
+        ),
+        "bureau": orders.where(even).select(
+            F.col("o_orderkey").alias("SK_ID_BUREAU"),
+            F.col("o_custkey").alias("SK_ID_CURR"),
+            (-(F.col("o_orderkey") % 977)).alias("DAYS_CREDIT"),
+            F.when(F.col("o_orderkey") % 50 == 0, "n/a").otherwise(F.col("o_totalprice").cast("string")).alias("AMT_CREDIT_SUM"),
+        ),
+        "bureau_balance": lines.where(even).select(F.col("l_orderkey").alias("SK_ID_BUREAU"), months, F.col("l_linestatus").alias("STATUS")),
+        "previous_application": orders.where(~even).select(
+            F.col("o_orderkey").alias("SK_ID_PREV"),
+            F.col("o_custkey").alias("SK_ID_CURR"),
+            (-(F.col("o_orderkey") % 500)).alias("DAYS_DECISION"),
+        ),
+        "pos_cash_balance": lines.where(~even & (number <= 2)).select(*ids, months),
+        "credit_card_balance": lines.where(~even & number.between(3, 4)).select(*ids, months),
+        "installments_payments": lines.where(~even & (number > 4)).select(
+            *ids, F.when(F.col("l_partkey") % 7 != 0, -(F.col("l_partkey") % 300) - F.lit(0.5)).alias("DAYS_INSTALMENT")
+        ),
+    }
+    layout = {}
+    for name, table in csvdb.CREDIT.tables.items():
+        df = rows[name]
+        order = [c for c in ("SK_ID_BUREAU", "SK_ID_PREV", "MONTHS_BALANCE", "STATUS", "DAYS_INSTALMENT", "SK_ID_CURR") if c in df.columns]
+        sinks.write_csv(df.repartitionByRange(5, *order).sortWithinPartitions(*order), f"{out}/{table.file}")
+        kinds = {"AMT_CREDIT_SUM": "double"}
+        schema = ", ".join(f"{f.name} {kinds.get(f.name, f.dataType.simpleString())}" for f in df.schema.fields)
+        layout[name] = replace(table, schema=schema, infer=False)
+    bad: dict[str, DataFrame] = {}
+    db, task = csvdb.load_csv_problem(spark, out, replace(csvdb.CREDIT, tables=layout), bad)
+    return db, task, bad
+
+
+@query
+def csv_credit_view(spark, root):
+    """Seven CSV tables with dates by day and by month and made-up row ids, to a temporal view."""
+    db, task, _ = _credit_problem(spark, root)
+    view = views.build_view(db, task, ViewConfig("jt_temporalagg", lookback_days=200, aggregation_functions=("count",)))
+    counts = [c for c in view.columns if c.endswith(("__row_count", "__recency_days"))]
+    return rounded(view.select(*task.key_columns, task.target_col, "split", "application__AMT_CREDIT", *counts))
+
+
+@query
+def csv_bad_rows(spark, root):
+    """Lines that do not fit their table's schema, by table, beside those that do."""
+    db, _, bad = _credit_problem(spark, root)
+    counted = [
+        table.df.select(F.lit(name).alias("table_name"), F.lit(0).alias("b")).unionByName(
+            bad[name].select(F.lit(name).alias("table_name"), F.lit(1).alias("b"))
+        )
+        for name, table in db.tables.items()
+    ]
+    every = reduce(lambda a, b: a.unionByName(b), counted)
+    return every.groupBy("table_name").agg(
+        F.count_if(F.col("b") == 0).alias("n_rows"), F.count_if(F.col("b") == 1).alias("n_bad")
+    )
+
+
+@query
+def csv_row_ids(spark, root):
+    """Row ids of a folder of CSV files, in file order."""
+    db, _, _ = _credit_problem(spark, root)
+    return db.table("bureau_balance").df
+
+
 @query
 def exported_tasks(spark, root):
     """The re-keyed export, read back."""

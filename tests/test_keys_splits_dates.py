@@ -151,6 +151,35 @@ def test_future_signal_is_a_week_ahead_in_nanoseconds(spark):
     assert signals == [8 * 86400 * 10**9, None]
 
 
+def test_each_seed_is_audited_against_its_own_past(spark):
+    """The toy's seeds are two; a leak of what comes after is found at each, also through a parent."""
+    db, task = toy_churn(spark)
+    seeds = sorted({r.seed_time for r in task.task_table.collect()})
+
+    def safe(d, t):
+        return build_view(d, t, ViewConfig("jt_temporalagg", lookback_days=30))
+
+    clean = {r.seed: (r.n_instances, r.n_changed) for r in audit.audit_each_seed(db, task, safe).collect()}
+    assert clean == {s: (5, 0) for s in seeds}
+
+    def leaks(d, t):
+        table = d.table("transactions")
+        counts = table.df.groupBy(F.col(table.foreign_key_to("users")).alias(t.entity_key)).agg(F.count("*").alias("n_ever"))
+        return safe(d, t).join(counts, t.entity_key, "left")
+
+    later = [
+        sum(1 for u in range(1, 6) if any(r.user_id == u and r[db.table("transactions").time_col] > s for r in rows))
+        for rows in [db.table("transactions").df.collect()]
+        for s in seeds
+    ]
+    found = {r.seed: r.n_changed for r in audit.audit_each_seed(db, task, leaks).collect()}
+    assert found == dict(zip(seeds, later)) and max(later) > 0
+    one = audit.audit_each_seed(db, task, leaks, seeds[:1]).collect()
+    assert [(r.seed, r.n_changed) for r in one] == [(seeds[0], later[0])]
+    with pytest.raises(ValueError, match="more than"):
+        audit.audit_each_seed(db, task, safe, [seeds[0]] * 300)
+
+
 def test_audit_passes_views_and_catches_a_leak(spark):
     db, task = toy_churn(spark)
     cutoff = timestamp(datetime(2024, 2, 20))

@@ -2,6 +2,7 @@
 
 import json
 import random
+from dataclasses import replace
 from datetime import datetime, timedelta
 
 import pytest
@@ -13,7 +14,7 @@ from seedview.plans import models, protocol
 from seedview.plans.models import PREDICTION, CallbackModel, ConstantModel, SparkTabularModel
 from seedview.model import TaskSpec, ViewConfig, metric_for
 from seedview.sources import blocks, sinks, sweeps, tables
-from seedview.sources.csvdb import CREDIT, load_csv_problem
+from seedview.sources.csvdb import CREDIT, CsvTable, load_csv_problem, read_csv
 from seedview.sources.problems import timestamp, toy_churn
 
 
@@ -86,6 +87,34 @@ def test_missing_csv_file(spark, credit_files):
         load_csv_problem(spark, str(credit_files), CREDIT)
 
 
+def declared(**schemas):
+    """The credit layout with declared schemas for some tables."""
+    return replace(CREDIT, tables={n: replace(t, schema=schemas[n], infer=False) if n in schemas else t for n, t in CREDIT.tables.items()})
+
+
+def test_bad_lines_fail_the_load_or_are_kept_apart(spark, credit_files):
+    path = credit_files / "bureau_balance.csv"
+    path.write_text(path.read_text().replace("5003,0,C", "5003,zero,C") + "5001,-7\n5002,-8,C,extra\n")
+    problem = declared(bureau_balance="SK_ID_BUREAU bigint, MONTHS_BALANCE bigint, STATUS string")
+    with pytest.raises(Exception, match="[Mm]alformed"):
+        load_csv_problem(spark, str(credit_files), problem)[0].table("bureau_balance").df.collect()
+    bad = {}
+    db, _ = load_csv_problem(spark, str(credit_files), problem, bad)
+    rows = db.table("bureau_balance").df.collect()
+    assert sorted(r._bb_row_id for r in rows) == sorted({*range(60)} - {3}) and "_corrupt_record" not in db.table("bureau_balance").df.columns
+    assert sorted((r.line, r.text) for r in bad["bureau_balance"].collect()) == [(3, "5003,zero,C"), (60, "5001,-7"), (61, "5002,-8,C,extra")]
+    assert set(bad) == set(CREDIT.tables) and bad["bureau"].count() == 0
+
+
+def test_schemas_are_declared_or_asked_for(spark, credit_files):
+    with pytest.raises(ValueError, match="declare a schema"):
+        read_csv(spark, str(credit_files / "bureau.csv"), CsvTable("bureau.csv"))
+    with pytest.raises(Exception, match="(?i)header"):
+        read_csv(spark, str(credit_files / "bureau_balance.csv"), CsvTable("b", "a bigint, b bigint, c string"))[0].collect()
+    table, _ = read_csv(spark, str(credit_files / "bureau.csv"), CsvTable("bureau.csv", "SK_ID_BUREAU string", infer=True))
+    assert dict(table.dtypes) == {"SK_ID_CURR": "bigint", "SK_ID_BUREAU": "string", "DAYS_CREDIT": "bigint", "CREDIT_ACTIVE": "string"}
+
+
 def test_unlabelled_entities_are_left_out(spark, credit_files):
     path = credit_files / "application_train.csv"
     path.write_text(path.read_text() + "999,,1.0,Cash\n")
@@ -93,6 +122,33 @@ def test_unlabelled_entities_are_left_out(spark, credit_files):
     assert task.task_table.count() == 20 and db.table("application").df.count() == 20
 
 
+def test_blocks_without_key_are_aligned_by_position(spark, tmp_path):
+    rows = [(i, i * 37 % 11) for i in range(200)]
+    for files, name in enumerate(("num", "bin", "cat"), 1):
+        df = frame(spark, [(i, v) for i, v in rows], f"row_id bigint, {name}0 bigint")
+        blocks.write_block(df, ["row_id"], str(tmp_path / f"X_{name}.parquet"), 3 * files)
+    read = blocks.read_blocks(spark, str(tmp_path), include_meta=True)
+    assert set(read) == {"num", "bin", "cat"}
+    found = read["num"].join(read["bin"], "row_id").join(read["cat"], "row_id").collect()
+    assert sorted((r.row_id, r.num0, r.bin0, r.cat0) for r in found) == [(i, v, v, v) for i, v in rows]
+    frame(spark, [(1, 2)], "row_id bigint, m bigint").drop("row_id").write.parquet(str(tmp_path / "X_meta.parquet"))
+    with pytest.raises(ValueError, match="differ in their number of rows"):
+        blocks.read_blocks(spark, str(tmp_path), include_meta=True)
+
+
+def test_split_files_name_their_split(spark, tmp_path):
+    for part, ids in (("train", [0, 1]), ("val", [2])):
+        frame(spark, [(i,) for i in ids], "row_id bigint").write.parquet(str(tmp_path / f"split-late/{part}_idx.parquet"))
+    with pytest.raises(FileNotFoundError, match="split 'late' lacks test_idx.parquet"):
+        blocks.read_split_index(spark, str(tmp_path))
+    frame(spark, [(5,)], "row_id bigint").write.parquet(str(tmp_path / "split-late/test_idx.parquet"))
+    rows = blocks.read_split_index(spark, str(tmp_path)).collect()
+    assert sorted((r.split_name, r.split, r.row_id) for r in rows) == [
+        ("late", "test", 5), ("late", "train", 0), ("late", "train", 1), ("late", "val", 2)
+    ]
+    assert blocks.available_folders(spark, str(tmp_path)) == ["late"]
+
+
 def test_blocks(spark, tmp_path):
     rows = range(12)
     frames = {
