@@ -9,7 +9,7 @@ count little, hits close to other hits count more. Two sums per document, abuse
 logistic model.
 
 Every whole text is scored where it is read: no shuffle. What is sent to the executors is the lexicon,
-at most ``max_terms`` terms.
+which is bounded by the sample that it is learnt from.
 """
 
 from __future__ import annotations
@@ -38,23 +38,23 @@ _TEXTS_AT_ONCE = 64
 @dataclass(frozen=True)
 class ToxicitySettings:
     """``max_toxic``, ``max_clean``  labelled documents that lexicon and weights are learnt from, at most.
-    ``max_terms``      terms in the lexicon, the most telling first.
     ``half_trust``     documents with a term at which it counts half.
     ``min_share``      share of toxic documents among those with the term, at least.
     ``stems``          lengths of stems; a stem needs ``min_endings`` different words.
     ``one_edit_from``, ``two_edits_from``  term lengths from which that many edits are allowed.
+    ``misspelt``       share of the documents with a term that is taken to misspell it before any do.
     ``window``         tokens on each side that make up a hit's context.
     """
 
     max_toxic: int = 10_000
     max_clean: int = 20_000
-    max_terms: int = 2_000
     half_trust: float = 10.0
     min_share: float = 0.9
     stems: tuple[int, ...] = (4, 5, 6, 7)
     min_endings: int = 4
     one_edit_from: int = 5
     two_edits_from: int = 9
+    misspelt: float = 0.05
     window: int = 8
     ridge: float = 0.05
 
@@ -238,13 +238,19 @@ def _term_rows(sample: DataFrame, s: ToxicitySettings) -> DataFrame:
     return sample.select("text", "y").mapInPandas(terms, "term string, ending string, y int")
 
 
+def _sizes(sample: DataFrame) -> tuple[int, int]:
+    """Toxic and clean rows."""
+    size = {row["y"]: row["count"] for row in sample.groupBy("y").count().collect()}
+    return size.get(1, 0), size.get(0, 0)
+
+
 def learn_lexicon(sample: DataFrame, s: ToxicitySettings) -> tuple[dict[str, int], dict[str, int]]:
     """Words and stems that mark toxic documents of a labelled sample (text, y), with their toxic documents.
 
-    A term's log-likelihood ratio must exceed what chance gives the best of all terms tried.
+    A term's log-likelihood ratio must exceed what chance gives the best of all terms tried. The
+    number of terms is bounded by the words of the sample, which is bounded itself.
     """
-    size = {row["y"]: row["count"] for row in sample.groupBy("y").count().collect()}
-    toxic, clean = size.get(1, 0), size.get(0, 0)
+    toxic, clean = _sizes(sample)
     if not toxic:
         return {}, {}
     t, c = F.col("t"), F.col("c")
@@ -258,15 +264,12 @@ def learn_lexicon(sample: DataFrame, s: ToxicitySettings) -> tuple[dict[str, int
             F.sum(1 - F.col("y")).alias("c"),
             F.approx_count_distinct(F.when(F.col("y") == 1, F.col("ending"))).alias("endings"),
         )
-        .where(t >= 3)
     )
     counted = pin(counted.withColumn("gain", gain), "toxic-terms")
     chance = 2 * math.log(max(counted.count(), 1000))
     rows = (
-        counted.where((F.col("gain") > chance) & (t >= s.min_share * (t + c)))
+        counted.where((t >= 3) & (F.col("gain") > chance) & (t >= s.min_share * (t + c)))
         .where(~F.col("term").endswith("*") | (F.col("endings") >= s.min_endings))
-        .orderBy(F.desc("gain"), "term")
-        .limit(s.max_terms)
         .collect()
     )
     found = {row["term"]: row["t"] for row in rows}
@@ -342,12 +345,12 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, s: ToxicitySettings = Toxic
     firsts = rows.select("doc_id", "y", "keys")
     for k in range(_COPY_KEYS):
         firsts = firsts.withColumn("key", F.col("keys")[k]).dropDuplicates(["key", "y"])
-    sample = pin(rows.join(F.broadcast(firsts.select("doc_id")), "doc_id").select("text", "y"), "toxic-sample")
+    sample = pin(rows.join(F.broadcast(firsts.select("doc_id")), "doc_id").select("doc_id", "text", "y"), "toxic-sample")
     words, stems = learn_lexicon(sample, s)
     trust = lambda n: n / (n + s.half_trust)
     by_stem = {stem: trust(n) for stem, n in stems.items()}
     limits = {w: (len(w) >= s.one_edit_from) + (len(w) >= s.two_edits_from) for w in words}
-    ordinary, off = _ordinary_variants(sample, limits, s)
+    ordinary, off = _ordinary_variants(sample, words, limits, s)
     limits |= dict.fromkeys(off, 0)
     automaton = TermAutomaton({w: (limits[w], trust(n)) for w, n in words.items()}, by_stem, ordinary)
     model = ToxicityModel(automaton, (-4.0, 0.0, 0.0), s.window)
@@ -358,13 +361,18 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, s: ToxicitySettings = Toxic
     return replace(model, weights=_fit(x, known["y"].to_numpy(), s.ridge))
 
 
-def _ordinary_variants(sample: DataFrame, limits: dict[str, int], s: ToxicitySettings) -> tuple[frozenset[str], set[str]]:
+def _ordinary_variants(
+    sample: DataFrame, words: dict[str, int], limits: dict[str, int], s: ToxicitySettings
+) -> tuple[frozenset[str], set[str]]:
     """Tokens within a term's edit limit that are no misspellings of it, and terms to be matched exactly.
 
     A token is ordinary if clean documents use it outside quotations and, as for the terms themselves,
-    less than ``min_share`` of the documents with it are toxic. Variants that a single clean document has
-    tell how often one not seen yet is to be met: a term is matched exactly if that is more often than
-    toxic documents, and one more, have its variants.
+    less than ``min_share`` of the documents with it are toxic. Ordinary words not met yet are what a term's
+    edits get wrong, so that is measured: with the ordinary tokens of one half of the rows left out, the
+    documents of the other half that hold some variant of the term are counted, both ways round. The term is
+    matched exactly unless toxic ones among them are ``min_share``, were both classes equally large. Before
+    any is counted, half a clean document and ``misspelt`` of the toxic documents with the term (``words``)
+    stand for it, so terms that many toxic documents use keep their edits if nothing speaks against them.
     """
     edits = {w: n for w, n in limits.items() if n}
     if not edits:
@@ -374,14 +382,14 @@ def _ordinary_variants(sample: DataFrame, limits: dict[str, int], s: ToxicitySet
         every = TermAutomaton({w: (n, 1.0) for w, n in edits.items()}, {})
         for frame in frames:
             rows = []
-            for text, y in zip(frame["text"], frame["y"], strict=True):
+            for d, text, y in zip(frame["doc_id"], frame["text"], frame["y"], strict=True):
                 tokens = (text or "").lower().split()
                 words = {raw: _EDGE.sub("", raw) for raw in set(tokens)}
                 near = {raw: w for raw, w in words.items() if w and w not in limits and every.weight(w)}
                 if near:
                     used = {near[t] for k, t in enumerate(tokens) if t in near and (y or not _quoted(tokens, k, s.window))}
-                    rows += [(w, y) for w in used]
-            yield pd.DataFrame(rows, columns=["token", "y"])
+                    rows += [(d, w, y) for w in used]
+            yield pd.DataFrame(rows, columns=["doc_id", "token", "y"])
 
     # The terms near a token are found here, once for each token.
     @F.pandas_udf("array<string>")
@@ -390,14 +398,20 @@ def _ordinary_variants(sample: DataFrame, limits: dict[str, int], s: ToxicitySet
         for batch in tokens:
             yield pd.Series([[w for w, one in single.items() if one.weight(token)] for token in batch])
 
-    found = sample.select("text", "y").mapInPandas(variants, "token string, y int")
-    found = found.groupBy("token").agg(F.sum("y").alias("t"), F.sum(1 - F.col("y")).alias("c"))
-    found = pin(found.withColumn("ordinary", (F.col("c") > 0) & (F.col("t") < s.min_share * (F.col("t") + F.col("c")))), "toxic-variants")
-    ordinary = frozenset(row["token"] for row in found.where("ordinary").select("token").collect())
-    size = {row["y"]: row["count"] for row in sample.groupBy("y").count().collect()}
-    rows = found.select("*", F.explode(terms_near("token")).alias("term")).groupBy("term")
-    rows = rows.agg(F.sum(F.when(~F.col("ordinary"), F.col("t"))).alias("t"), F.sum((F.col("c") == 1).cast("int")).alias("c")).collect()
-    return ordinary, {r["term"] for r in rows if r["c"] * size.get(1, 0) > ((r["t"] or 0) + 1) * size.get(0, 0)}
+    t, c = F.sum("y").alias("t"), F.sum(1 - F.col("y")).alias("c")
+    plain = (F.col("c") > 0) & (F.col("t") < s.min_share * (F.col("t") + F.col("c")))
+    found = sample.select("doc_id", "text", F.col("y").cast("int").alias("y")).mapInPandas(variants, "doc_id long, token string, y int")
+    found = pin(found.withColumn("half", F.pmod(F.xxhash64(F.lit("half"), "doc_id"), F.lit(2))), "toxic-variants")
+    ordinary = frozenset(row["token"] for row in found.groupBy("token").agg(t, c).where(plain).select("token").collect())
+    near = pin(found.select("token").distinct().select("token", F.explode(terms_near("token")).alias("term")), "toxic-near")
+    learnt = found.groupBy("token", "half").agg(t, c).where(plain).select("token", (1 - F.col("half")).alias("half"))
+    unseen = found.join(learnt, ["token", "half"], "left_anti").join(near, "token")
+    rows = unseen.select("term", "doc_id", "y").distinct().groupBy("term").agg(t, c).collect()
+    toxic, clean = _sizes(sample)
+    odds = s.min_share / (1 - s.min_share)
+    seen = {r["term"]: (r["t"], r["c"]) for r in rows}
+    telling = lambda n, t, c: (t + s.misspelt * n) * clean >= odds * (c + 0.5) * toxic
+    return ordinary, {w for w in edits if not telling(words[w], *seen.get(w, (0, 0)))}
 
 
 def score_toxicity(docs: DataFrame, model: ToxicityModel) -> DataFrame:
