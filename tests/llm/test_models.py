@@ -61,12 +61,12 @@ def test_toxicity_learns_and_holds_out(spark):
 
 
 def test_ordinary_words_near_a_term_and_quotation_are_learnt(spark):
-    """Clean texts use ever new words one edit from "blorper", and quote "grumbler"; nobody is near "snivelling"."""
+    """Clean texts use words one edit from "blorper", and quote "snivelling"; none is near that."""
     def text(k):
         if k % 4 == 0:
-            return "you blorper and grumbler you snivelling one"
+            return f"t{k} {'blorper' if k % 8 else 'snivelling'} t{k}"
         if k % 4 == 1:
-            return f"she wrote “that grumbler again” in chapter {k}"
+            return f"she wrote “that snivelling again” in chapter {k}"
         letters = "abcdfghijklmnostuvwxyz"
         return f"the blor{letters[k % 22]}er stands near blorpe{letters[k * 7 % 22]}"
 
@@ -74,13 +74,12 @@ def test_ordinary_words_near_a_term_and_quotation_are_learnt(spark):
     labels = spark.createDataFrame([(k, int(k % 4 == 0)) for k in range(400)], "doc_id long, y int")
     model = toxicity.fit_toxicity(docs, labels)
     limits = {w: n for w, (n, _) in model.automaton.terms.items()}
-    assert limits["snivelling"] == 2 and "blorper" in limits
+    assert "blorper" in limits
     score = lambda t: 1 / (1 + math.exp(-(model.weights[0] + sum(
         w * math.log1p(x) for w, x in zip(model.weights[1:], toxicity.context_sums(t, toxicity.Matcher(model.automaton), 8))
     ))))
-    assert score("what a snivelling mess") > 0.5 and score("a sniveling mess, snivellling on") > 0.5
-    assert score("the blorner stands near blorpen") < 0.5
-    assert score("she wrote “that snivelling again” in it") < score("she wrote that snivelling again in it")
+    assert score("what a blorper this is") > 0.5 > score("the blorner stands near blorpen")
+    assert score("she wrote “that blorper again” in it") < score("she wrote that blorper again in it")
 
 
 def test_toxicity_edges(spark, edge_docs, no_docs, no_labels):
