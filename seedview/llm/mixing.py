@@ -16,6 +16,7 @@ rows is dealt over thousands of keys, and the running sums over a source see at
 from __future__ import annotations
 
 import math
+import warnings
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -45,46 +46,61 @@ class MixSettings:
 _WAYS = 15
 
 
-def _bisect(sources: DataFrame, value, target: float) -> float:
-    """Exponent in 0 to 1 at which a falling function of the sources reaches the target.
+#: Largest exponent tried, and the smallest ratio of two weights that one may lead to.
+MOST_EXPONENT, LEAST_RATIO = 64.0, 1e-12
 
-    ``value(exponent)`` gives aggregate columns and a function of their values. Every round cuts the
-    interval in 16 with one pass over the sources.
+
+def _entropies(sources: DataFrame, exponents: list[float]) -> list[float]:
+    """Entropies of the weights that each exponent gives, in one pass over ``ratio``, the shares by the largest."""
+    columns = []
+    for k, a in enumerate(exponents):
+        p = F.pow("ratio", F.lit(a))
+        columns += [F.sum(p).alias(f"z{k}"), F.sum(p * F.log("ratio")).alias(f"e{k}")]
+    row = sources.agg(*columns).first()
+    return [math.log(row[f"z{k}"]) - a * row[f"e{k}"] / row[f"z{k}"] for k, a in enumerate(exponents)]
+
+
+def _bisect(sources: DataFrame, target: float, most: float) -> float:
+    """Exponent from 0 to ``most`` at which the entropy, which falls, reaches the target.
+
+    A first pass tries 1, 2, 4, ...; each further one cuts the interval in 16.
     """
-    low, high = 0.0, 1.0
-    for _ in range(6):
-        tries = [low + (high - low) * k / (_WAYS + 1) for k in range(1, _WAYS + 1)]
-        columns, finish = zip(*(value(a) for a in tries))
-        row = list(sources.agg(*(c.alias(f"c{k}_{i}") for k, cs in enumerate(columns) for i, c in enumerate(cs))).first())
-        values = []
-        for cs, end in zip(columns, finish, strict=True):
-            values.append(end(*row[: len(cs)]))
-            row = row[len(cs) :]
+    low, high = 0.0, most
+    tries = [2.0**k for k in range(7) if 2.0**k < most]
+    for _ in range(7):
+        values = _entropies(sources, tries)
         above = sum(v > target for v in values)
         low, high = ([low, *tries])[above], ([*tries, high])[above]
+        tries = [low + (high - low) * k / (_WAYS + 1) for k in range(1, _WAYS + 1)]
     return high
 
 
 def exponent(sources: DataFrame, s: MixSettings) -> float:
-    """The exponent for ``sources`` with the column ``share`` over zero."""
-    share = F.col("share")
+    """The exponent for ``sources`` with the column ``share`` over zero.
+
+    An entropy target below that of the shares themselves takes an exponent above 1. Sources of equal
+    size keep equal weights whatever the exponent, so a target may be out of reach; then a warning says so.
+    """
     ends = sources.agg(F.count(F.lit(1)), F.min("share"), F.max("share")).first()
     if not ends[0] or ends[1] == ends[2]:
         return 1.0
+    ratio = ends[2] / ends[1]
     if s.entropy is None:
         # Passes are share ** (exponent - 1) up to a factor, so the ends alone decide.
         low, high = 0.0, 1.0
         for _ in range(60):
             middle = (low + high) / 2
-            too_many = (ends[2] / ends[1]) ** (1 - middle) > max(s.repetition, 1.0)
+            too_many = ratio ** (1 - middle) > max(s.repetition, 1.0)
             low, high = (middle, high) if too_many else (low, middle)
         return high
 
-    def entropy(a: float):
-        p = F.pow(share, F.lit(a))
-        return (F.sum(p), F.sum(p * F.log(share))), lambda z, e: math.log(z) - a * e / z
-
-    return _bisect(sources, entropy, s.entropy * math.log(ends[0]))
+    target = s.entropy * math.log(ends[0])
+    most = max(1.0, min(MOST_EXPONENT, -math.log(LEAST_RATIO) / math.log(ratio)))
+    scaled = sources.withColumn("ratio", F.col("share") / F.lit(ends[2]))
+    found = _bisect(scaled, target, most)
+    if found == most and _entropies(scaled, [most])[0] > target + 1e-9:
+        warnings.warn(f"no exponent up to {most:.3g} brings the entropy down to {s.entropy} of the largest", stacklevel=2)
+    return found
 
 
 def source_weights(rows: DataFrame, s: MixSettings) -> DataFrame:
@@ -94,7 +110,8 @@ def source_weights(rows: DataFrame, s: MixSettings) -> DataFrame:
     shares = counted.withColumn("share", F.col("tokens") / F.lit(float(max(total, 1))))
     used = shares.where("share > 0")
     a = exponent(used, s)
-    power = F.pow("share", F.lit(a))
+    largest = used.agg(F.max("share")).first()[0] or 1.0
+    power = F.pow(F.col("share") / F.lit(largest), F.lit(a))
     sums = used.agg(F.sum(power), F.max(F.col("tokens") / power)).first()
     norm, need = sums[0] or 1.0, sums[1] or 0.0
     budget = float(s.budget) if s.budget is not None else need * norm

@@ -263,6 +263,53 @@ def test_entropy_target_and_budget(spark):
     assert out.block_at.between(0, 1).all()
 
 
+def plan_by_hand(tokens, entropy):
+    """Weights and quotas by plain search: every source at least once."""
+    total = sum(tokens.values())
+    weights = lambda a: {k: (v / total) ** a / sum((u / total) ** a for u in tokens.values()) for k, v in tokens.items()}
+    h = lambda w: -sum(x * math.log(x) for x in w.values())
+    low, high = 0.0, 64.0
+    for _ in range(80):
+        middle = (low + high) / 2
+        low, high = (middle, high) if h(weights(middle)) > entropy * math.log(len(tokens)) else (low, middle)
+    w = weights(high)
+    budget = max(tokens[k] / w[k] for k in w)
+    return w, {k: budget * w[k] for k in w}
+
+
+@pytest.mark.parametrize("sizes", [(40, 30, 25), (300, 40, 20), (31, 30, 29)])
+def test_entropy_target_is_met_from_either_side(spark, sizes):
+    """Shares whose own entropy lies above the target take an exponent above one; no document is left out."""
+    rows = [(n * 1000 + k, f"s{n}", prose(k, 10)) for n, size in enumerate(sizes) for k in range(size)]
+    docs = spark.createDataFrame(rows, "doc_id long, source string, text string")
+    out = mixing.mix_sources(docs, mixing.MixSettings(entropy=0.97)).toPandas()
+    weights, quotas = plan_by_hand({f"s{n}": 10 * size for n, size in enumerate(sizes)}, 0.97)
+    got = out.groupby("source").agg(weight=("weight", "first"), tokens=("n_tokens", "sum"))
+    for source, weight in weights.items():
+        assert got.weight[source] == pytest.approx(weight, abs=1e-5)
+        assert quotas[source] - 10 <= got.tokens[source] + 1e-3 and got.tokens[source] <= quotas[source] + 1e-3
+    times = out.groupby(["source", "doc_id"]).size().reset_index(name="n").groupby("source").n.agg(["min", "max"])
+    for source, quota in quotas.items():
+        passes = quota / (10 * sizes[int(source[1])])
+        assert math.floor(passes + 1e-6) <= times["min"][source] <= times["max"][source] <= math.floor(passes + 1e-6) + 1
+    assert set(out.doc_id) == {r[0] for r in rows}
+
+
+@pytest.mark.parametrize("root", ["/root/testdata/sf0.001", "/root/testdata/sf0.01"])
+def test_mixing_query_reaches_its_target(spark, root):
+    out = queries.QUERIES["op5_mixing"](spark, root)
+    weights = [r.weight for r in out.groupBy("source").agg(F.first("weight").alias("weight")).collect()]
+    assert -sum(w * math.log(w) for w in weights) == pytest.approx(0.97 * math.log(len(weights)), abs=1e-4)
+    assert out.select("doc_id").distinct().count() == spark.read.parquet(f"{root}/documents.parquet").count()
+
+
+def test_targets_out_of_reach_are_told(spark):
+    docs = spark.createDataFrame([(k, f"s{k % 2 if k < 40 else 2}", prose(k, 10)) for k in range(50)], "doc_id long, source string, text string")
+    with pytest.warns(UserWarning, match="no exponent"):
+        out = mixing.mix_sources(docs, mixing.MixSettings(entropy=0.1, budget=1000.0)).toPandas()
+    assert out.groupby("source").weight.first().sum() == pytest.approx(1.0)
+
+
 def test_mixing_edges(spark, edge_docs, no_docs):
     out = mixing.mix_sources(edge_docs, mixing.MixSettings(repetition=1.0)).toPandas()
     assert len(out) == len(EDGE_TEXTS) and (out.epoch == 1).all()
