@@ -35,7 +35,7 @@ from pyspark.sql import types as T
 #: Stands for a space inside pieces.
 MARK = "▁"
 #: Stretches and pairs of pieces remembered by each worker (twice as many for a while), and the longest such stretch.
-REMEMBERED, REMEMBERED_CHARS = 400_000, 48
+REMEMBERED, REMEMBERED_CHARS = 700_000, 48
 #: Bytes of byte ids that are not ASCII, while a text is put together.
 ESCAPED = re.compile("[\ud800\udc80-\udcff]")
 #: Stands for a control id, which ends a run of bytes.
