@@ -24,9 +24,10 @@ import numpy as np
 import pandas as pd
 import xxhash
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from seedview.llm.common import join_ids, words_of
+from seedview.llm.common import MOST_IDS_SENT, join_ids, words_of
 from seedview.llm.graph import connected_components
 from seedview.session import pin
 
@@ -135,7 +136,7 @@ def hex_digits(fp: Column) -> Column:
 @dataclass(frozen=True)
 class NearCopySettings:
     """``shingle``, ``similarity``  Jaccard similarity of word shingles from which texts are near copies.
-    ``crowd``   texts with one shingle up to which all their pairs are compared at once.
+    ``crowd``   texts with one shingle up to which all of them ask in the first round.
     ``sample``  one in so many documents is searched for common shingles; ``common`` of them make a shingle common.
     ``most_common``  common shingles known to the executors, at most. The last three touch the cost, not the result.
     """
@@ -195,10 +196,13 @@ def near_copy_links(docs: DataFrame, s: NearCopySettings = NearCopySettings()) -
 
     Texts with equal sets of shingles, or without words, are one text. Distinct texts with the
     similarity have one of their rarest shingles in common (prefix filter), whatever their length, so each
-    such shingle is a group that is searched for pairs. Small groups compare all pairs. In a larger one
-    some texts are compared with all others and leave it, in rounds with ever more of them, until the
-    links found connect the rest. Texts that links already connect are not compared again, so a
-    large group of near copies costs a few comparisons a text, and no pair of two groups is left out.
+    such shingle is a group that is searched for pairs in rounds. In a small group all texts ask, in a large
+    one the first, and with every round eight times as many. A text is compared with the asker that it
+    meets in most of its groups, with every round eight times as many; what it is not compared with now
+    stays for later. Pairs that cannot have the similarity by length, or by the places of the shingles they
+    share, are settled without their texts. Texts that links already connect are not compared, and groups
+    that links connect end, so a large group of near copies costs about one comparison a text. The rounds
+    end when every pair of every group is compared or connected.
     """
     named = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
 
@@ -214,65 +218,93 @@ def near_copy_links(docs: DataFrame, s: NearCopySettings = NearCopySettings()) -
 
     common, counts = _common_shingles(named, s)
 
-    @F.pandas_udf("t long, n int, keys array<long>")
+    @F.pandas_udf("n int, keys array<long>")
     def prefix(texts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for batch in texts:
             sets = [shingle_set(text, s.shingle) for text in batch]
-            rows = [(text_key(x), len(x), rarest(x, common, counts, s.similarity)) for x in sets]
-            yield pd.DataFrame(rows, columns=["t", "n", "keys"])
+            rows = [(len(x), rarest(x, common, counts, s.similarity)) for x in sets]
+            yield pd.DataFrame(rows, columns=["n", "keys"])
+
+    prefix = prefix.asNondeterministic()  # a struct of two, to be run once
+    cut = distinct.select(F.col("doc_id").alias("id"), prefix("text").alias("p"))
+    cut = pin(cut.select("id", "p.n", F.posexplode("p.keys").alias("at", "key")), "copy-keys")
+    shared = cut.groupBy("key").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("key")
+    members = pin(cut.join(shared, "key", "left_semi"), "copy-members")
+    # Of an id with several texts no bound is known.
+    several = marked.groupBy("doc_id").agg(F.min("t").alias("low"), F.max("t").alias("high")).where("low < high")
+    several = pin(several.select(F.col("doc_id").alias("id")), "copy-several")
+
+    active, roots, many = members.withColumn("root", F.col("id")), None, 1
+    compared = links = None
+    while True:
+        groups = active.groupBy("key").agg(
+            F.count(F.lit(1)).alias("size"), F.min("id").alias("low"), F.min("root").alias("first_root"), F.max("root").alias("last_root")
+        )
+        # Groups that links connect end here.
+        groups = groups.where("first_root < last_root").select("key", "size", "low")
+        active = pin(active.select("key", "id", "n", "root").join(groups, "key"), "copy-rounds")
+        largest = active.agg(F.max("size")).first()[0]
+        if largest is None:
+            break
+        chosen = F.pmod(F.xxhash64(F.lit(many), "id"), F.col("size")) < F.lit(many)
+        asks = (F.col("size") <= s.crowd) | (F.col("id") == F.col("low")) | (F.lit(many > 1) & chosen)
+        asking = active.where(asks).select("key", F.col("id").alias("u"), F.col("n").alias("m"), F.col("root").alias("top"))
+        alike = F.least("n", "m") >= s.similarity * F.greatest("n", "m") - 1e-6
+        met = active.join(asking, "key").where((F.col("root") != F.col("top")) & alike)
+        met = met.groupBy(F.greatest("id", "u").alias("a"), F.least("id", "u").alias("b")).agg(F.count(F.lit(1)).alias("met"))
+        if compared is not None:
+            met = met.join(compared, ["a", "b"], "left_anti")
+        best = W.partitionBy("a").orderBy(F.desc("met"), "b")
+        pairs = pin(met.withColumn("r", F.row_number().over(best)).where(F.col("r") <= many).select("a", "b"), "copy-pairs")
+        if pairs.isEmpty():
+            if many >= largest:
+                break
+            many *= 8
+            continue
+        compared = pairs if compared is None else compared.union(pairs)
+        possible = pin(_possible(pairs, members, several, s), "copy-possible")
+        found = pin(_alike(possible, named, s), "copy-links")
+        if not found.isEmpty():
+            links = found if links is None else links.union(found)
+            roots = connected_components(links).select(F.col("node").alias("id"), F.col("root").alias("__root"))
+            active = active.join(roots, "id", "left").withColumn("root", F.coalesce("__root", "root")).drop("__root")
+        many *= 8
+    return same if links is None else same.union(links)
+
+
+def _possible(pairs: DataFrame, members: DataFrame, several: DataFrame, s: NearCopySettings) -> DataFrame:
+    """The (a, b) of ``pairs`` that can have the similarity, judged by the shingles they share.
+
+    All shingles stand in one order, so two texts can share, beyond those of their rarest ones that they do
+    share, no more than what follows the last of these in either.
+    """
+    side = lambda x: members.select(F.col("id").alias(x), "key", F.col("at").alias(f"at_{x}"), F.col("n").alias(f"n_{x}"))
+    both = pairs.join(side("a"), "a").join(side("b"), ["b", "key"]).groupBy("a", "b").agg(
+        F.count(F.lit(1)).alias("c"), *(F.max(c).alias(c) for c in ("at_a", "at_b", "n_a", "n_b"))
+    )
+    most = F.col("c") + F.least(F.col("n_a") - 1 - F.col("at_a"), F.col("n_b") - 1 - F.col("at_b"))
+    least = s.similarity / (1 + s.similarity) * (F.col("n_a") + F.col("n_b"))
+    known = both.where(most >= least - 1e-6).select("a", "b")
+    unknown = [pairs.join(several, pairs[x] == several["id"], "left_semi") for x in ("a", "b")]
+    return known.union(unknown[0]).union(unknown[1]).distinct()
 
-    prefix = prefix.asNondeterministic()  # a struct of three, to be run once
-    cut = distinct.select(prefix("text").alias("p")).select("p.t", "p.n", F.explode("p.keys").alias("key"))
-    cut = pin(cut, "copy-keys")
-    shared = cut.groupBy("key").agg(F.min("t").alias("low"), F.max("t").alias("high")).where("low < high").select("key")
-    members = pin(cut.join(shared, "key").distinct(), "copy-members")
 
-    def texts_of(pairs: DataFrame) -> DataFrame:
-        ids = pairs.select(F.col("a").alias("t")).union(pairs.select("b")).distinct().join(first, "t")
-        ids = pin(ids.select("first").distinct(), "copy-wanted")
-        held = join_ids(named, ids, "first", "left_semi").select(keys_of("text").alias("t"), "text")
-        return pin(held.dropDuplicates(["t"]), "copy-pair-texts")
+def _alike(pairs: DataFrame, named: DataFrame, s: NearCopySettings) -> DataFrame:
+    """The (a, b) of ``pairs`` whose texts have the similarity, counted on all their shingles."""
 
     @F.pandas_udf("double")
     def similarity(one: pd.Series, two: pd.Series) -> pd.Series:
         return pd.Series([jaccard(shingle_set(x, s.shingle), shingle_set(y, s.shingle)) for x, y in zip(one, two, strict=True)], dtype="float64")
 
-    of = lambda side: texts.select(F.col("t").alias(side), F.col("text").alias(f"text_{side}"))
-    members = members.withColumn("root", F.col("t"))
-    compared = links = None
-    many = 1
-    while not members.isEmpty():
-        parts = members.groupBy("key", "root").agg(F.count(F.lit(1)).alias("c"), F.min("t").alias("low"))
-        groups = parts.groupBy("key").agg(F.sum("c").alias("size"), F.max(F.struct("c", "root"))["root"].alias("main"))
-        others = parts.join(groups, "key").where("root <> main").groupBy("key").agg(
-            F.first("size").alias("size"), F.first("main").alias("main"), F.sum("c").alias("others"), F.min("low").alias("low")
-        )
-        chosen = F.pmod(F.xxhash64(F.lit(many), "t"), F.col("others")) < F.lit(many)
-        asks = (F.col("size") <= s.crowd) | ((F.col("root") != F.col("main")) & ((F.col("t") == F.col("low")) | ((F.lit(many) > 1) & chosen)))
-        # Groups that links connect have no others and end here.
-        members = pin(members.join(others, "key").select("key", "t", "n", "root", asks.alias("asks")), "copy-rounds")
-        asking = members.where("asks").select("key", F.col("t").alias("u"), F.col("n").alias("m"), F.col("root").alias("top"))
-        alike = F.least("n", "m") >= s.similarity * F.greatest("n", "m") - 1e-6
-        pairs = members.join(asking, "key").where((F.col("root") != F.col("top")) & alike)
-        pairs = pairs.select(F.greatest("t", "u").alias("a"), F.least("t", "u").alias("b")).distinct()
-        if compared is not None:
-            pairs = pairs.join(compared, ["a", "b"], "left_anti")
-        pairs = pin(pairs, "copy-pairs")
-        compared = pairs if compared is None else compared.union(pairs)
-        texts = texts_of(pairs)
-        tried = pairs.join(of("a"), "a").join(of("b"), "b").withColumn("similarity", similarity("text_a", "text_b"))
-        found = pin(tried.where(F.col("similarity") >= s.similarity).select("a", "b"), "copy-links")
-        links = found if links is None else links.union(found)
-        left = members.where("not asks").select("key", "t", "n")
-        if not left.isEmpty():
-            roots = connected_components(links)
-            left = left.join(roots, F.col("t") == F.col("node"), "left").select("key", "t", "n", F.coalesce("root", "t").alias("root"))
-        members = pin(left, "copy-left")
-        many *= 8
-    if links is None:
-        return same
-    ids = lambda side: first.select(F.col("t").alias(side), F.col("first").alias(f"id_{side}"))
-    return same.union(links.join(ids("a"), "a").join(ids("b"), "b").select("id_a", "id_b"))
+    few = pairs.limit(MOST_IDS_SENT + 1).count() <= MOST_IDS_SENT
+    wanted = F.broadcast(pairs) if few else pairs
+
+    def texts(side: str) -> DataFrame:
+        held = named.join(wanted, named["doc_id"] == wanted[side])
+        return held.select(F.col("a"), F.col("b"), F.col("text").alias(f"text_{side}"))
+
+    tried = texts("a").join(texts("b").hint("merge"), ["a", "b"])
+    return tried.where(similarity("text_a", "text_b") >= s.similarity).select("a", "b").distinct()
 
 
 def without_near_duplicates(docs: DataFrame, s: NearCopySettings = NearCopySettings()) -> DataFrame:

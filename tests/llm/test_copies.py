@@ -221,6 +221,39 @@ def test_groups_of_variants_match_brute_force(spark, crowd):
     assert {r.doc_id for r in got.collect()} == brute_copies(rows)
 
 
+def test_large_groups_cost_about_one_comparison_a_text(spark, monkeypatch):
+    """2,000 variants of one text, any two alike, and texts that share a passage and are unlike."""
+    texts = [*variants(5, 2000, 120, 1)]
+    passage = prose(78, 40)
+    texts += [f"{passage} {prose(7000 + k, 80)}" for k in range(200)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    calls, alike = [], simhash._alike
+
+    def counted(pairs, named, s):
+        calls.append(pairs.count())
+        return alike(pairs, named, s)
+
+    monkeypatch.setattr(simhash, "_alike", counted)
+    kept = {r.doc_id for r in simhash.without_near_duplicates(docs).collect()}
+    assert kept == {0, *range(2000, 2200)} and sum(calls) <= 2 * len(texts)
+
+
+def test_pairs_that_cannot_be_alike_are_settled_without_texts(spark):
+    """The bound on shared shingles never loses a pair that has the similarity."""
+    texts = [t for k in range(40) for t in variants(300 + k, 3, 90, 9)]
+    rows = list(enumerate(texts))
+    sets = {i: simhash.shingle_set(t, 5) for i, t in rows}
+    none = np.array([], np.int64)
+    prefixes = {i: simhash.rarest(x, none, none, 0.8) for i, x in sets.items()}
+    members = [(i, len(sets[i]), at, int(key)) for i, keys in prefixes.items() for at, key in enumerate(keys)]
+    frame = spark.createDataFrame(members, "id long, n int, at int, key long")
+    near = [(a, b) for a in sets for b in sets if b < a < b + 3 and a // 3 == b // 3]
+    several = spark.createDataFrame([], "id long")
+    left = simhash._possible(spark.createDataFrame(near, "a long, b long"), frame, several, simhash.NearCopySettings()).collect()
+    true = {p for p in near if simhash.jaccard(sets[p[0]], sets[p[1]]) >= 0.8}
+    assert true <= {(r.a, r.b) for r in left} and len(left) < len(near)
+
+
 def test_short_pairs_with_one_changed_word_are_found(spark):
     rows = list(enumerate(t for k in range(300) for t in variants(100 + k, 2, 55, 1)))
     docs = spark.createDataFrame(rows, "doc_id long, text string")
