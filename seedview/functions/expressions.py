@@ -18,13 +18,6 @@ def micros(column: Column | str) -> Column:
     return F.timestamp_diff("MICROSECOND", F.lit("1970-01-01").cast("timestamp_ntz"), naive_timestamp(column))
 
 
-def from_micros(column: Column | str) -> Column:
-    """Inverse of :func:`micros`."""
-    return F.timestamp_add(
-        "MICROSECOND", F.col(column) if isinstance(column, str) else column, F.lit("1970-01-01").cast("timestamp_ntz")
-    )
-
-
 def add_days(timestamp: Column, days: Column) -> Column:
     return F.timestamp_add("DAY", days.cast("int"), timestamp)
 

@@ -171,8 +171,26 @@ def relational_summary(db: DatabaseSpec, task: TaskSpec) -> DataFrame:
     return reduce(lambda a, b: a.unionByName(b), parts)
 
 
-def split_summary(df: DataFrame, label: str) -> DataFrame:
-    """Rows and positive rate per split."""
-    return df.groupBy("split").agg(
+def split_summary(df: DataFrame, label: str, features: Sequence[str] | None = None) -> DataFrame:
+    """Rows and positive rate per split, and the number of ``features`` if they are named."""
+    counts = df.groupBy("split").agg(
         F.count(F.lit(1)).cast("bigint").alias("n_rows"), F.avg(F.col(label).cast("double")).alias("positive_rate")
     )
+    return counts if features is None else counts.withColumn("n_features", F.lit(len(features)).cast("bigint"))
+
+
+def relational_payload(db: DatabaseSpec, task: TaskSpec) -> DataFrame:
+    """One row per table of what a relational model is handed: rows, columns and links by name."""
+    parts = [
+        table.df.agg(F.count(F.lit(1)).cast("bigint").alias("n_rows")).select(
+            F.lit(name).alias("table_name"),
+            "n_rows",
+            F.lit(table.df.columns).alias("columns"),
+            F.lit(table.primary_key).alias("primary_key"),
+            F.lit(table.time_col).cast("string").alias("time_col"),
+            F.create_map(*[F.lit(x) for link in table.foreign_keys.items() for x in link]).cast("map<string,string>").alias("foreign_keys"),
+            F.lit(name == task.entity_table).alias("is_entity"),
+        )
+        for name, table in db.tables.items()
+    ]
+    return reduce(lambda a, b: a.unionByName(b), parts)

@@ -210,6 +210,33 @@ long AS (SELECT label, 'customer__c_acctbal:jt_entity' AS model_name, 'joined-ta
     'graph-counts|features=incident_degree_counts', ever FROM scores),
 runs AS ({auroc("long", "score", "model_name, view_name, representation")})"""
 
+_B_WINDOWS = {7: "7", 30: "30", 90: "90", None: "None"}
+_B_LONG = " UNION ALL ".join(
+    [
+        f"""SELECT label, 'customer__c_acctbal:jt_temporalagg:hops=1:w={w}' AS model_name, 'joined-table' AS view_name,
+    'joined-table|subview=jt_temporalagg|hops=1|window={w}' AS representation, CAST(n_{w} AS DOUBLE) AS score FROM scores"""
+        for w in _B_WINDOWS.values()
+    ]
+    + [
+        f"""SELECT label, 'customer__c_acctbal:jt_entity:hops={h}:w=None', 'joined-table',
+    'joined-table|subview=jt_entity|hops={h}', c_acctbal FROM scores"""
+        for h in (1, 2)
+    ]
+    + [
+        f"""SELECT label, 'graphdeg__orders__count_leq_seed:K={k}', 'graph-counts', 'graph-counts|K={k}', CAST(n_None AS DOUBLE) FROM scores"""
+        for k in (100, 300, 500)
+    ]
+)
+COLUMN_RUNS_B = f"""{REORDER},
+scores AS (SELECT t.label, c.c_acctbal, {", ".join(
+    "count(o.o_orderkey)" + (f" FILTER (o.o_orderdate >= t.seed_time - INTERVAL {w} DAY)" if w else "") + f" AS n_{n}" for w, n in _B_WINDOWS.items()
+)}
+  FROM task t JOIN customer c ON c.c_custkey = t.c_custkey
+  LEFT JOIN orders o ON o.o_custkey = t.c_custkey AND o.o_orderdate <= t.seed_time
+  WHERE t.seed_time >= TIMESTAMP '2000-01-01' GROUP BY t.c_custkey, t.seed_time, t.label, c.c_acctbal),
+long AS ({_B_LONG}),
+runs AS ({auroc("long", "score", "model_name, view_name, representation")})"""
+
 ERRORS = f"""{SPEND},
 errors AS (SELECT t.seed_time, t.label, coalesce(sum(o.o_totalprice), 0.0) AS prediction
   FROM task t LEFT JOIN orders o ON o.o_custkey = t.c_custkey AND o.o_orderdate <= t.seed_time
@@ -547,6 +574,22 @@ WHERE seed_time >= TIMESTAMP '2000-01-01'""",
     "protocol_a_columns": f"""WITH {COLUMN_RUNS}
 SELECT 'customer_reorder' AS task_name, model_name, view_name, 'test' AS split_name, 'auroc' AS metric_name,
   round(auroc, 6) AS metric_value, representation, false AS is_baseline, round(auroc, 6) AS utility_value FROM runs""",
+    "protocol_b_columns": f"""WITH {COLUMN_RUNS_B}
+SELECT 'customer_reorder' AS task_name, model_name, view_name, 'test' AS split_name, 'auroc' AS metric_name,
+  round(auroc, 6) AS metric_value, representation, false AS is_baseline, round(auroc, 6) AS utility_value FROM runs""",
+    "sigmoid_scores": "SELECT c_custkey, round(1 / (1 + exp(1 - c_acctbal / 1000.0::DOUBLE)), 6) AS probability FROM customer",
+    "summary_json": """SELECT 'customer' AS table_name, count(*) AS n_rows, 'c_custkey,c_name,c_nationkey,c_acctbal,c_mktsegment' AS columns,
+  'c_custkey' AS primary_key, CAST(NULL AS VARCHAR) AS time_col, 'c_nationkey->nation' AS foreign_keys, true AS is_entity FROM customer
+UNION ALL SELECT 'nation', count(*), 'n_nationkey,n_name,n_regionkey', 'n_nationkey', NULL, 'n_regionkey->region', false FROM nation
+UNION ALL SELECT 'region', count(*), 'r_regionkey,r_name', 'r_regionkey', NULL, '', false FROM region
+UNION ALL SELECT 'orders', count(*), 'o_orderkey,o_custkey,o_orderstatus,o_totalprice,o_orderdate,o_orderpriority',
+  'o_orderkey', 'o_orderdate', 'o_custkey->customer', false FROM orders""",
+    "preview_rows": f"""WITH {REORDER}, s AS (SELECT {SPLIT} AS split FROM task t)
+SELECT split, least(count(*), 100) AS n_rows, CAST(0 AS BIGINT) AS n_unlabelled FROM s GROUP BY split
+UNION ALL SELECT 'all', least(count(*), 100), 0 FROM s""",
+    "block_summary": """SELECT CASE WHEN l_orderkey % 4 = 0 THEN 'test' ELSE 'train' END AS split, count(*) AS n_rows,
+  round(avg(CAST(l_returnflag = 'R' AS INTEGER)), 6) AS positive_rate, CAST(6 AS BIGINT) AS n_features
+FROM lineitem GROUP BY 1""",
     "protocol_a_scores": f"""WITH {COLUMN_RUNS}, ends AS (SELECT max(auroc) AS top FROM runs),
 utilities AS (SELECT CASE WHEN abs(top - 0.5) < 1e-12 THEN 0.0 ELSE (auroc - 0.5) / (top - 0.5) END AS u FROM runs, ends)
 SELECT 'customer_reorder' AS task_name, (SELECT count(*) FROM runs) AS n_representations,

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from seedview.functions import invariance, scores
-from seedview.functions.expressions import add_days
+from seedview.functions.expressions import add_days, sigmoid
 from seedview.model import DatabaseSpec, TableSpec, TaskSpec, ViewConfig
 from seedview.operators import audit, dates, degrees, keys, lookup, neighbors, prep, sample, splits, views
 from seedview.operators.asof import asof_join
@@ -565,6 +565,41 @@ def relational_summary(spark, root):
     return audit.relational_summary(db, with_fixed_split(task))
 
 
+@query
+def summary_json(spark, root):
+    """What a relational model is handed, written as JSON and read back."""
+    db, task = problems.customer_reorder(spark, root)
+    out = scratch_path(spark, "summary")
+    payload = audit.relational_payload(db, task)
+    sinks.write_json(payload, out)
+    back = spark.read.schema(payload.schema).json(out)
+    links = F.concat_ws(",", F.sort_array(F.transform(F.map_entries("foreign_keys"), lambda e: F.concat(e["key"], F.lit("->"), e["value"]))))
+    return back.withColumns({"columns": F.concat_ws(",", "columns"), "foreign_keys": links})
+
+
+@query
+def preview_rows(spark, root):
+    """A view written, read back and looked at: at most 100 rows of a split, none without its label."""
+    db, task = problems.customer_reorder(spark, root)
+    view = views.build_view(db, with_fixed_split(task), ViewConfig("jt_temporalagg", lookback_days=90))
+    path = sinks.write_view(view, scratch_path(spark, "views"), task.name, "jt_temporalagg")
+    back = spark.read.parquet(path)
+    looks = [
+        views.preview(back, split, 100).agg(
+            F.lit(split).alias("split"), F.count(F.lit(1)).alias("n_rows"), F.count_if(F.col("label").isNull()).alias("n_unlabelled")
+        )
+        for split in (*tables.SPLITS, "all")
+    ]
+    return reduce(lambda a, b: a.unionByName(b), looks)
+
+
+@query
+def block_summary(spark, root):
+    block, labels, index = _line_blocks(spark, root)
+    wide = blocks.assemble_blocks(block, labels, index, "by_order")
+    return rounded(audit.split_summary(wide, "label", blocks.block_features(block)), 6)
+
+
 # Preprocessing
 
 
@@ -1036,6 +1071,22 @@ def protocol_a_scores(spark, root):
     return rounded(ris.select("task_name", "n_representations", "ris", F.explode("representation_scores").alias("representation", "score")))
 
 
+@query
+def protocol_b_columns(spark, root):
+    """Protocol B with models that score by one column, on every setting of the views."""
+    db, task = _model_problem(spark, root)
+    joined = _column_model("orders__row_count", "customer__c_acctbal")
+    graph = _column_model("graphdeg__orders__count_leq_seed")
+    return rounded(protocol.run_protocol_b(db, task, [joined], lambda k: [graph]).runs.drop("compute", "extra"))
+
+
+@query
+def sigmoid_scores(spark, root):
+    """Balances as log-odds."""
+    customers = read(spark, root, "customer")
+    return rounded(customers.select("c_custkey", sigmoid(F.col("c_acctbal") / 1000 - 1).alias("probability")))
+
+
 @query
 def protocol_b(spark, root):
     db, task = _model_problem(spark, root)
