@@ -21,6 +21,7 @@ import re
 import string
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -29,6 +30,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from seedview.llm.common import words_of
+from seedview.session import pin
 
 _EDGE = string.punctuation.encode()
 _KEEP = 500_000
@@ -99,10 +101,20 @@ class _Lists:
         return np.bincount(cell, self.weights[at], minlength=rows * n).reshape(rows, n)
 
 
+@dataclass(frozen=True)
+class ItemCounts:
+    """What scores and passages need of all items: number, mean and largest length, items with each word."""
+
+    n: int
+    mean: float
+    longest: int
+    having: dict[bytes, int]
+
+
 class LeakIndex:
-    """Inverted index of test items with block maxima."""
+    """Inverted index of test items with block maxima; ``of_all`` counts all items if these are a part of them."""
 
-    def __init__(self, items: list[tuple[int, str]], s: LeakSettings) -> None:
+    def __init__(self, items: list[tuple[int, str]], s: LeakSettings, of_all: ItemCounts | None = None) -> None:
         self.settings = s
         parts = [(item, split_item(text)) for item, text in items if text and clean_words(text)]
         parts.sort(key=lambda p: (len(p[1][0]) + len(p[1][1]), p[0]))
@@ -110,7 +122,7 @@ class LeakIndex:
         self.questions = [shingles(q, s.shingle) for _, (q, _) in parts]
         self.answers = [shingles(a, s.shingle) for _, (_, a) in parts]
         texts = [q + a for _, (q, a) in parts]
-        self.longest = max(map(len, texts), default=1)
+        self.longest = of_all.longest if of_all else max(map(len, texts), default=1)
         self.vocabulary: dict[bytes, int] = {}
         counts: list[dict[int, int]] = []
         for words in texts:
@@ -122,11 +134,13 @@ class LeakIndex:
         self.n_blocks = -(-len(texts) // s.block)
         self.block_of = np.arange(len(texts)) // s.block
         df = np.bincount([t for seen in counts for t in seen], minlength=len(self.vocabulary)) if texts else np.zeros(0)
-        idf = np.log(1 + (len(texts) - df + 0.5) / (df + 0.5))
-        mean = np.mean([len(words) for words in texts]) if texts else 1.0
+        n, mean = len(texts), np.mean([len(words) for words in texts]) if texts else 1.0
+        if of_all:
+            n, mean, df = of_all.n, of_all.mean, np.array([of_all.having[word] for word in self.vocabulary], np.int64)
+        idf = np.log(1 + (n - df + 0.5) / (df + 0.5))
         self.least = s.threshold - 1e-9
         #: Whether a term is rare; the last entry is for unknown tokens (-1).
-        self.rare = np.append(df <= max(2, s.rare * len(texts)), False)
+        self.rare = np.append(df <= max(2, s.rare * n), False)
         self.frequent_adds = np.zeros(self.n_blocks)
         postings: list[dict[int, float]] = [{} for _ in self.vocabulary]
         maxima: list[dict[int, float]] = [{} for _ in self.vocabulary]
@@ -228,12 +242,35 @@ _LEAKS = T.ArrayType(
 )
 
 
-def build_indexes(benchmark: DataFrame, s: LeakSettings = LeakSettings()) -> list[LeakIndex]:
-    """Indexes of at most about ``max_items`` items each; items without id or words are left out."""
+def build_indexes(benchmark: DataFrame, s: LeakSettings = LeakSettings()) -> tuple[int, Iterator[LeakIndex]]:
+    """How many indexes of about ``max_items`` items each there are, and these one after the other.
+
+    Items without id or words are left out. Weights and passages follow counts over all items, taken once by
+    Spark, so scores do not depend on the number of indexes; the driver holds one index at a time.
+    """
     rows = benchmark.select("item_id", "text").where("item_id is not null and text is not null")
     parts = -(-rows.count() // s.max_items)
-    part = F.pmod(F.xxhash64("item_id"), F.lit(max(parts, 1)))
-    return [LeakIndex([tuple(row) for row in rows.where(part == k).collect()], s) for k in range(parts)]
+    if parts <= 1:
+        return parts, (LeakIndex([tuple(row) for row in rows.collect()], s) for _ in range(parts))
+
+    @F.pandas_udf("array<binary>")
+    def item_words(texts: pd.Series) -> pd.Series:
+        return pd.Series([[word for side in split_item(text) for word in side] for text in texts])
+
+    part = F.pmod(F.xxhash64("item_id"), F.lit(parts)).alias("part")
+    items = pin(rows.select("item_id", "text", part, item_words("text").alias("words")).where(F.size("words") > 0), "items")
+    n, mean, longest = items.agg(F.count(F.lit(1)), F.avg(F.size("words")), F.max(F.size("words"))).first()
+    words = items.select("part", F.explode(F.array_distinct("words")).alias("word"))
+    having = pin(words.groupBy("word").agg(F.count(F.lit(1)).alias("n")), "item-words")
+
+    def indexes() -> Iterator[LeakIndex]:
+        for k in range(parts):
+            own = words.where(F.col("part") == k).select("word").distinct().join(having, "word").collect()
+            counts = ItemCounts(n, mean, longest, {bytes(r["word"]): r["n"] for r in own})
+            chosen = items.where(F.col("part") == k).select("item_id", "text").collect()
+            yield LeakIndex([tuple(row) for row in chosen], s, counts)
+
+    return parts, indexes()
 
 
 def leaks_of(index: LeakIndex):
@@ -254,18 +291,24 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, s: LeakSettings = LeakSett
     ``docs`` has doc_id and text, ``benchmark`` item_id and text; other columns are ignored. A missing or
     empty text leaks nothing; repeated rows give repeated leaks; an empty benchmark gives no rows.
     """
-    found = [
-        docs.select("doc_id", F.explode(leaks_of(index)("text")).alias("__l")).select("doc_id", "__l.*")
-        for index in build_indexes(benchmark, s)
-    ]
+    parts, indexes = build_indexes(benchmark, s)
     none = docs.sparkSession.createDataFrame([], T.StructType([docs.schema["doc_id"], *_LEAKS.elementType.fields]))
-    for part in found:
-        none = none.union(part)
+    for index in indexes:
+        part = docs.select("doc_id", F.explode(leaks_of(index)("text")).alias("__l")).select("doc_id", "__l.*")
+        none = none.union(pin(part, "leaks") if parts > 1 else part)
     return none
 
 
 def without_leaks(docs: DataFrame, benchmark: DataFrame, s: LeakSettings = LeakSettings()) -> DataFrame:
-    """The rows of ``docs`` that leak no item, with all their columns."""
-    for index in build_indexes(benchmark, s):
-        docs = docs.where(F.size(leaks_of(index)("text")) == 0)
-    return docs
+    """The rows of ``docs`` that leak no item, with all their columns.
+
+    Rows are judged each for itself, repeated ones and those without id too; a missing text stays.
+    """
+    parts, indexes = build_indexes(benchmark, s)
+    if parts <= 1:
+        for index in indexes:
+            docs = docs.where(F.size(leaks_of(index)("text")) == 0)
+        return docs
+    rows = pin(docs.withColumn("__row", F.monotonically_increasing_id()), "leak-rows")
+    leaking = [pin(rows.where(F.size(leaks_of(index)("text")) > 0).select("__row"), "leak-ids") for index in indexes]
+    return rows.join(reduce(DataFrame.union, leaking).distinct(), "__row", "left_anti").select(*docs.columns)

@@ -304,9 +304,15 @@ def test_leaks_planted(spark, edge_docs, no_docs):
     docs = [(k, prose(k + 900, 400) + " " + items[k][1].upper() + ". " + prose(k + 950, 300)) for k in range(10)]
     docs += [(100 + k, prose(k + 900, 700)) for k in range(10)] + [(200, items[3][1].split("\n")[0])]
     frame = spark.createDataFrame(docs, "doc_id long, text string")
+    found = {}
     for size in (20_000, 7):
         s = decontam.LeakSettings(max_items=size)
-        assert {(r.doc_id, r.item_id) for r in decontam.find_leaks(frame, bench, s).collect()} == {(k, k) for k in range(10)}
+        found[size] = sorted(map(tuple, decontam.find_leaks(frame, bench, s).collect()))
+        assert {r[:2] for r in found[size]} == {(k, k) for k in range(10)}
+        kept = decontam.without_leaks(frame.withColumn("__l", F.lit(1)), bench, s)
+        assert {r.doc_id for r in kept.collect()} == {*range(100, 110), 200} and kept.columns == [*frame.columns, "__l"]
+    for one, two in zip(*found.values(), strict=True):
+        assert one == pytest.approx(two, abs=1e-12)
     assert {r.doc_id for r in decontam.without_leaks(frame, bench).collect()} == {*range(100, 110), 200}
     assert decontam.find_leaks(edge_docs, bench).count() == 0 and decontam.find_leaks(no_docs, bench).count() == 0
     assert decontam.find_leaks(frame, bench.limit(0)).count() == 0
