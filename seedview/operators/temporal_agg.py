@@ -81,7 +81,9 @@ def temporal_aggregates(
         if grid:
             seed_range = tuple(datetime(1970, 1, 1) + timedelta(microseconds=m) for m in (grid[0], grid[-1]))
     if table.time_col and seed_range is not None and not grid:
-        seed_range = _measured_range(instances, seed_time_col)
+        # Without a window that ends, bounds spare a small input nothing that is worth a job.
+        worth = skew.active or any(w is not None for w in lookbacks)
+        seed_range = _measured_range(instances, seed_time_col) if worth else None
     if table.time_col:
         dated = _bounded(keyed.where(F.col(table.time_col).isNotNull()), table.time_col, lookbacks, seed_range)
         if null_time == "keep" and not table.time_required:
