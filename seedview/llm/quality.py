@@ -21,6 +21,7 @@ from operator import eq
 
 import numpy as np
 import pandas as pd
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -55,14 +56,12 @@ _NUMBERS = T.StructType([T.StructField(name, T.DoubleType()) for name in NAMES])
 @dataclass(frozen=True)
 class QualitySettings:
     """``bins`` per number, Newton ``steps`` at most, ``ridge`` on the weights (more with
-    few positives), ``min_top`` share of positives that the bin for the prior holds at least, ``sums``
-    groups of partitions whose sums reach the driver."""
+    few positives), ``min_top`` share of positives that the bin for the prior holds at least."""
 
     bins: int = 6
     steps: int = 8
     ridge: float = 1e-3
     min_top: float = 0.7
-    sums: int = 16
 
 
 def _without(data: bytes, drop: bytes) -> int:
@@ -140,14 +139,19 @@ def find_bins(measured: DataFrame, bins: int) -> Bins:
     return Bins(tuple(tuple(sorted(set(q))) if q else (0.0,) for q in found))
 
 
-def _sums(measured: DataFrame, part, size: int, groups: int) -> np.ndarray:
-    """Sum over all documents of what ``part`` makes of a batch, a vector of ``size``."""
+def _sums(measured: DataFrame, part, size: int) -> np.ndarray:
+    """Sum over all documents of what ``part`` makes of a batch, a vector of ``size``.
+
+    One vector leaves each partition; about the square root of their number meet in a task, and as many
+    reach the driver. A partition's group is its number, so that a task run again sends the same.
+    """
+    groups = math.isqrt(measured.rdd.getNumPartitions()) + 1
 
     def partial(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         total = np.zeros(size)
         for frame in frames:
             total += part(frame)
-        yield pd.DataFrame({"part": [np.random.default_rng().integers(groups)], "sums": [total.tobytes()]})
+        yield pd.DataFrame({"part": [TaskContext.get().partitionId() % groups], "sums": [total.tobytes()]})
 
     def merge(frame: pd.DataFrame) -> pd.DataFrame:
         return pd.DataFrame({"sums": [np.sum([np.frombuffer(b) for b in frame["sums"]], axis=0).tobytes()]})
@@ -178,19 +182,21 @@ def minimise_risk(measured: DataFrame, bins: Bins, prior: float, start: np.ndarr
             curve = (x * (p * (1 - p))[:, None]).T @ x
             return np.concatenate([[len(x), y.sum()], p @ x, y @ x, curve[triangle]])
 
-        return _sums(measured, part, 2 + 2 * width + len(triangle[0]), s.sums)
+        return _sums(measured, part, 2 + 2 * width + len(triangle[0]))
 
     def risks(tries: np.ndarray) -> np.ndarray:
         def part(frame: pd.DataFrame) -> np.ndarray:
             z, y = bins.rows(frame) @ tries.T, frame["y"].to_numpy()
             return np.concatenate([_softplus(z).sum(0), y @ _softplus(z), y @ _softplus(-z)])
 
-        return _sums(measured, part, 3 * len(tries), s.sums).reshape(3, -1)
+        return _sums(measured, part, 3 * len(tries)).reshape(3, -1)
 
     w, best = start, math.inf
     for _ in range(s.steps):
         got = slopes(w)
         n, n_pos = got[0], max(got[1], 1.0)
+        if not n:
+            break
         all_x, pos_x, curve = got[2 : 2 + width], got[2 + width : 2 + 2 * width], np.zeros((width, width))
         curve[triangle] = got[2 + 2 * width :] / n
         curve = curve + np.triu(curve, 1).T + s.ridge * np.eye(width)
@@ -203,7 +209,10 @@ def minimise_risk(measured: DataFrame, bins: Bins, prior: float, start: np.ndarr
         allowed = np.where(negative >= 0, risk, math.inf)
         pick = int(np.argmin(allowed))
         if not allowed[pick] < best - 1e-5:
-            break
+            if best < math.inf or not w.any():
+                break
+            w = np.zeros_like(w)  # the start is not allowed under this prior; zero always is
+            continue
         w, best = tries[pick], allowed[pick]
     return w
 
@@ -220,7 +229,7 @@ def estimate_prior(measured: DataFrame, bins: Bins, w: np.ndarray, s: QualitySet
         y = frame["y"].to_numpy()
         return np.concatenate([np.bincount(at, minlength=cuts), np.bincount(at, y, minlength=cuts)])
 
-    every, positive = _sums(measured, part, 2 * cuts, s.sums).reshape(2, cuts)
+    every, positive = _sums(measured, part, 2 * cuts).reshape(2, cuts)
     n, n_pos = max(every.sum(), 1), max(positive.sum(), 1)
     above, above_pos = every[::-1].cumsum() / n, positive[::-1].cumsum() / n_pos
     usable = above_pos >= s.min_top

@@ -7,7 +7,7 @@ long hexadecimal runs are generalised before the tree is built, and segments bel
 by the share of bad labels below it, shrunk towards its host and all hosts.
 
 Pages are counted once per (host, generalised path) with map-side sums; the tree works on these
-counts. Verdicts return to the pages by a salted join, as one host may hold a third of all pages.
+counts. Verdicts of hot shapes are sent to the pages, all others return by a join in which no key is hot.
 """
 
 from __future__ import annotations
@@ -43,7 +43,7 @@ class TreeSettings:
     ``z``             two-sided normal quantile above which a sibling's bad share is different.
     ``prior``         labels that the shares of host and corpus count for in a template's share.
     ``reject``        templates whose shrunk bad share is at least this are blocked.
-    ``salt``          pieces for the join of verdicts with pages."""
+    ``hot_shapes``    a shape with more than one in so many pages is hot, so there are at most as many."""
 
     depth: int = 6
     max_children: int = 16
@@ -51,7 +51,7 @@ class TreeSettings:
     z: float = 3.0
     prior: float = 10.0
     reject: float = 0.6
-    salt: int = 32
+    hot_shapes: int = 1000
 
 
 def host_of(url: Column) -> Column:
@@ -117,7 +117,7 @@ def _generalise(tree: DataFrame, level: int, s: TreeSettings) -> DataFrame:
 
 
 def template_tree(pages: DataFrame, labels: DataFrame, s: TreeSettings = TreeSettings()) -> DataFrame:
-    """(host, shape, template, bad_share, blocked) of every generalised path.
+    """(host, shape, template, bad_share, blocked, n pages) of every generalised path.
 
     ``pages`` has page_id and url, ``labels`` has page_id and bad (0 or 1); a page may have several
     labels, labels of unknown pages are ignored.
@@ -142,7 +142,7 @@ def template_tree(pages: DataFrame, labels: DataFrame, s: TreeSettings = TreeSet
         "host", "template", ((F.col("bad") + s.prior * of_host) / (F.col("good") + F.col("bad") + s.prior)).alias("bad_share")
     )
     return tree.join(judged, ["host", "template"]).select(
-        "host", "shape", "template", "bad_share", (F.col("bad_share") >= s.reject).alias("blocked")
+        "host", "shape", "template", "bad_share", (F.col("bad_share") >= s.reject).alias("blocked"), "n"
     )
 
 
@@ -152,24 +152,34 @@ def judge_urls(pages: DataFrame, labels: DataFrame, rules: list[Rule], s: TreeSe
     Every row of ``pages`` gives one row, repeated or not. A missing url, or one without ``://``, has
     empty host and path and the template of that empty path.
     """
-    tree = template_tree(pages, labels, s)
-    tree = tree.select(
+    tree = template_tree(pages, labels, s).select(
         F.col("host").alias("__h"),
         F.col("shape").alias("__s"),
         F.concat(F.lit("/"), F.array_join("template", "/")).alias("template"),
         "blocked",
-        F.explode(F.sequence(F.lit(0), F.lit(s.salt - 1))).alias("__salt_of"),
+        "n",
     )
+    tree = pin(tree, "url-verdicts")
+    most = (tree.agg(F.sum("n")).first()[0] or 0) / s.hot_shapes
     host, path = F.col("host"), F.col("path")
-    keyed = pages.select("page_id", host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path")).withColumns(
-        {
-            "__shape": path_shape(path, s.depth),
-            "__salt": F.pmod(F.xxhash64("page_id", "path"), F.lit(s.salt)).cast("int"),
-        }
+    keyed = pages.select("page_id", host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path")).withColumn(
+        "__shape", path_shape(path, s.depth)
+    )
+    # Shapes with more than their share of pages, at most ``hot_shapes``, are sent to the pages; pages that they
+    # settle are spread by their id in the join with all other shapes.
+    hot = tree.where(F.col("n") > most).select(
+        F.col("__h").alias("__hot_h"), F.col("__s").alias("__hot_s"), F.col("template").alias("__hot_t"), F.col("blocked").alias("__hot_b")
+    )
+    marked = keyed.join(F.broadcast(hot), (host == F.col("__hot_h")) & (F.col("__shape") == F.col("__hot_s")), "left")
+    settled = F.col("__hot_t").isNotNull()
+    spread = F.concat(F.lit("/"), F.xxhash64("page_id", "path").cast("string"))  # no host holds a slash
+    marked = marked.withColumn("__key", F.when(settled, spread).otherwise(host)).drop("__hot_h", "__hot_s")
+    cold = tree.where(F.col("n") <= most)
+    joined = marked.join(cold, (F.col("__key") == F.col("__h")) & (F.col("__shape") == F.col("__s")), "left").withColumns(
+        {"template": F.coalesce("__hot_t", "template"), "blocked": F.coalesce("__hot_b", "blocked")}
     )
-    on = (host == F.col("__h")) & (F.col("__shape") == F.col("__s")) & (F.col("__salt") == F.col("__salt_of"))
     method = F.when(F.col("blocked"), F.lit("block")).otherwise(F.lit("allow"))
-    return keyed.join(tree, on, "left").select(
+    return joined.select(
         "page_id",
         "host",
         "path",

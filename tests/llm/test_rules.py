@@ -112,6 +112,20 @@ def test_bad_branch_among_many_small_ones_keeps_its_own(spark):
     assert {r.page_id for r in judged.where("verdict = 'block'").collect()} == {k for k in range(1000) if k % 25 == 3}
 
 
+@pytest.mark.parametrize("hot", [1000, 3, 1])
+def test_hot_and_rare_shapes_get_the_same_verdicts(spark, hot):
+    """Slugs are words, so the tree has about as many rows as there are pages, but for one hot shape."""
+    urls = [(k, f"https://big.org/{prose(k, 1)}{chr(97 + k % 26)}/x") for k in range(200)]
+    urls += [(1000 + k, f"https://big.org/item/{k}") for k in range(150)] + [(3000, None), (3001, "https://big.org/" + "a/" * 20_000)]
+    pages = spark.createDataFrame(urls + urls[:3], "page_id long, url string")
+    labels = spark.createDataFrame([(1000 + k, 1) for k in range(0, 150, 2)] + [(k, 0) for k in range(200)], "page_id long, bad int")
+    out = url_filter.judge_urls(pages, labels, [], url_filter.TreeSettings(hot_shapes=hot)).collect()
+    assert len(out) == len(urls) + 3
+    assert {r.page_id for r in out if r.verdict == "block"} == {1000 + k for k in range(150)}
+    assert next(r.template for r in out if r.page_id == 1001) == "/item/#"
+    assert all(r.template for r in out)
+
+
 # Personal data
 
 PATTERNS = {
