@@ -48,4 +48,4 @@ def fractional_split(
 
 def indexed_split(rows: DataFrame, index: DataFrame, row_id: str = "row_id") -> DataFrame:
     """Rows named by a split index ``(row_id, split)``; a row may serve in several splits."""
-    return rows.join(index.select(row_id, "split"), row_id)
+    return rows.join(index.select(row_id, "split").hint("merge"), row_id)

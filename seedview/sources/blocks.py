@@ -76,7 +76,9 @@ def assemble_blocks(
 ) -> DataFrame:
     """``row_id``, ``split``, the label and all block columns as float, for one named split.
 
-    ``index`` has ``(split_name, split, row_id)``. The label table and blocks meet on ``row_id``.
+    ``index`` has ``(split_name, split, row_id)``. The label table and blocks meet on ``row_id``. Blocks
+    of few values take next to nothing on disk, whatever their rows, so file sizes must not have them
+    broadcast: every join is a merge.
     """
     chosen = index.where(F.col("split_name") == split_name)
     wide = indexed_split(labels, chosen, row_id)
@@ -84,7 +86,7 @@ def assemble_blocks(
         if name in blocks:
             block = blocks[name]
             floats = [F.col(c).cast("float").alias(c) for c in block.columns if c != row_id]
-            wide = wide.join(block.select(row_id, *floats), row_id)
+            wide = wide.join(block.select(row_id, *floats).hint("merge"), row_id)
     return wide
 
 

@@ -317,3 +317,15 @@ def test_python_scorer_sees_batches(spark):
     df = spark.range(1000).withColumn("v", F.col("id").cast("double"))
     out = models.score_batches(df, lambda pdf: pdf["v"] * 2, ["v"])
     assert out.agg(F.sum("prediction")).first()[0] == 999000.0 and out.columns == ["id", "v", "prediction"]
+
+
+def test_blocks_of_few_values_are_not_broadcast(spark, tmp_path):
+    rows = spark.range(1000).select(F.col("id").alias("row_id"), (F.col("id") % 2).alias("v"))
+    for name in blocks.REQUIRED_BLOCKS:
+        rows.withColumnRenamed("v", name).write.parquet(str(tmp_path / f"X_{name}.parquet"))
+    rows.withColumnRenamed("v", "label").write.parquet(str(tmp_path / "labels"))
+    rows.select(F.lit("s").alias("split_name"), F.lit("train").alias("split"), "row_id").write.parquet(str(tmp_path / "index"))
+    labels, index = (spark.read.parquet(str(tmp_path / name)) for name in ("labels", "index"))
+    wide = blocks.assemble_blocks(blocks.read_blocks(spark, str(tmp_path)), labels, index, "s")
+    assert "Broadcast" not in wide._jdf.queryExecution().executedPlan().toString()
+    assert wide.where((F.col("num") == F.col("row_id") % 2) & (F.col("cat") == F.col("label"))).count() == 1000
