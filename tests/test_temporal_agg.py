@@ -8,6 +8,8 @@ from helpers import frame, history_frames, is_missing, random_history
 from seedview.model import TableSpec
 from seedview.operators.degrees import incident_counts
 from seedview.operators.temporal_agg import temporal_aggregates
+from seedview.session import SkewPolicy
+from seedview.sources.problems import toy_churn
 
 
 def aggregates(instances, child, lookbacks, **options):
@@ -178,3 +180,15 @@ def test_one_key_with_a_third_of_all_rows_is_cut(spark):
     assert len(sizes) == 20 and max(r["count"] for r in sizes) < 10000 / 20 * 1.5
     sliced = running(rows, ["k"], {"n": "sum"}, skew=policy, collapse=False)
     assert sliced.groupBy("k").agg(F.max("asc__n").alias("m"), F.count("*").alias("c")).where("m <> c").isEmpty()
+
+
+def test_large_inputs_are_dealt_into_parts_of_their_own(spark):
+    """Seeds before they are repeated per window and rows before they are sorted, not as the planner joins them."""
+    db, task = toy_churn(spark)
+    options = dict(entity_key="user_id", seed_time_col="seed_time", foreign_key="user_id", lookbacks=[7, None])
+    policy = SkewPolicy(active=True, min_rows=1_000_000, fair=4, slices=64, grid=0, parts=7)
+    dealt = temporal_aggregates(task.task_table, db.table("transactions"), skew=policy, **options)
+    plain = temporal_aggregates(task.task_table, db.table("transactions"), **options)
+    by_number = [line for line in dealt._jdf.queryExecution().executedPlan().toString().splitlines() if "REPARTITION_BY_NUM" in line]
+    assert len(by_number) >= 2 and all(", 7)" in line for line in by_number)
+    assert sorted(map(str, dealt.collect())) == sorted(map(str, plain.collect()))
