@@ -156,7 +156,7 @@ def shingle_set(text: str | None, size: int) -> np.ndarray:
 
 def jaccard(a: np.ndarray, b: np.ndarray) -> float:
     both = len(np.intersect1d(a, b, assume_unique=True))
-    return both / (len(a) + len(b) - both)
+    return both / (len(a) + len(b) - both) if len(a) + len(b) else 1.0
 
 
 def text_key(shingles: np.ndarray) -> int:
@@ -194,7 +194,11 @@ def _common_shingles(named: DataFrame, s: NearCopySettings) -> tuple[np.ndarray,
 def near_copy_links(docs: DataFrame, s: NearCopySettings = NearCopySettings()) -> DataFrame:
     """(a, b) of ids whose texts are near copies, enough of them to connect each group of near copies.
 
-    Texts with equal sets of shingles, or without words, are one text. Distinct texts with the
+    Texts with equal sets of shingles, or without words, are one text. Fingerprints of all texts, which go
+    through the grid of :func:`fingerprint_links`, propose to each text the smallest id within two bits; each
+    such pair is checked on all shingles.
+
+    A second search finds what fingerprints miss. Distinct texts with the
     similarity have one of their rarest shingles in common (prefix filter), whatever their length, so each
     such shingle is a group that is searched for pairs in rounds. In a small group all texts ask, in a large
     one the first, and with every round eight times as many. A text is compared with the asker that it
@@ -203,18 +207,27 @@ def near_copy_links(docs: DataFrame, s: NearCopySettings = NearCopySettings()) -
     share, are settled without their texts. Texts that links already connect are not compared, and groups
     that links connect end, so a large group of near copies costs about one comparison a text. The rounds
     end when every pair of every group is compared or connected.
+
+    Two texts meet only in groups whose shingle can be the first that they share: what follows it in either
+    must suffice for the similarity. In the shorter text that leaves about the rarest ninth of the shingles,
+    so a group where no text has its shingle there holds no pair and is never searched.
     """
     named = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
 
-    @F.pandas_udf("long")
-    def keys_of(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    @F.pandas_udf("t long, fp long")
+    def keys_of(texts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for batch in texts:
-            yield pd.Series([text_key(shingle_set(text, s.shingle)) for text in batch], dtype="int64")
+            hashes = [shingle_hashes(words_of(text), s.shingle) for text in batch]
+            rows = [(text_key(np.unique(x).view(np.int64)), fingerprint(x)) for x in hashes]
+            yield pd.DataFrame(rows, columns=["t", "fp"], dtype="int64")
 
-    marked = pin(named.select("doc_id", keys_of("text").alias("t")), "copy-texts")
-    first = pin(marked.groupBy("t").agg(F.min("doc_id").alias("first")), "copy-firsts")
+    keys_of = keys_of.asNondeterministic()  # a struct of two, to be run once
+    marked = pin(named.select("doc_id", keys_of("text").alias("k")).select("doc_id", "k.t", "k.fp"), "copy-texts")
+    first = pin(marked.groupBy("t").agg(F.min("doc_id").alias("first"), F.min("fp").alias("fp")), "copy-firsts")
     same = marked.join(first, "t").where("doc_id <> first").select(F.col("doc_id").alias("a"), F.col("first").alias("b"))
     distinct = join_ids(named, pin(first.select("first").distinct(), "copy-ids"), "first", "left_semi")
+    compared = pin(_fingerprint_pairs(first), "copy-pairs")
+    links = pin(_alike(compared, named, s), "copy-links")
 
     common, counts = _common_shingles(named, s)
 
@@ -234,26 +247,33 @@ def near_copy_links(docs: DataFrame, s: NearCopySettings = NearCopySettings()) -
     several = marked.groupBy("doc_id").agg(F.min("t").alias("low"), F.max("t").alias("high")).where("low < high")
     several = pin(several.select(F.col("doc_id").alias("id")), "copy-several")
 
-    active, roots, many = members.withColumn("root", F.col("id")), None, 1
-    compared = links = None
+    active, many = members.withColumn("root", F.col("id")), 1
+    if not links.isEmpty():
+        active = _rooted(active, links)
+    # The similarity as a share of both texts' shingles, and of twice the shorter one's.
+    share = s.similarity / (1 + s.similarity)
     while True:
         groups = active.groupBy("key").agg(
-            F.count(F.lit(1)).alias("size"), F.min("id").alias("low"), F.min("root").alias("first_root"), F.max("root").alias("last_root")
+            F.count(F.lit(1)).alias("size"), F.min("id").alias("low"), F.min("root").alias("first_root"), F.max("root").alias("last_root"),
+            F.max(F.col("n") - F.col("at") >= 2 * share * F.col("n") - 1e-6).alias("early"),
         )
-        # Groups that links connect end here.
-        groups = groups.where("first_root < last_root").select("key", "size", "low")
-        active = pin(active.select("key", "id", "n", "root").join(groups, "key"), "copy-rounds")
+        # Groups that links connect end here, as do those that are no two texts' first in common.
+        groups = groups.where("first_root < last_root and early").select("key", "size", "low")
+        active = pin(active.select("key", "id", "n", "at", "root").join(groups, "key"), "copy-rounds")
         largest = active.agg(F.max("size")).first()[0]
         if largest is None:
             break
         chosen = F.pmod(F.xxhash64(F.lit(many), "id"), F.col("size")) < F.lit(many)
         asks = (F.col("size") <= s.crowd) | (F.col("id") == F.col("low")) | (F.lit(many > 1) & chosen)
-        asking = active.where(asks).select("key", F.col("id").alias("u"), F.col("n").alias("m"), F.col("root").alias("top"))
+        asking = active.where(asks).select(
+            "key", F.col("id").alias("u"), F.col("n").alias("m"), F.col("at").alias("place"), F.col("root").alias("top")
+        )
         alike = F.least("n", "m") >= s.similarity * F.greatest("n", "m") - 1e-6
+        left = F.least(F.col("n") - F.col("at"), F.col("m") - F.col("place"))
+        alike = alike & (left >= share * (F.col("n") + F.col("m")) - 1e-6)
         met = active.join(asking, "key").where((F.col("root") != F.col("top")) & alike)
         met = met.groupBy(F.greatest("id", "u").alias("a"), F.least("id", "u").alias("b")).agg(F.count(F.lit(1)).alias("met"))
-        if compared is not None:
-            met = met.join(compared, ["a", "b"], "left_anti")
+        met = met.join(compared, ["a", "b"], "left_anti")
         best = W.partitionBy("a").orderBy(F.desc("met"), "b")
         pairs = pin(met.withColumn("r", F.row_number().over(best)).where(F.col("r") <= many).select("a", "b"), "copy-pairs")
         if pairs.isEmpty():
@@ -261,15 +281,30 @@ def near_copy_links(docs: DataFrame, s: NearCopySettings = NearCopySettings()) -
                 break
             many *= 8
             continue
-        compared = pairs if compared is None else compared.union(pairs)
+        compared = compared.union(pairs)
         possible = pin(_possible(pairs, members, several, s), "copy-possible")
         found = pin(_alike(possible, named, s), "copy-links")
         if not found.isEmpty():
-            links = found if links is None else links.union(found)
-            roots = connected_components(links).select(F.col("node").alias("id"), F.col("root").alias("__root"))
-            active = active.join(roots, "id", "left").withColumn("root", F.coalesce("__root", "root")).drop("__root")
+            links = links.union(found)
+            active = _rooted(active, links)
         many *= 8
-    return same if links is None else same.union(links)
+    return same.union(links)
+
+
+def _fingerprint_pairs(first: DataFrame) -> DataFrame:
+    """(a, b) of each id and the smallest one below it whose text's fingerprint lies within two bits."""
+    least = first.groupBy("fp").agg(F.min("first").alias("least"))
+    equal = first.join(least, "fp").select(F.col("first").alias("x"), F.col("least").alias("y"))
+    side = lambda x, name: least.select(F.col("fp").alias(x), F.col("least").alias(name))
+    near = fingerprint_links(least.select("fp")).join(side("a", "x"), "a").join(side("b", "y"), "b").select("x", "y")
+    pairs = equal.union(near).where("x <> y")
+    return pairs.groupBy(F.greatest("x", "y").alias("a")).agg(F.min(F.least("x", "y")).alias("b"))
+
+
+def _rooted(active: DataFrame, links: DataFrame) -> DataFrame:
+    """The rows with the root of their id's group, as the links go so far."""
+    roots = connected_components(links).select(F.col("node").alias("id"), F.col("root").alias("__root"))
+    return active.join(roots, "id", "left").withColumn("root", F.coalesce("__root", "root")).drop("__root")
 
 
 def _possible(pairs: DataFrame, members: DataFrame, several: DataFrame, s: NearCopySettings) -> DataFrame:

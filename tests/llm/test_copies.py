@@ -260,6 +260,46 @@ def test_short_pairs_with_one_changed_word_are_found(spark):
     assert {r.doc_id for r in simhash.without_near_duplicates(docs).collect()} == brute_copies(rows)
 
 
+def test_unlike_texts_of_one_template_never_meet(spark, monkeypatch):
+    """More of each text is its own than the similarity allows, though its rarest fifth reaches into the template."""
+    template = prose(31, 100)
+    rows = [(k, f"{prose(4000 + 50 * k, 16)} {template}") for k in range(80)]
+    rows += [(1000 + k, text + " more") for k, text in rows[:5]]
+    met, kept_by = [], simhash.pin
+
+    def counted(df, name):
+        out = kept_by(df, name)
+        met.extend([out.count()] if name == "copy-pairs" else [])
+        return out
+
+    monkeypatch.setattr(simhash, "pin", counted)
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    kept = {r.doc_id for r in simhash.without_near_duplicates(docs, simhash.NearCopySettings(sample=1, common=3)).collect()}
+    assert kept == brute_copies(rows) == set(range(80)) and sum(met) < len(rows)
+
+
+def test_fingerprints_propose_pairs_of_the_stage(spark, monkeypatch):
+    """Copies of long texts lie within two bits: the grid finds them, and they are checked before all others."""
+    first, proposed, links, alike = [], [], simhash.fingerprint_links, simhash._alike
+    rows = list(enumerate(t for k in range(20) for t in variants(800 + k, 2, 1500, 1)))
+
+    def seen(fps, *crowd):
+        out = links(fps, *crowd)
+        proposed.append(out.count())
+        return out
+
+    def checked(pairs, named, s):
+        out = alike(pairs, named, s)
+        first.append(out.count())
+        return out
+
+    monkeypatch.setattr(simhash, "fingerprint_links", seen)
+    monkeypatch.setattr(simhash, "_alike", checked)
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {r.doc_id for r in simhash.without_near_duplicates(docs).collect()} == brute_copies(rows)
+    assert proposed[0] > 0 and first[0] >= proposed[0]
+
+
 def test_close_fingerprints_of_different_words_stay(spark):
     line = prose(9, 13)
     rows = [(k, f"{line} " * 200 + prose(900 + k, 60)) for k in range(3)]
