@@ -123,15 +123,20 @@ def _entity_nodes(entity: TableSpec, task: TaskSpec, seeds: DataFrame, skew) ->
 
 
 def _dated_neighbors(seeds, features, key, seed, k, skew) -> DataFrame:
-    if skew.active and k is not None:
+    def events_of(rows: DataFrame) -> DataFrame:
+        probes = seeds.withColumns({POS: micros(seed), PROBE: F.lit(True)})
+        return rows.withColumn(PROBE, F.lit(False)).unionByName(probes, allowMissingColumns=True)
+
+    events = events_of(features)
+    hot = k is not None and skew.active and hot_groups(events, [key], skew) is not None
+    if hot:
         # More than k rows of one key and instant: only the last k can be anybody's neighbours.
         same_instant = Window.partitionBy(key, POS).orderBy(F.col("__pk").desc())
         features = features.withColumn("__n", F.row_number().over(same_instant)).where(F.col("__n") <= k).drop("__n")
-    events = features.withColumn(PROBE, F.lit(False)).unionByName(
-        seeds.withColumns({POS: micros(seed), PROBE: F.lit(True)}), allowMissingColumns=True
-    )
-    if k is not None and k <= MOST_CARRIED and not (skew.active and hot_groups(events, [key], skew) is not None):
-        return _carried(events, key, seed, k)
+        events = events_of(features)
+        hot = hot_groups(events, [key], skew) is not None
+    if k is not None and k <= MOST_CARRIED and not hot:
+        return _carried(skew.deal(events, key), key, seed, k)
     counted = events.withColumn("n", F.when(~F.col(PROBE), F.lit(1).cast("bigint")))
     numbered = pin(running(counted, [key], {"n": "sum"}, tie=["__pk"], collapse=False, skew=skew), "numbered")
     children = numbered.where(~F.col(PROBE)).select(key, F.col("asc__n").alias("__n"), "features")

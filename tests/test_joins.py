@@ -14,6 +14,7 @@ from seedview.operators.lookup import duplicate_keys, lookup, remap_foreign_key,
 from seedview.operators.neighbors import edge_types, neighbor_edges, neighbor_nodes, node_types
 from seedview.operators.reach import reachable_tables
 from seedview.operators.views import build_view, entity_view, graph_view
+from seedview.session import SkewPolicy
 from seedview.sources.problems import toy_churn
 
 
@@ -321,3 +322,16 @@ def test_a_view_refuses_a_parent_that_occurs_twice(spark, tmp_path):
 
     with pytest.raises(Exception, match="n_nationkey: key 7 occurs 2 times"):
         QUERIES["parent_lookup_2hop"](spark, str(tmp_path)).collect()
+
+
+def test_neighbors_of_small_keys_are_not_limited_first(spark, monkeypatch):
+    """The window over equal instants is for hot keys; the probe that finds none must not wait for it."""
+    db, task = problem(spark, [(1, 0.5)], "user_id bigint, score double", *history_frames(spark, *random_history(3)))
+    probed = []
+    found_hot = neighbors.hot_groups
+    monkeypatch.setattr(neighbors, "hot_groups", lambda rows, by, skew: probed.append(rows) or found_hot(rows, by, skew))
+    policy = SkewPolicy(active=True, min_rows=1_000_000, fair=1, slices=4, grid=0, parts=7)
+    nodes = neighbor_nodes(db, task, 3, skew=policy).where("node_type = 'tx'")
+    assert len(probed) == 1 and "Window" not in probed[0]._jdf.queryExecution().optimizedPlan().toString()
+    assert ", 7)" in nodes._jdf.queryExecution().executedPlan().toString()
+    assert sorted(map(str, nodes.collect())) == sorted(map(str, neighbor_nodes(db, task, 3).where("node_type = 'tx'").collect()))
