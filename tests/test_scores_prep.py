@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from seedview.functions import invariance, scores
 from seedview.operators import prep
+from seedview.operators import running as running_module
 from seedview.plans.models import score_batches
 
 NAN, INF = float("nan"), float("inf")
@@ -177,3 +178,12 @@ def test_more_categories_than_a_driver_table_would_hold(spark):
     vector = fitted.transform(train.where("name = 'name99999'")).first().features
     assert vector.size == 120_000 and vector.numNonzeros() == 1
     assert fitted.transform(train.limit(1).selectExpr("'unseen' AS name", "label")).first().features.numNonzeros() == 0
+
+
+def test_auroc_probes_the_counts_and_not_their_source(spark, monkeypatch):
+    spark.conf.set("seedview.skew", "always")
+    read = []
+    monkeypatch.setattr(running_module, "hot_groups", lambda rows, by, skew: read.extend(rows.inputFiles()))
+    df = spark.createDataFrame([(0.9, 1), (0.1, 0), (0.1, 1)], "score double, label int")
+    assert scores.auroc(df, "score", "label").first().auroc == 0.75
+    assert read

@@ -6,6 +6,7 @@ import pytest
 from helpers import frame, history_frames, is_missing, random_history
 
 from seedview.model import TableSpec
+from seedview.operators import running as running_module
 from seedview.operators.degrees import incident_counts
 from seedview.operators.temporal_agg import temporal_aggregates
 from seedview.session import SkewPolicy
@@ -192,3 +193,17 @@ def test_large_inputs_are_dealt_into_parts_of_their_own(spark):
     by_number = [line for line in dealt._jdf.queryExecution().executedPlan().toString().splitlines() if "REPARTITION_BY_NUM" in line]
     assert len(by_number) >= 2 and all(", 7)" in line for line in by_number)
     assert sorted(map(str, dealt.collect())) == sorted(map(str, plain.collect()))
+
+
+@pytest.mark.parametrize("grid", [0, 1000])
+def test_events_are_not_probed_if_keys_are_small(spark, monkeypatch, grid):
+    child, instances = history_frames(spark, *random_history(5))
+    probed = []
+    monkeypatch.setattr(running_module, "hot_groups", lambda rows, by, skew: probed.append(by))
+    found = {}
+    for rows in (1_000_000, 10):
+        policy = SkewPolicy(active=True, min_rows=rows, fair=1, slices=4, grid=grid, parts=3)
+        got = aggregates(instances, child, [7, None], null_time="drop", skew=policy)
+        found[rows] = sorted(map(str, got.collect())), len(probed)
+    assert found[1_000_000][1] == 0 and found[10][1] == 1
+    assert found[1_000_000][0] == found[10][0] and found[10][0]
