@@ -90,8 +90,9 @@ def audit_each_seed(
     """``(seed, n_instances, n_changed)``: every seed audited against its own past, in one build.
 
     A database is built that holds, for each cutoff, its own copy of everything known by then: rows are
-    repeated for the cutoffs from their time on (undated rows for all), and every key carries the number of
-    its cutoff, so that copies never meet. Instances ask the copy of their own seed, and one build of the
+    repeated for the cutoffs from their time on (undated rows for all), and every key that rows meet by carries
+    the number of its cutoff, so that copies never meet; a primary key that no other table refers to stays as it
+    is, as a text with a value of its own in each row would only be counted as a category. Instances ask the copy of their own seed, and one build of the
     view answers for all seeds. Features of the view on the whole database must be the same; columns that
     the copy has besides are ignored. Undated seeds take no part.
 
@@ -108,14 +109,17 @@ def audit_each_seed(
     number = reduce(lambda a, b: a.when(b[1], b[0]), [(F.lit(n), F.col(seed) == F.lit(c).cast("timestamp_ntz")) for n, c in enumerate(cutoffs)], F)
     named = lambda column: F.concat(F.col("__copy").cast("string"), F.lit("@"), F.col(column).cast("string"))
 
+    referred = {task.entity_table, *(parent for t in db.tables.values() for parent in t.foreign_keys.values())}
+
     def copied(table: TableSpec) -> TableSpec:
         copies = F.filter(known, lambda c: c["at"] >= F.coalesce(F.col(table.time_col), F.lit(cutoffs[0]).cast("timestamp_ntz"))) if table.time_col else known
         df = table.df.withColumn("__copy", F.explode(F.transform(copies, lambda c: c["n"])))
-        own = {f"__{c}": named(c) for c in [table.primary_key, *table.foreign_keys]}
+        met = table.name in referred
+        own = {f"__{c}": named(c) for c in [*([table.primary_key] if met else []), *table.foreign_keys]}
         return replace(
             table,
-            df=df.withColumns(own).drop("__copy"),
-            primary_key=f"__{table.primary_key}",
+            df=df.withColumns(own).drop("__copy") if own else df.drop("__copy"),
+            primary_key=f"__{table.primary_key}" if met else table.primary_key,
             foreign_keys={f"__{c}": parent for c, parent in table.foreign_keys.items()},
         )
 

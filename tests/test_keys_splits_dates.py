@@ -210,3 +210,17 @@ def test_preview_of_one_split(spark):
     _, task = toy_churn(spark)
     rows = assign_split(task.task_table, "seed_time", timestamp(datetime(2024, 3, 1)), timestamp(datetime(2024, 3, 10)))
     assert preview(rows).count() == 10 and preview(rows, "test").count() == 5 and preview(rows, "test", 2).count() == 2
+
+
+def test_copies_of_the_audit_count_no_keys_as_categories(spark):
+    db, task = toy_churn(spark)
+    built = []
+
+    def build(d, t):
+        built.append(d)
+        return build_view(d, t, ViewConfig("jt_temporalagg", lookback_days=30))
+
+    assert {r.n_changed for r in audit.audit_each_seed(db, task, build).collect()} == {0}
+    copy = built[1].table("transactions")
+    assert copy.primary_key == "tx_id" and "__tx_id" not in copy.df.columns
+    assert built[1].table("users").primary_key == "__user_id"
