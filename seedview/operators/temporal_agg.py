@@ -310,6 +310,8 @@ def _dated_part(seeds, dated, undated, plan, seed_time_col, lookbacks, seed_rang
     keys = [plan.entity_key, seed_time_col, "window_id"]
     if not limited:
         return halves.select(*keys, *[F.col(m).alias(f"d_{m}") for m in measures])
+    # A seed's halves come from different groups, so merging them before the shuffle would spare nothing.
+    halves = skew.deal(halves, plan.entity_key, seed_time_col)
     return halves.groupBy(*keys).agg(*[MERGE[how](m).alias(f"d_{m}") for m, how in measures.items()])
 
 

@@ -207,3 +207,14 @@ def test_events_are_not_probed_if_keys_are_small(spark, monkeypatch, grid):
         found[rows] = sorted(map(str, got.collect())), len(probed)
     assert found[1_000_000][1] == 0 and found[10][1] == 1
     assert found[1_000_000][0] == found[10][0] and found[10][0]
+
+
+def test_the_halves_of_a_window_meet_in_dealt_parts(spark):
+    """Small partitions as sent are joined by adaptive execution; what is merged and joined in them stays dealt."""
+    db, task = toy_churn(spark)
+    policy = SkewPolicy(active=True, min_rows=1_000_000, fair=4, slices=64, grid=0, parts=7)
+    out = temporal_aggregates(
+        task.task_table, db.table("transactions"), entity_key="user_id", seed_time_col="seed_time",
+        foreign_key="user_id", lookbacks=[30, None], functions=["count"], null_time="drop", skew=policy,
+    )
+    assert out.count() == 20 and out.rdd.getNumPartitions() == 7
