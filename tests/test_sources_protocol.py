@@ -329,3 +329,15 @@ def test_blocks_of_few_values_are_not_broadcast(spark, tmp_path):
     wide = blocks.assemble_blocks(blocks.read_blocks(spark, str(tmp_path)), labels, index, "s")
     assert "Broadcast" not in wide._jdf.queryExecution().executedPlan().toString()
     assert wide.where((F.col("num") == F.col("row_id") % 2) & (F.col("cat") == F.col("label"))).count() == 1000
+
+
+def test_views_with_the_same_parents_are_written_once(spark, monkeypatch):
+    written, write = [], protocol.materialize
+    monkeypatch.setattr(protocol, "materialize", lambda view, name: written.append(name) or write(view, name))
+    db, task = split_toy(spark)
+    constant = ConstantModel
+    out = protocol.run_protocol_b(
+        db, task, [constant("c-jt")], lambda k: [constant("c-graph")],
+        configs=[ViewConfig("jt_temporalagg", lookback_days=7), ViewConfig("jt_entity")], k_values=[100, 300],
+    )
+    assert out.runs.count() == 4 and sorted(written) == ["entity", "graph"]
