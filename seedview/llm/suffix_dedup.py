@@ -6,9 +6,11 @@ A string of ``LENGTH`` bytes counts as repeated if it also starts in a document
     (the leftmost of equals), so equal windows have equal anchors at equal places. About one byte in 17
     is an anchor. Its context are the 84 bytes that all windows with this anchor lie in.
 2.  Buckets. Anchors are dealt by hash; what travels is a few bytes of hashes each. An anchor whose whole
-    context is in an earlier document is repeated with all its context. If only the anchor is shared, its
-    context goes on to a shard, once for each distinct context. A batch of documents settles repeats
-    inside it before anything is sent, so a common line is sent once a batch.
+    context is in an earlier document is repeated with all its context. A window reaches 17 bytes beyond
+    its anchor on one side at least, so if another document has the anchor with the 17 bytes on one side,
+    the context goes on to a shard, once for each distinct context. Anchors alone are shared the more
+    often by chance the more texts there are, which is why they don't suffice. A batch of documents settles
+    repeats inside it before anything is sent, so a common line is sent once a batch.
 3.  Shards. The contexts with one anchor meet in one shard. Its suffix array is built by Larsson-Sadakane
     refinement (groups that are still equal are sorted by the rank of what follows, twice as far each
     round), neighbours get their common prefixes by Kasai's scan, and runs of prefixes of at least
@@ -16,7 +18,8 @@ A string of ``LENGTH`` bytes counts as repeated if it also starts in a document
 4.  An anchor with very many different contexts is spread over several shards. Each sends its distinct
     strings, sorted, and the sorted lists of all shards are merged by binary search.
 
-Contexts are compared by 96 bits of hash in step 2 and byte by byte in step 3. Texts cross the
+Contexts are compared by 96 bits of hash in step 2 and byte by byte in step 3; equal hashes of one side
+only bring a context to step 3. Texts cross the
 network twice at most, and no document, bucket or shard needs another one's text.
 """
 
@@ -38,6 +41,7 @@ LENGTH = 50
 ANCHOR = 16
 SIDE = LENGTH - ANCHOR
 CONTEXT = 2 * SIDE + ANCHOR
+HALF = SIDE // 2
 
 _PLACE = np.uint64(28)
 _SEGMENT = 1 << 21
@@ -63,8 +67,11 @@ def _anchor_hash(low: np.ndarray, high: np.ndarray) -> np.ndarray:
     return _mix(low * _ODD[0] + _mix(high * _ODD[1]))
 
 
-def anchor_places(data: bytes) -> np.ndarray:
-    """Places of the anchors of all windows of a byte string, in pieces that overlap by a window."""
+def anchor_places(data: bytes | np.ndarray, whole: np.ndarray | None = None) -> np.ndarray:
+    """Places of the anchors of all windows of a byte string, in pieces that overlap by a window.
+
+    ``whole`` tells at which bytes a window starts that counts.
+    """
     found = []
     for start in range(0, max(1, len(data) - LENGTH + 1), _SEGMENT):
         piece = data[start : start + _SEGMENT + LENGTH - 1]
@@ -75,6 +82,7 @@ def anchor_places(data: bytes) -> np.ndarray:
         least = (hashes >> _PLACE << _PLACE) | np.arange(len(hashes), dtype=np.uint64)
         for step in (1, 2, 4, 8, 16, SIDE + 1 - 32):
             least = np.minimum(least[:-step], least[step:])
+        least = least if whole is None else least[whole[start : start + len(least)]]
         mark = np.zeros(len(piece), bool)
         mark[(least & np.uint64((1 << 28) - 1)).astype(np.int64)] = True
         found.append(np.nonzero(mark)[0] + start)
@@ -82,19 +90,27 @@ def anchor_places(data: bytes) -> np.ndarray:
 
 
 class Texts:
-    """Several byte strings in one buffer, and rows of context around places in them."""
+    """Several byte strings in one buffer, with zeros around each, and rows of context around places in them."""
 
     def __init__(self, texts: list[bytes]) -> None:
+        gap = bytes(CONTEXT)
         self.size = np.array([len(t) for t in texts], np.int64)
-        self.start = np.cumsum(self.size) - self.size
-        self.data = np.frombuffer(b"".join(texts) + bytes(8), np.uint8)
+        self.start = np.cumsum(self.size + CONTEXT) - self.size
+        self.data = np.frombuffer(gap + gap.join(texts) + gap, np.uint8)
+
+    def anchors(self) -> tuple[np.ndarray, np.ndarray]:
+        """Text and place of every anchor."""
+        edge = np.zeros(len(self.data) + 1, np.int8)
+        long = self.size >= LENGTH
+        edge[self.start[long]] = 1
+        edge[(self.start + self.size - LENGTH + 1)[long]] = -1
+        at = anchor_places(self.data, np.cumsum(edge[:-1], dtype=np.int8).view(bool))
+        text = np.searchsorted(self.start, at, "right") - 1
+        return text, at - self.start[text]
 
     def contexts(self, text: np.ndarray, place: np.ndarray) -> np.ndarray:
         """A row of ``CONTEXT`` bytes for each place; zeros where the text has none."""
-        column = np.arange(-SIDE, ANCHOR + SIDE)
-        at = place[:, None] + column
-        inside = (at >= 0) & (at < self.size[text][:, None])
-        return np.where(inside, self.data[np.where(inside, at, 0) + self.start[text][:, None]], 0).astype(np.uint8)
+        return np.lib.stride_tricks.sliding_window_view(self.data, CONTEXT)[self.start[text] + place - SIDE]
 
     def room(self, text: np.ndarray, place: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """First and last window (offset in the context) that lie inside the text."""
@@ -103,13 +119,28 @@ class Texts:
         return low, high
 
 
-def _hashes(rows: np.ndarray, low: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Anchor and context hashes of context rows."""
-    words = np.zeros((len(rows), 96), np.uint8)
-    words[:, :CONTEXT] = rows
-    words[:, 88], words[:, 89] = low, high
+def _words_hash(*columns: np.ndarray) -> np.ndarray:
+    """Hash of rows of bytes."""
+    width = sum(c.shape[1] for c in columns)
+    words = np.zeros((len(columns[0]), -(-width // 8) * 8), np.uint8)
+    np.concatenate(columns, axis=1, out=words[:, :width])
+    words = words.view("<u8")
+    return _mix((_mix(words * _ODD[2 : 2 + words.shape[1]])).sum(1, dtype=np.uint64))
+
+
+def _anchors_of(rows: np.ndarray) -> np.ndarray:
+    """Anchor hashes of context rows."""
     middle = np.ascontiguousarray(rows[:, SIDE : SIDE + ANCHOR]).view("<u8")
-    return _anchor_hash(middle[:, 0], middle[:, 1]), _mix((_mix(words.view("<u8") * _ODD[2:14])).sum(1, dtype=np.uint64))
+    return _anchor_hash(middle[:, 0], middle[:, 1])
+
+
+def _sides(rows: np.ndarray) -> np.ndarray:
+    """Two hashes of context rows: of what is before and of what is after the anchor within ``HALF`` bytes.
+
+    Equal windows with this anchor have the bytes of one side in common at least.
+    """
+    sides = (rows[:, SIDE - HALF : SIDE], rows[:, SIDE + ANCHOR : SIDE + ANCHOR + HALF])
+    return np.column_stack([_words_hash(side) for side in sides]).astype(np.uint16)
 
 
 def _batches(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -130,6 +161,17 @@ def _firsts(key: np.ndarray, doc: np.ndarray) -> np.ndarray:
     return first
 
 
+def _meet(key: np.ndarray, doc: np.ndarray) -> np.ndarray:
+    """Whether rows of several documents have the ``key`` of each row."""
+    order = np.argsort(key)
+    new = np.append(True, np.diff(key[order]) != 0)
+    starts = np.nonzero(new)[0]
+    several = np.minimum.reduceat(doc[order], starts) != np.maximum.reduceat(doc[order], starts)
+    meet = np.empty(len(key), bool)
+    meet[order] = several[np.cumsum(new) - 1]
+    return meet
+
+
 def _packed(values: np.ndarray) -> bytes:
     return zlib.compress(np.diff(values.astype(np.int64), prepend=0).tobytes(), 1)
 
@@ -138,21 +180,23 @@ def _unpacked(blob: bytes) -> np.ndarray:
     return np.cumsum(np.frombuffer(zlib.decompress(blob), np.int64))
 
 
-_ANCHORS = "bucket int, docs binary, texts binary, counts binary, places binary, anchors binary, contexts binary, settled binary"
+_ANCHORS = "bucket int, docs binary, texts binary, counts binary, places binary, anchors binary, contexts binary, sides binary, settled binary"
 
 
 def _send_anchors(buckets: int):
     def send(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in _batches(frames):
             texts = Texts(list(frame["data"]))
-            each = [anchor_places(t) for t in frame["data"]]
-            text, place = np.repeat(np.arange(len(each)), [len(p) for p in each]), np.concatenate(each)
+            text, place = texts.anchors()
             if not len(place):
                 continue
             anchor, context = np.empty(len(place), np.uint64), np.empty(len(place), np.uint64)
+            sides = np.empty((len(place), 2), np.uint16)
             for k in range(0, len(place), _ROWS):
                 s = slice(k, k + _ROWS)
-                anchor[s], context[s] = _hashes(texts.contexts(text[s], place[s]), *texts.room(text[s], place[s]))
+                rows, room = texts.contexts(text[s], place[s]), texts.room(text[s], place[s])
+                anchor[s], sides[s] = _anchors_of(rows), _sides(rows)
+                context[s] = _words_hash(rows, np.column_stack(room).astype(np.uint8))
             doc, code = frame["doc_id"].to_numpy(np.int64), frame["code"].to_numpy(np.int64)
             first = _firsts(_mix(anchor) ^ context, doc[text])
             bucket = ((anchor >> np.uint64(32)) % np.uint64(buckets)).astype(np.int64)
@@ -172,6 +216,7 @@ def _send_anchors(buckets: int):
                         _packed(place[at]),
                         anchor[sent].astype(np.uint32).tobytes(),
                         context[sent].tobytes(),
+                        sides[sent].tobytes(),
                         np.packbits(~first[at]).tobytes(),
                     )
                 )
@@ -196,6 +241,7 @@ def _judge_bucket(crowded: int):
         doc, code, place, settled = (np.concatenate(x) for x in (doc, code, place, settled))
         anchor = np.frombuffer(b"".join(frame["anchors"]), np.uint32)
         context = np.frombuffer(b"".join(frame["contexts"]), np.uint64)
+        sides = np.frombuffer(b"".join(frame["sides"]), np.uint16).reshape(-1, 2)
         rows = np.nonzero(~settled)[0]
         state = np.where(settled, REPEATED, -1)
         if len(rows):
@@ -206,9 +252,18 @@ def _judge_bucket(crowded: int):
             of_a, starts = np.cumsum(new_a) - 1, np.nonzero(new_a)[0]
             shared = (np.minimum.reduceat(d, starts) != np.maximum.reduceat(d, starts))[of_a]
             least = np.minimum.reduceat(d, np.nonzero(new_c)[0])[np.cumsum(new_c) - 1]
-            kinds = np.add.reduceat(new_c.astype(np.int64), starts)[of_a]
-            compare = np.where(kinds > crowded, CROWDED, COMPARE)
-            state[rows[order]] = np.where(shared & (least < d), REPEATED, np.where(shared & (kinds > 1), compare, -1))
+            repeated = shared & (least < d)
+            state[rows[order[repeated]]] = REPEATED
+            left = np.nonzero(shared & ~repeated)[0]
+            key, d = a[left].astype(np.uint64) << np.uint64(16), d[left]
+            near = np.zeros(len(left), bool)
+            for side in sides[order[left]].T if len(left) else ():
+                near |= _meet(key | side, d)
+            left = left[near]
+            if len(left):
+                new_a, new_c = np.append(True, np.diff(a[left]) != 0), np.append(True, np.diff(c[left]) != 0)
+                kinds = np.add.reduceat((new_a | new_c).astype(np.int64), np.nonzero(new_a)[0])[np.cumsum(new_a) - 1]
+                state[rows[order[left]]] = np.where(kinds > crowded, CROWDED, COMPARE)
         told = state >= 0
         return pd.DataFrame({"doc_id": doc[told], "code": code[told], "said": place[told] * 4 + state[told]})
 
@@ -228,12 +283,9 @@ def suffix_array(data: np.ndarray) -> np.ndarray:
     new = np.append(True, key[order[1:]] != key[order[:-1]])
     rank = np.empty(n, np.int64)
     rank[order] = np.maximum.accumulate(np.where(new, np.arange(n), 0))
-    h = 8
-    while True:
-        equal = ~(new & np.append(new[1:], True))
-        at = np.nonzero(equal)[0]
-        if not len(at):
-            return order
+    new = np.append(new, True)
+    at, h = np.nonzero(~(new[:-1] & new[1:]))[0], 8
+    while len(at):
         suffix = order[at]
         # The zeros after the end are no bytes: what ends within h bytes comes first, the shortest before all.
         further = np.where(suffix + h < n, rank[np.minimum(suffix + h, n - 1)] + h + 1, n - suffix)
@@ -242,7 +294,9 @@ def suffix_array(data: np.ndarray) -> np.ndarray:
         order[at], key = suffix[inner], key[inner]
         new[at] = np.append(True, key[1:] != key[:-1])
         rank[order[at]] = np.maximum.accumulate(np.where(new[at], at, 0))
+        at = at[~(new[at] & new[at + 1])]
         h *= 2
+    return order
 
 
 def common_prefixes(data: np.ndarray, order: np.ndarray, most: int, lane: int) -> np.ndarray:
@@ -289,7 +343,7 @@ def _send_contexts(shards: int, spread: int):
                 continue
             rows, (low, high) = texts.contexts(text, place), texts.room(text, place)
             doc, code = frame["doc_id"].to_numpy(np.int64)[text], frame["code"].to_numpy(np.int64)[text]
-            anchor = _hashes(rows, low, high)[0]
+            anchor = _anchors_of(rows)
             dealt = _mix(code.astype(np.uint64) + place.astype(np.uint64) * _ODD[3])
             shard = np.where(crowded, shards + dealt % np.uint64(spread), anchor % np.uint64(shards)).astype(np.int64)
             order = np.argsort(shard, kind="stable")
@@ -330,14 +384,11 @@ class Shard:
     def owner(self) -> np.ndarray:
         return self.window // CONTEXT
 
-    def later(self) -> tuple[np.ndarray, np.ndarray]:
-        """Whether each window's string is in an earlier document of the shard; one earliest window per string."""
+    def later(self) -> np.ndarray:
+        """Whether each window's string is in an earlier document of the shard. Windows are in order of their groups."""
         doc = self.doc[self.owner]
-        order = np.lexsort((doc, self.group))
-        new = np.append(True, np.diff(self.group[order]) != 0)
-        later = np.empty(len(doc), bool)
-        later[order] = doc[order] > doc[order][new][np.cumsum(new) - 1]
-        return later, order[new]
+        new = np.append(True, np.diff(self.group) != 0)
+        return doc > np.minimum.reduceat(doc, np.nonzero(new)[0])[np.cumsum(new) - 1]
 
     def runs(self, repeated: np.ndarray) -> pd.DataFrame:
         """Byte ranges that the repeated windows cover, in their documents."""
@@ -360,7 +411,7 @@ def _compare_shard(frame: pd.DataFrame) -> pd.DataFrame:
     shard = Shard.of(frame)
     if not len(shard.window):
         return _run_frame([], [], [], [])
-    return shard.runs(shard.later()[0])
+    return shard.runs(shard.later())
 
 
 _LISTS = "part int, strings binary, docs binary, texts binary, places binary"
@@ -373,7 +424,7 @@ def _list_shard(parts: int):
         shard = Shard.of(frame)
         if not len(shard.window):
             return pd.DataFrame(columns=[c.split()[0] for c in _LISTS.split(", ")])
-        later, _ = shard.later()
+        later = shard.later()
         settled = shard.runs(later)
         out = [(-1, settled["last"].to_numpy().tobytes(), *(settled[c].to_numpy().tobytes() for c in ("doc_id", "code", "first")))]
         window = shard.window[~later]

@@ -4,6 +4,7 @@ import hashlib
 from collections import defaultdict
 
 import numpy as np
+import pandas as pd
 import pytest
 import xxhash
 from hypothesis import given, settings
@@ -89,6 +90,24 @@ def test_anchors_of_equal_windows_are_equal():
     assert inside(one, 0) == inside(two, 5)
 
 
+def judged(rows, crowded=20_000):
+    """What is said of the anchors of (doc_id, text) rows, by kind, with each row in a batch of its own."""
+    batches = (pd.DataFrame({"doc_id": [doc], "code": [doc], "data": [text.encode()]}) for doc, text in rows)
+    sent = pd.concat(suffix_dedup._send_anchors(3)(batches))
+    told = pd.concat(suffix_dedup._judge_bucket(crowded)(bucket) for _, bucket in sent.groupby("bucket"))
+    return (told["said"] % 4).value_counts().to_dict()
+
+
+def test_contexts_that_share_no_window_are_not_compared():
+    text = lambda k, shared: hashlib.sha512(b"%d" % k).hexdigest() + shared + hashlib.sha512(b"%d" % -k).hexdigest()
+    apart = [(k, text(k, PLANTED[:30])) for k in range(1, 30)]
+    assert [row[2] for row in brute_repeats(apart)] == [0] * 29
+    assert judged(apart) == {}
+    met = judged([(k, text(k, PLANTED[:50])) for k in range(1, 30)])
+    assert met[suffix_dedup.COMPARE] >= 29
+    assert judged([(k, text(k, PLANTED[:50])) for k in range(1, 30)], crowded=20)[suffix_dedup.CROWDED] >= 29
+
+
 def brute_fingerprint(text):
     words = "".join(c.lower() if "A" <= c <= "Z" else c for c in text or "").encode().split()
     runs = [b" ".join(words[k : k + 3]) for k in range(len(words) - 2)] or ([b" ".join(words)] if words else [])
