@@ -305,6 +305,36 @@ def test_boosted_trees_give_probabilities(spark):
     assert min(r.prediction for r in rows if r.label) > max(r.prediction for r in rows if not r.label)
 
 
+def test_wide_logistic_regression_spreads_its_coefficients(spark, monkeypatch):
+    from pyspark.ml.classification import LogisticRegression
+
+    from seedview.plans import logistic
+
+    rows = [(k % 23, float((k * 37) % 101), f"c{k % 40}", "big" if k % 3 else f"d{k % 7}", int((k * 13) % 29 > 11)) for k in range(300)]
+    df = spark.createDataFrame(rows, "k long, x double, name string, kind string, label int").withColumn("t", timestamp(datetime(2020, 1, 1)))
+    task = TaskSpec("t", "classification", "label", "auroc", "e", "k", "t", df)
+    monkeypatch.setattr(logistic, "BLOCK", 10)
+    found = {}
+    for most in (1000, 10):
+        spark.conf.set("seedview.fit.driverPositions", str(most))
+        model = SparkTabularModel("linear", LogisticRegression(maxIter=9))
+        model.fit(df, None, task)
+        found[most] = [r[PREDICTION] for r in model.predict(df.where("k > 3"), task).orderBy("k", "x", "name", "kind").collect()]
+        if most == 1000:
+            losses = list(model.fitted.summary.objectiveHistory)
+    spark.conf.unset("seedview.fit.driverPositions")
+    assert isinstance(model.fitted, logistic.SpreadLogistic)
+    assert model.fitted.blocks > 2
+    assert model.fitted.losses == pytest.approx(losses, abs=1e-9)
+    assert found[10] == pytest.approx(found[1000], abs=1e-7)
+    for label in (0, 1):
+        spark.conf.set("seedview.fit.driverPositions", "10")
+        same = df.withColumn("label", F.lit(label))
+        model.fit(same, None, task.with_table(same))
+        assert {r[0] for r in model.predict(same, task).select(PREDICTION).distinct().collect()} == {float(label)}
+        spark.conf.unset("seedview.fit.driverPositions")
+
+
 def test_regression_and_row_cap(spark):
     df, task = separable(spark)
     task = TaskSpec("r", "regression", "x", "mae", "e", "k", "seed_time", df)
