@@ -335,6 +335,32 @@ def test_wide_logistic_regression_spreads_its_coefficients(spark, monkeypatch):
         spark.conf.unset("seedview.fit.driverPositions")
 
 
+@pytest.mark.parametrize("kind", ["classification", "regression"])
+def test_wide_boosted_trees_are_those_of_spark(spark, monkeypatch, kind):
+    from seedview.plans import boosting
+
+    rng = random.Random(5)
+    rows = [(k, rng.randrange(60) * 1.0, round(rng.gauss(0, 1), 1), f"c{rng.randrange(12)}", f"e{rng.randrange(3)}") for k in range(400)]
+    score = F.col("x") / 30 + F.col("z") + F.col("c").substr(2, 2).cast("int") % 3 + (F.col("id") * 37 % 11) / 10
+    label = (score > 2).cast("int") if kind == "classification" else score
+    df = spark.createDataFrame(rows, "id long, x double, z double, c string, e string").withColumn("label", label)
+    df = df.withColumn("t", timestamp(datetime(2020, 1, 1)))
+    task = TaskSpec("t", kind, "label", metric_for(kind), "e", "id", "t", df)
+    monkeypatch.setattr(boosting, "BLOCK", 5)
+    settings = {"maxIter": 5, "maxDepth": 3, "stepSize": 0.3, "subsamplingRate": 1.0, "featureSubsetStrategy": "all"}
+    found = {}
+    for most in (1000, 5):
+        spark.conf.set("seedview.fit.densePositions", str(most))
+        model = SparkTabularModel("gbt", models.boosted_trees(kind, **settings), drop=["id"], validate=True)
+        model.fit(df.where("id % 4 < 3"), df.where("id % 4 = 3"), task)
+        found[most] = [r[PREDICTION] for r in model.predict(df, task).orderBy("id").collect()]
+        grown = model.fitted.getNumTrees if most == 1000 else len(model.fitted.trees)
+        assert grown > 1
+    spark.conf.unset("seedview.fit.densePositions")
+    assert isinstance(model.fitted, boosting.SpreadBoosting)
+    assert found[5] == pytest.approx(found[1000], abs=1e-9)
+
+
 def test_regression_and_row_cap(spark):
     df, task = separable(spark)
     task = TaskSpec("r", "regression", "x", "mae", "e", "k", "seed_time", df)
